@@ -38,7 +38,7 @@ WindowExpr = Callable[[WindowSpec], Column]
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a DataFrame's rows."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def ascending(order: Sequence[str]) -> list[Column]:
