@@ -45,6 +45,13 @@ def ascending(order: Sequence[str]) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in order]
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join whose null keys match each other; keeps the left side's keys."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    matched = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, matched, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _with_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     # One never-null group column: joins and windows then treat null keys as equal.
     return df.withColumn("_group", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))

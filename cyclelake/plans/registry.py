@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cyclelake.plans.views import VIEW_SQL, Views
 
 Build = Callable[[Views], DataFrame]
+# Added before rounding to six digits on both sides: engines round exact ties differently.
+TIE_SHIFT = 1e-9
 
 _BUILDERS: dict[str, Build] = {}
 _SQL: dict[str, str] = {}
@@ -25,7 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
             raise ValueError(f"query {name} is registered twice")
         _BUILDERS[name] = build
         if sql is not None:
-            _SQL[name] = f"WITH {VIEW_SQL}{' ' if sql.strip().startswith(',') else chr(10)}{sql.strip()}"
+            tail = sql.strip().replace(", 6)", f" + {TIE_SHIFT}, 6)")
+            _SQL[name] = f"WITH {VIEW_SQL}{' ' if tail.startswith(',') else chr(10)}{tail}"
         return build
 
     return register
@@ -39,7 +42,7 @@ def comparable(df: DataFrame) -> DataFrame:
         if kind == "timestamp":
             column = column.cast("timestamp_ntz")
         elif kind == "double":
-            column = F.round(column, 6)
+            column = F.round(column + TIE_SHIFT, 6)
         columns.append(column.alias(name))
     return df.select(*columns)
 

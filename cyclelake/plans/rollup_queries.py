@@ -436,7 +436,7 @@ def no_site_allowed(v: Views) -> DataFrame:
 @query(
     "m29_impact_estimate",
     """SELECT site_id, machine_id, count(*) FILTER (WHERE scrap_flag) AS avoidable_scrap,
-              round(1.25 * count(*) FILTER (WHERE scrap_flag) + 80.0 * (sum(CASE WHEN quality_flag <> 'valid'
+              round(CAST(1.25 AS DOUBLE) * count(*) FILTER (WHERE scrap_flag) + 80.0 * (sum(CASE WHEN quality_flag <> 'valid'
                 THEN 1 ELSE 0 END) * 0.5), 6) AS impact
        FROM cycles GROUP BY site_id, machine_id""",
 )
