@@ -6,11 +6,13 @@ definitions as common table expressions for the DuckDB side of the comparison.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cyclelake.operators import intervals
+from cyclelake.session import stored
 
 # --- fixed values of the test views ---------------------------------------------------
 DEFECTS = ["short_shot", "flash", "sink_mark", "bubbles", "warpage", "dimension_out_of_tolerance"]
@@ -40,6 +42,9 @@ def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Views:
     """Lazily built canonical DataFrames of one scale-factor folder."""
 
@@ -132,6 +137,18 @@ class Views:
         """Cycles with their order and confidence."""
         return intervals.link_orders(self.cycles, self.orders)
 
+    @cached_property
+    def linked_table(self) -> DataFrame:
+        """The linked cycles as a stored table, as an import leaves them."""
+        return self.shared_table("linked", lambda: stored(self.linked))
+
+    def shared_table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A stored table several queries read; built on first use in a session."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _TABLES:
+            _TABLES[key] = build()
+        return _TABLES[key]
+
     @cached_property
     def shifts(self) -> DataFrame:
         days = self.events.select(

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a result that is used several times as a table in the shared folder and read it back.
+
+    The reader prunes columns and knows sizes, later plans stay short, and the loss of an
+    executor never repeats the work.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
