@@ -24,9 +24,14 @@ KEYWORDS = {
 # --------------------------------------------------------------------------------------
 
 
+def strip(text: Column) -> Column:
+    """Text without white space at its ends (not only spaces)."""
+    return F.btrim(text, F.lit(" \t\r\n\f\v"))
+
+
 def normalise_label(label: Column) -> Column:
     """Comparable form of a column label: lower case, no spaces `_ - .`, no French accents."""
-    bare = F.regexp_replace(F.trim(F.lower(label)), r"[\s_\-.]+", "")
+    bare = F.regexp_replace(strip(F.lower(label)), r"[\s_\-.]+", "")
     return F.translate(bare, ACCENTS_FROM, ACCENTS_TO)
 
 
@@ -34,18 +39,18 @@ def fold_label(label: Column) -> Column:
     """Structural form of a label: accents folded, also `/` and `\\` dropped, BOM removed."""
     text = F.lower(F.translate(F.coalesce(label, F.lit("")), "﻿", ""))
     folded = F.translate(text, FOLD_FROM, FOLD_TO)
-    return F.regexp_replace(F.trim(folded), r"[\s_.\-/\\]+", "")
+    return F.regexp_replace(strip(folded), r"[\s_.\-/\\]+", "")
 
 
 def null_if_token(text: Column) -> Column:
     """Trimmed text, null where it only says "no value"."""
-    trimmed = F.trim(text)
+    trimmed = strip(text)
     return F.when(~F.lower(trimmed).isin(NULL_TOKENS), trimmed)
 
 
 def defect_tokens(text: Column) -> Column:
     """Lower-case defect words of a `; | ,` or space separated text, order kept."""
-    plain = F.translate(F.lower(F.trim(F.coalesce(text, F.lit("")))), ";|,", "   ")
+    plain = F.translate(F.lower(strip(F.coalesce(text, F.lit("")))), ";|,", "   ")
     words = F.filter(F.split(plain, r"\s+"), lambda word: word != "")
     return F.filter(words, lambda word: ~word.isin(NOT_DEFECTS))
 

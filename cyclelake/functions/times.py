@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cyclelake.functions.text import strip
+
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
 HOUR = 3600 * SECOND
@@ -41,7 +43,7 @@ def parse_source_time(text: Column, zone: Column | str = "UTC") -> Column:
 
     Texts that carry a zone or are epoch seconds ignore `zone`; naive ones are read in it.
     """
-    value = F.trim(text)
+    value = strip(text)
     epoch = F.timestamp_micros((value.try_cast("double") * F.lit(SECOND)).cast("long"))
     iso = F.replace(value, F.lit(","), F.lit(".")).try_cast("timestamp")
     zoned = value.rlike(ZONED_PATTERN) & value.rlike(r"[T ]\d{2}:")
@@ -69,7 +71,7 @@ def local_to_utc(time: Column, zone: Column | str) -> Column:
 
 def day_fraction_time(day: Column, fraction: Column) -> Column:
     """Instant of a day fraction such as 0,488518519 (seconds truncated)."""
-    number = F.replace(F.trim(fraction), F.lit(","), F.lit(".")).try_cast("double")
+    number = F.replace(strip(fraction), F.lit(","), F.lit(".")).try_cast("double")
     return F.timestamp_micros(
         F.unix_micros(day.cast("timestamp")) + F.floor(number * F.lit(86400)) * F.lit(SECOND)
     )

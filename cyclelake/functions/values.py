@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from cyclelake.functions.text import null_if_token
+from cyclelake.functions.text import null_if_token, strip
 
 # --- fixed values ---------------------------------------------------------------------
 TRUE_WORDS = ["true", "1", "yes", "y", "oui"]
@@ -40,7 +40,7 @@ def decimal_text(text: Column) -> Column:
 
 def first_finite(*columns: Column) -> Column:
     """First of the columns holding a finite number, read from text where needed."""
-    return F.coalesce(*[finite(F.trim(c.cast("string")).try_cast("double")) for c in columns])
+    return F.coalesce(*[finite(strip(c.cast("string")).try_cast("double")) for c in columns])
 
 
 def unit_factor(source: Column, target: Column) -> Column:
@@ -53,7 +53,7 @@ def unit_factor(source: Column, target: Column) -> Column:
 
 def flag(text: Column, default: bool = False) -> Column:
     """Boolean from a text or number flag; missing or empty gives the default."""
-    words = F.lower(F.trim(text.cast("string")))
+    words = F.lower(strip(text.cast("string")))
     number = words.try_cast("double")
     return (
         F.when(text.isNull() | (text.cast("string") == ""), F.lit(default))
@@ -73,7 +73,7 @@ def part_status(scrap: Column) -> Column:
 
 def part_defect(source_flag: Column) -> Column:
     """Defect named by the source's quality flag; null for the plain "good" words."""
-    text = F.trim(F.coalesce(source_flag, F.lit("good")))
+    text = strip(F.coalesce(source_flag, F.lit("good")))
     return F.when(~F.lower(text).isin(PLAIN_GOOD_WORDS), text)
 
 
@@ -94,7 +94,7 @@ def order_matches(order_id: Column, requested: Column) -> Column:
     """
     parts = F.split(requested, " to ", 2)
     ranged = requested.contains(" to ")
-    low, high = F.trim(parts[0]), F.trim(F.try_element_at(parts, F.lit(2)))
+    low, high = strip(parts[0]), strip(F.try_element_at(parts, F.lit(2)))
     hit = F.when(ranged, order_id.between(low, high)).otherwise(order_id == requested)
     return F.when(requested.isNull(), F.lit(True)).otherwise(F.coalesce(hit, F.lit(False)))
 
@@ -103,19 +103,19 @@ def order_endpoints(requested: Column) -> Column:
     """The order ids named by a request: one id, or both ends of `A to B`."""
     return F.when(
         F.coalesce(requested, F.lit("")) == "", F.array().cast("array<string>")
-    ).otherwise(F.transform(F.split(requested, " to ", 2), lambda part: F.trim(part)))
+    ).otherwise(F.transform(F.split(requested, " to ", 2), lambda part: strip(part)))
 
 
 def order_related(order_id: Column, requested: Column) -> Column:
     """Context rows: blank order is machine-level context, else the id must be named."""
-    own = F.trim(F.coalesce(order_id, F.lit("")))
+    own = strip(F.coalesce(order_id, F.lit("")))
     named = order_endpoints(requested)
     return (F.size(named) == 0) | (own == "") | F.array_contains(named, own)
 
 
 def is_scrap(scrap_flag: Column, status: Column) -> Column:
     """Scrap by flag or by any of the part status words (cause ranking)."""
-    by_flag = F.lower(F.trim(F.coalesce(scrap_flag.cast("string"), F.lit("")))).isin(SCRAP_FLAG_WORDS)
+    by_flag = F.lower(strip(F.coalesce(scrap_flag.cast("string"), F.lit("")))).isin(SCRAP_FLAG_WORDS)
     return by_flag | F.lower(F.coalesce(status, F.lit(""))).isin(SCRAP_WORDS)
 
 
