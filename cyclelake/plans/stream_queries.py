@@ -1 +1,88 @@
-"""Registered queries."""
+"""Registered queries that run a stream over the tables to completion and return its result."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
+
+from cyclelake.plans.feature_queries import _volatility_sql
+from cyclelake.plans.registry import query
+from cyclelake.plans.views import Views
+from cyclelake.schema import VOLATILITY_FEATURES
+from cyclelake.session import shared_folder
+from cyclelake.streaming import rollups, scoring
+
+
+def _replay(v: Views, table: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Write a table to the shared folder, stream it through `transform`, return what was written."""
+    base = f"{shared_folder(v.spark)}/streams/{uuid.uuid4().hex}"
+    table.write.parquet(f"{base}/in")
+    stream = v.spark.readStream.schema(table.schema).parquet(f"{base}/in")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        target = f"{base}/out" if mode == "complete" else f"{base}/out/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
+
+    started = (
+        transform(stream)
+        .writeStream.outputMode(mode)
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .foreachBatch(save)
+        .trigger(availableNow=True)
+        .start()
+    )
+    started.awaitTermination()
+    return v.spark.read.parquet(f"{base}/out").drop("batch")
+
+
+@query(
+    "x5_hourly_stream",
+    """SELECT date_trunc('hour', time) AS bucket, site_id, machine_id, production_order_id, count(*) AS cycle_count,
+              round(avg(cycle_time_s), 6) AS avg_cycle_time_s, round(stddev_samp(cycle_time_s), 6) AS stddev_cycle_time_s,
+              count(*) FILTER (WHERE scrap_flag) AS total_scraps, round(avg(link_confidence), 6) AS avg_link_confidence
+       FROM linked GROUP BY 1, 2, 3, 4""",
+)
+def hourly_stream(v: Views) -> DataFrame:
+    return _replay(v, v.linked_table, rollups.hourly_stream, "complete").select(
+        "bucket", "site_id", "machine_id", "production_order_id", "cycle_count", "avg_cycle_time_s",
+        "stddev_cycle_time_s", "total_scraps", "avg_link_confidence",
+    )
+
+
+@query("x8_volatility_stream", _volatility_sql("cycles"))
+def volatility_stream(v: Views) -> DataFrame:
+    return _replay(v, v.cycles, scoring.volatility_stream, "append").select(
+        "cycle_counter", "source_row_hash", *VOLATILITY_FEATURES
+    )
+
+
+@query(
+    "x9_monitor_stream",
+    """, recent AS (
+         SELECT *, row_number() OVER (PARTITION BY model ORDER BY time DESC, cycle_counter DESC) AS n FROM scores)
+       SELECT model, count(*) AS observations_total, count(*) FILTER (WHERE score >= threshold) AS alerts_total,
+              count(*) FILTER (WHERE n <= 1000) AS recent_window,
+              round(avg(CAST(score >= threshold AS INTEGER)) FILTER (WHERE n <= 1000), 6) AS alert_rate,
+              round(avg(score) FILTER (WHERE n <= 1000), 6) AS recent_mean
+       FROM recent GROUP BY model""",
+)
+def monitor_stream(v: Views) -> DataFrame:
+    return _replay(v, v.scores, lambda s: scoring.monitor_stream(s, 1000), "update")
+
+
+@query(
+    "x10_delayed_labels",
+    """SELECT site_id, machine_id, cycle_counter, score, label FROM scores WHERE cycle_counter % 4 <> 0""",
+)
+def delayed_labels(v: Views) -> DataFrame:
+    both = v.scores.select("site_id", "machine_id", "cycle_counter", "time", "score", "label")
+
+    def join(stream: DataFrame) -> DataFrame:
+        labels = stream.where(F.col("cycle_counter") % 4 != 0).select(
+            "site_id", "machine_id", "cycle_counter", F.timestamp_add("MINUTE", F.lit(30), "time").alias("time"), "label"
+        )
+        return scoring.attach_labels(stream.drop("label"), labels)
+
+    return _replay(v, both, join, "append").select("site_id", "machine_id", "cycle_counter", "score", "label")
