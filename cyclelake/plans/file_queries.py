@@ -1 +1,297 @@
-"""Registered queries."""
+"""Registered queries over files that Spark writes from the tables, and over the document texts."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
+
+from cyclelake.dictionary import label_dictionary
+from cyclelake.operators import models
+from cyclelake.plans.registry import query
+from cyclelake.plans.views import Views
+from cyclelake.schema import CYCLE_ORDER, SITE_MACHINE
+from cyclelake.session import shared_folder, stored
+from cyclelake.sources import files, mapping, probe, profiling
+
+
+def _written(v: Views, rows: DataFrame, delimiter: str = ",") -> str:
+    """Folder of delimited text files holding the rows, at most 5,000 per file."""
+    path = f"{shared_folder(v.spark)}/files/{uuid.uuid4().hex}"
+    rows.write.option("header", True).option("sep", delimiter).option("maxRecordsPerFile", 5000).csv(path)
+    return path
+
+
+def _export(v: Views) -> DataFrame:
+    """Cycles as a machine would export them."""
+    return v.cycles.select(
+        F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"),
+        F.col("machine_id").cast("string").alias("Machine"),
+        F.col("cycle_time_s").cast("string").alias("t_cycle"),
+        F.replace(F.col("dosing_time_s").cast("string"), F.lit("."), F.lit(",")).alias("t_dos"),
+        F.coalesce(F.col("injection_time_s").cast("string"), F.lit("N/A")).alias("t_inj"),
+        F.col("cycle_counter").cast("string").alias("n_cycle"),
+    )
+
+
+EXPORT_SQL = """SELECT cycle_counter, date_trunc('second', time) AS time, CAST(machine_id AS VARCHAR) AS machine,
+       round(cycle_time_s, 6) AS cycle_time_s, round(dosing_time_s, 6) AS dosing_time_s,
+       round(injection_time_s, 6) AS injection_time_s FROM cycles"""
+
+
+@query("s2_delimited_scan", EXPORT_SQL)
+def delimited_scan(v: Views) -> DataFrame:
+    from cyclelake.functions.times import parse_source_time
+    from cyclelake.functions.values import decimal_text
+
+    rows = files.read_delimited(v.spark, _written(v, _export(v), ";"), ";")
+    number = lambda c: decimal_text(F.col(c))
+    return rows.select(
+        F.col("n_cycle").cast("bigint").alias("cycle_counter"),
+        parse_source_time(F.col("Timestamp")).alias("time"),
+        F.col("Machine").alias("machine"),
+        number("t_cycle").alias("cycle_time_s"),
+        number("t_dos").alias("dosing_time_s"),
+        number("t_inj").alias("injection_time_s"),
+    )
+
+
+@query("m4_mapped_rows", EXPORT_SQL)
+def mapped_rows(v: Views) -> DataFrame:
+    path = _written(v, _export(v), ";")
+    profiles = stored(profiling.profile_files(files.read_files(v.spark, path, "*.csv")))
+    mapped = mapping.apply_unit_row(mapping.column_map(mapping.file_headers(profiles), label_dictionary(v.spark)))
+    fields = ["cycle_counter", "cycle_time_s", "dosing_time_s", "injection_time_s"]
+    rows = mapping.typed(mapping.map_rows(files.read_table(profiles), mapped), fields)
+    return rows.select(
+        F.col("cycle_counter").cast("bigint").alias("cycle_counter"),
+        "time",
+        F.col("raw_data")["Machine"].alias("machine"),
+        "cycle_time_s",
+        "dosing_time_s",
+        "injection_time_s",
+    )
+
+
+@query(
+    "m2_column_map",
+    """SELECT * FROM (VALUES ('Timestamp', CAST(NULL AS VARCHAR), CAST(0.0 AS DOUBLE)), ('Machine', NULL, 0.0), ('t_cycle', 'cycle_time_s', 0.75),
+         ('t_dos', 'dosing_time_s', 0.75), ('t_inj', 'injection_time_s', 0.75), ('n_cycle', 'cycle_counter', 1.0))
+         t(label, canonical, confidence) WHERE EXISTS (SELECT 1 FROM cycles)""",
+)
+def column_map(v: Views) -> DataFrame:
+    path = _written(v, _export(v), ";")
+    profiles = stored(profiling.profile_files(files.read_files(v.spark, path, "*.csv")))
+    mapped = mapping.column_map(mapping.file_headers(profiles), label_dictionary(v.spark))
+    return mapped.select("label", "canonical", "confidence").distinct()
+
+
+@query(
+    "s4_erp_orders",
+    """SELECT id, CAST(machine_id AS VARCHAR) AS machine_erp_ref, date_trunc('second', started_at) AS started_at,
+              date_trunc('second', ended_at) AS ended_at, product_ref FROM production_orders WHERE machine_id % 10 <> 0""",
+)
+def erp_orders(v: Views) -> DataFrame:
+    export = v.orders.select(
+        F.col("id").alias("Réf OF"),
+        F.when(F.col("machine_id") % 10 != 0, F.col("machine_id").cast("string")).alias("Réf. Machine"),
+        F.date_format("started_at", "dd.MM.yyyy HH:mm:ss").alias("Début Equipe"),
+        F.date_format("ended_at", "dd/MM/yyyy HH:mm:ss").alias("Fin Equipe"),
+        F.lit(None).cast("string").alias("Réf. produit"),
+        "product_ref",
+    )
+    return files.read_erp_orders(v.spark, _written(v, export)).select(
+        "id", "machine_erp_ref", "started_at", "ended_at", "product_ref"
+    )
+
+
+@query(
+    "s5_context_scan",
+    """SELECT note_id, date_trunc('second', time) AS time, CAST(machine_id AS VARCHAR) AS machine_erp_ref, length(note_text) AS chars
+       FROM operator_notes""",
+)
+def context_scan(v: Views) -> DataFrame:
+    export = v.operator_notes.select(
+        "note_id",
+        F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.col("machine_id").cast("string").alias("machine_erp_ref"),
+        F.lit(None).cast("string").alias("production_order_id"),
+        F.lit("OP").alias("operator_id"),
+        "note_text",
+    )
+    path = f"{shared_folder(v.spark)}/files/{uuid.uuid4().hex}"
+    export.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return files.read_context(v.spark, path, "notes").select(
+        "note_id", "time", "machine_erp_ref", F.length("note_text").cast("bigint").alias("chars")
+    )
+
+
+@query(
+    "s8_content_hash",
+    "SELECT doc_id, sha256(text) AS file_hash FROM documents",
+)
+def content_hash(v: Views) -> DataFrame:
+    contents = v.table("documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return files.with_file_hash(contents).select("doc_id", "file_hash")
+
+
+@query(
+    "w7_midnight_rollover",
+    """, t AS (SELECT machine_id, event_id, time, CAST(time AS TIME) AS clock FROM ev),
+       m AS (SELECT *, lag(date_trunc('minute', time)::TIME) OVER (PARTITION BY machine_id ORDER BY time, event_id) AS before,
+               date_trunc('minute', time)::TIME AS c FROM t),
+       d AS (SELECT *, CAST(sum(CASE WHEN c < before THEN 1 ELSE 0 END) OVER (PARTITION BY machine_id ORDER BY time, event_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS days FROM m)
+       SELECT event_id, DATE '2025-02-11' + to_days(days) + (epoch_us(c) // 60000000) * INTERVAL 1 MINUTE AS time FROM d""",
+)
+def midnight_rollover(v: Views) -> DataFrame:
+    lines = v.events.select(
+        "machine_id",
+        "event_id",
+        F.struct("time", "event_id").alias("line"),
+        F.date_format("time", "HH:mm").alias("clock"),
+        F.lit("2025-02-11").cast("timestamp").alias("day"),
+    )
+    return files.roll_over_midnight(lines, ["machine_id"], "line", "clock", "day").select("event_id", "time")
+
+
+def _profiles(v: Views) -> DataFrame:
+    """Stored profiles of the document texts, each taken as a file."""
+
+    def build() -> DataFrame:
+        texts = v.table("documents").select(
+            F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"),
+            F.col("text").cast("binary").alias("content"),
+            F.octet_length("text").cast("bigint").alias("length"),
+        )
+        return stored(
+            profiling.guard_files(
+                profiling.with_balance(
+                    profiling.with_classification(
+                        profiling.with_fingerprint(profiling.with_metadata(profiling.profile_files(texts)))
+                    )
+                )
+            )
+        )
+
+    return v.shared_table("profiles", build)
+
+
+@query(
+    "p1_encoding",
+    "SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS path, 'UTF-8' AS encoding, FALSE AS is_binary FROM documents",
+)
+def encoding(v: Views) -> DataFrame:
+    return _profiles(v).select("path", "encoding", "is_binary")
+
+
+def _delimiter_sql() -> str:
+    marks = {"semi": ";", "comma": ",", "tab": "\t", "space": " "}
+    count = lambda m: f"length(x) - length(replace(x, '{m}', ''))"
+    repeated = ", ".join(f"len(list_filter(h, lambda x: {count(m)} >= 2)) AS r_{n}" for n, m in marks.items())
+    total = ", ".join(f"list_sum(list_transform(h, lambda x: {count(m)})) AS t_{n}" for n, m in marks.items())
+    best = lambda p: "CASE greatest({}) {} END".format(
+        ", ".join(f"{p}_{n}" for n in marks), " ".join(f"WHEN {p}_{n} THEN '{m}'" for n, m in marks.items())
+    )
+    return f""", heads AS (
+         SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10))[1:20] AS h FROM documents),
+       counts AS (SELECT doc_id, {repeated}, {total} FROM heads)
+       SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS path,
+              CASE WHEN greatest(r_semi, r_comma, r_tab, r_space) > 0 THEN {best('r')} ELSE {best('t')} END AS delimiter
+       FROM counts"""
+
+
+@query("p3_delimiter", _delimiter_sql())
+def delimiter(v: Views) -> DataFrame:
+    return _profiles(v).select("path", "delimiter")
+
+
+@query("p4_orientation")
+def orientation(v: Views) -> DataFrame:
+    return _profiles(v).select("path", "is_transposed")
+
+
+@query("p5_brand")
+def brand(v: Views) -> DataFrame:
+    return _profiles(v).select("path", "brand", "brand_confidence")
+
+
+@query("p6_header_rows")
+def header_rows(v: Views) -> DataFrame:
+    return _profiles(v).select("path", "header_row", "unit_row", "data_start", "column_count")
+
+
+@query("p7_metadata_keys")
+def metadata_keys(v: Views) -> DataFrame:
+    return _profiles(v).select("path", F.array_join("metadata_keys", ",").alias("metadata_keys"), "reference_date")
+
+
+@query("p8_fingerprint")
+def fingerprint(v: Views) -> DataFrame:
+    return _profiles(v).select("path", "fingerprint")
+
+
+@query("p9_classification")
+def classification(v: Views) -> DataFrame:
+    return _profiles(v).select("path", "brand_hint", "structure_score", "structure_label")
+
+
+@query("p10_fingerprint_groups")
+def fingerprint_groups(v: Views) -> DataFrame:
+    return profiling.fingerprint_groups(_profiles(v))
+
+
+@query("p12_unbalanced_rows")
+def unbalanced_rows(v: Views) -> DataFrame:
+    return _profiles(v).select("path", "unbalanced")
+
+
+@query("p13_reading_guards")
+def reading_guards(v: Views) -> DataFrame:
+    return _profiles(v).select("path", "length", "guard_code")
+
+
+@query("p14_probe_reports")
+def probe_reports(v: Views) -> DataFrame:
+    found = files.read_files(v.spark, _written(v, _export(v), ";"), "*.csv")
+    report = probe.probe_files(found, label_dictionary(v.spark))
+    return report.groupBy("delimiter", "brand", "structure_label", "confidence", "valid").agg(
+        F.count("*").alias("files"), F.sum("rows").alias("rows")
+    )
+
+
+# ---------------------------------------------------------------------------------------
+# Models: random forests and solvers differ between engines, so only row counts compare.
+
+KEYS = [*SITE_MACHINE, *CYCLE_ORDER]
+
+
+def _drift_model(v: Views) -> dict[str, DataFrame]:
+    """Drift model of the bulk cycles' suppliers; 20 trees per machine."""
+    return models.train_drift(v.lineitem_cycles, trees=20)
+
+
+@query("l1_drift_training")
+def drift_training(v: Views) -> DataFrame:
+    return _drift_model(v)["metrics"]
+
+
+@query("l3_drift_scores")
+def drift_scores(v: Views) -> DataFrame:
+    return models.predict_drift(v.lineitem_cycles, _drift_model(v)).drop("model_version")
+
+
+@query("l8_reference_scores")
+def reference_scores(v: Views) -> DataFrame:
+    return models.reference_scores(v.lineitem_cycles, _drift_model(v))
+
+
+@query("l6_scrap_risk_training")
+def scrap_risk_training(v: Views) -> DataFrame:
+    return models.train_scrap_risk(v.cycles)[1]
+
+
+@query("l7_scrap_risk_scores")
+def scrap_risk_scores(v: Views) -> DataFrame:
+    rows = stored(models.scrap_features(v.cycles))
+    return models.predict_scrap(models.fit_scrap_risk(rows), rows).drop("model_version", "label")
