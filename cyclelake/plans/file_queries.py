@@ -137,22 +137,24 @@ def content_hash(v: Views) -> DataFrame:
 
 @query(
     "w7_midnight_rollover",
-    """, t AS (SELECT machine_id, event_id, time, CAST(time AS TIME) AS clock FROM ev),
-       m AS (SELECT *, lag(date_trunc('minute', time)::TIME) OVER (PARTITION BY machine_id ORDER BY time, event_id) AS before,
+    """, t AS (SELECT machine_id, event_id // 2000 AS part, event_id, time FROM ev),
+       m AS (SELECT *, lag(date_trunc('minute', time)::TIME) OVER (PARTITION BY machine_id, part ORDER BY time, event_id) AS before,
                date_trunc('minute', time)::TIME AS c FROM t),
-       d AS (SELECT *, CAST(sum(CASE WHEN c < before THEN 1 ELSE 0 END) OVER (PARTITION BY machine_id ORDER BY time, event_id
+       d AS (SELECT *, CAST(sum(CASE WHEN c < before THEN 1 ELSE 0 END) OVER (PARTITION BY machine_id, part ORDER BY time, event_id
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS days FROM m)
        SELECT event_id, DATE '2025-02-11' + to_days(days) + (epoch_us(c) // 60000000) * INTERVAL 1 MINUTE AS time FROM d""",
 )
 def midnight_rollover(v: Views) -> DataFrame:
+    # a file holds one machine's lines of 2,000 consecutive ids
     lines = v.events.select(
         "machine_id",
+        F.floor(F.col("event_id") / 2000).alias("part"),
         "event_id",
         F.struct("time", "event_id").alias("line"),
         F.date_format("time", "HH:mm").alias("clock"),
         F.lit("2025-02-11").cast("timestamp").alias("day"),
     )
-    return files.roll_over_midnight(lines, ["machine_id"], "line", "clock", "day").select("event_id", "time")
+    return files.roll_over_midnight(lines, ["machine_id", "part"], "line", "clock", "day").select("event_id", "time")
 
 
 def _profiles(v: Views) -> DataFrame:
@@ -295,3 +297,111 @@ def scrap_risk_training(v: Views) -> DataFrame:
 def scrap_risk_scores(v: Views) -> DataFrame:
     rows = stored(models.scrap_features(v.cycles))
     return models.predict_scrap(models.fit_scrap_risk(rows), rows).drop("model_version", "label")
+
+
+# ---------------------------------------------------------------------------------------
+# Routing, units and shapes
+
+
+@query(
+    "s7_routes",
+    """SELECT job_id, CASE job_id % 5 WHEN 0 THEN 'quality' WHEN 1 THEN 'maintenance' WHEN 2 THEN 'operator_note' WHEN 3 THEN 'erp_order'
+              ELSE 'machine_cycle' END AS source_kind, CASE WHEN job_id % 7 <> 0 THEN site_id END AS site_id,
+              CASE WHEN job_id % 7 = 0 THEN 'site_id_invalid_in_path' END AS route_error,
+              CAST(job_id % 900 AS VARCHAR) AS machine_ref
+       FROM import_jobs""",
+)
+def routes(v: Views) -> DataFrame:
+    from cyclelake.plans.views import pick
+
+    j = F.col("job_id")
+    names = ["quality_checks", "maint_log", "operator_notes", "erp_orders", "machine_export"]
+    site = F.when(j % 7 == 0, F.lit("unnamed")).otherwise(F.col("site_id").cast("string"))
+    path = F.concat_ws("/", F.lit("file:/inbox"), site, (j % 900).cast("string"), F.concat(pick(names, j % 5), F.lit(".csv")))
+    return files.with_route(v.import_jobs.select("job_id", path.alias("path")), "/inbox").select(
+        "job_id", "source_kind", "site_id", "route_error", "machine_ref"
+    )
+
+
+@query(
+    "m8_unit_rows",
+    """, u AS (SELECT event_id, value, k % 6 AS c FROM ev)
+       SELECT event_id, round(CASE c WHEN 0 THEN value * 0.001 WHEN 1 THEN value * 60.0 WHEN 2 THEN value WHEN 3 THEN value * 10.0
+                WHEN 4 THEN value ELSE value END, 6) AS value, c <> 5 AS unit_compatible FROM u""",
+)
+def unit_rows(v: Views) -> DataFrame:
+    from cyclelake.plans.views import pick
+
+    k = F.col("k") % 6
+    mapped = v.events.select(
+        "event_id",
+        "value",
+        F.lit("x").alias("canonical"),
+        pick(["ms", "min", "s", "MPa", "cm³", "kN"], k).alias("unit_cell"),
+        pick(["s", "s", "s", "bar", "mm_or_cm3", "s"], k).alias("unit"),
+        pick(["s", "s", "s", "bar", "mm_or_cm3", "s"], k).alias("source_unit"),
+        F.lit(1.0).alias("scale"),
+    )
+    return mapping.apply_unit_row(mapped).select(
+        "event_id", (F.col("value") * F.col("scale")).alias("value"), "unit_compatible"
+    )
+
+
+@query(
+    "m12_time_columns",
+    """SELECT event_id, (['Timestamp', 'Time', 'Machine Datetime', NULL])[k % 4 + 1] AS time_column FROM ev""",
+)
+def time_columns(v: Views) -> DataFrame:
+    k = F.col("k") % 4
+    words = [["Cycle", "Time", "Timestamp"], ["Cycle", "Time", "Machine"], ["Cycle", "Machine Datetime", "x"], ["a", "b", "c"]]
+    headers = F.element_at(F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in words]), k + 1)
+    return v.events.select("event_id", headers.alias("h")).select(
+        "event_id", mapping.time_column(F.col("h")).alias("time_column")
+    )
+
+
+@query("m18_row_hashes", "SELECT count(DISTINCT (user_id, event_type, value, props)) AS contents FROM events")
+def row_hashes(v: Views) -> DataFrame:
+    from cyclelake.functions.hashing import row_hash
+
+    content = v.table("events").select("user_id", "event_type", "value", "props")
+    return content.select(row_hash(content).alias("h")).agg(F.count_distinct("h").alias("contents"))
+
+
+@query(
+    "s3_transposed_scan",
+    """, c AS (SELECT machine_id, cycle_counter // 2000 AS part, row_number() OVER (
+                PARTITION BY machine_id, cycle_counter // 2000 ORDER BY time, cycle_counter) - 1 AS i, cycle_counter, cycle_time_s
+              FROM cycles)
+       SELECT 'm/' || CAST(machine_id AS VARCHAR) || '/' || CAST(part AS VARCHAR) AS path, CAST(i AS INTEGER) AS line_no, cycle_counter,
+              round(cycle_time_s, 6) AS cycle_time_s, TIMESTAMP '2026-02-11 12:00:00' AS time FROM c""",
+)
+def transposed_scan(v: Views) -> DataFrame:
+    """Machine exports turned into files with a column per cycle, at most 2,000 cycles each.
+
+    The counter is unique, so 2,000 counter values bound a file whatever the machine's share.
+    """
+    from cyclelake.functions.values import decimal_text
+
+    ordered = F.sort_array(
+        F.collect_list(F.struct("time", "cycle_counter", F.col("cycle_time_s").cast("string").alias("t")))
+    )
+    row = lambda name, cell: F.concat(F.lit(name + "\t"), F.array_join(F.transform("c", cell), "\t"))
+    text = F.concat_ws(
+        "\n",
+        row("Date", lambda c: F.lit("11.02.26")),
+        row("Heure", lambda c: F.lit("0,5")),
+        row("Num Cycle", lambda c: c.cycle_counter.cast("string")),
+        row("CycleTime", lambda c: F.replace(c.t, F.lit("."), F.lit(","))),
+    )
+    part = F.floor(F.col("cycle_counter") / 2000).alias("part")
+    exports = v.cycles.groupBy("machine_id", part).agg(ordered.alias("c")).select(
+        F.concat_ws("/", F.lit("m"), F.col("machine_id").cast("string"), F.col("part").cast("string")).alias("path"),
+        text.alias("text"),
+    )
+    shaped = exports.select(
+        "path", F.lit(True).alias("is_transposed"), F.lit("\t").alias("delimiter"), profiling.text_lines(F.col("text")).alias("lines")
+    )
+    return files.read_transposed(shaped).select(
+        "path", "line_no", "cycle_counter", decimal_text(F.col("cells")["CycleTime"]).alias("cycle_time_s"), "time"
+    )

@@ -207,7 +207,7 @@ def fallback_reference(v: Views) -> DataFrame:
        SELECT s.cycle_counter, s.score AS anomaly_score,
               s.score >= coalesce(t.threshold, g.threshold) AS predicted_instability_next_20_cycles,
               round(coalesce(t.threshold, g.threshold), 6) AS threshold, 20 AS horizon_cycles,
-              'hdt-process-drift-iforest-v1' AS model_version
+              'process-drift-iforest-v1' AS model_version
        FROM scores s LEFT JOIN t ON t.machine_id = s.machine_id, g""",
 )
 def prediction_output(v: Views) -> DataFrame:

@@ -47,8 +47,6 @@ VOLATILITY_MIN_VALUES = 3
 HORIZON_CYCLES = 20
 MIN_FUTURE_SCRAPS = 3
 NORMAL_SCORE_QUANTILE = 0.98
-DRIFT_MODEL_VERSION = "hdt-process-drift-iforest-v1"
-SCRAP_MODEL_VERSION = "rebut-risk-logistic-v1"
 DETECTOR_VERSION = "scrap-window-v1"
 
 # Plausible range per feature (contract of a cycle export).
@@ -114,6 +112,10 @@ MAX_PRESSURE_BAR = 50000.0
 NULL_TOKENS = ["", "nan", "nat", "n/a", "na", "null", "none"]
 # --------------------------------------------------------------------------------------
 
+# Our own model contracts.
+DRIFT_MODEL_VERSION = "process-drift-iforest-v1"
+SCRAP_MODEL_VERSION = "scrap-risk-logistic-v1"
+
 CYCLES = T.StructType(
     [
         T.StructField("site_id", T.LongType()),
