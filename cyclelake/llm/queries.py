@@ -7,13 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cyclelake.llm import bpe, sharding, topk
-from cyclelake.llm.common import table
+from cyclelake.llm import bpe, quality, sharding, simhash, topk
+from cyclelake.llm.common import fold, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
+THRESHOLD = 0.3  # of the quality and toxicity scores
 QUERY_STEP = 100  # vectors whose id is divisible by this are the queries
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents"), fold(F.col("doc_id"), 5) == 0
+    weights = quality.fit(docs, table(spark, folder, "labels"), ~held_out)
+    scored = quality.score(docs, weights, ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shuffle_shards(table(spark, folder, "documents"), shards=24)
     return placed.select(
@@ -22,6 +30,12 @@ def op3_feistel_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_simhash_segments(spark: SparkSession, folder: str) -> DataFrame:
+    prints = stored(simhash.fingerprints(table(spark, folder, "documents"), keep=["doc_id"]))
+    found = simhash.near_duplicates(prints)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select(
@@ -53,7 +67,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_feistel_shards": op3_feistel_shards,
+    "op4_simhash_segments": op4_simhash_segments,
     "op7_bpe": op7_bpe,
     "op9_exact_topk": op9_exact_topk,
 }
