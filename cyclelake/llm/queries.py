@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cyclelake.llm import bpe, quality, sharding, simhash, topk
+from cyclelake.llm import bpe, quality, sharding, simhash, topk, toxicity
 from cyclelake.llm.common import fold, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -36,6 +36,13 @@ def op4_simhash_segments(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_toxic_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model, counted = toxicity.fit(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out)
+    scored = toxicity.score(counted, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select(
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_simhash_segments": op4_simhash_segments,
+    "op5_toxic_neighbours": op5_toxic_neighbours,
     "op7_bpe": op7_bpe,
     "op9_exact_topk": op9_exact_topk,
 }
