@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Vector space: the words most associated with the label among the labelled examples (log-likelihood
-ratio of at least `least_ratio`, at most `max_terms` words), weighted by (1 + ln tf) * idf with the
+ratio of at least `least_ratio`, `least_lift` times as frequent on one side, at most `max_terms` words), weighted by (1 + ln tf) * idf with the
 document frequencies of all documents, unit length. Words that say nothing about the label would drown
 the similarity, so they are no dimensions.
 
@@ -45,6 +45,7 @@ class Neighbours:
     block: int = 64
     max_terms: int = 1024
     least_ratio: float = 25.0
+    least_lift: float = 4.0
     max_rows: int = 20_000
     prior_mass: float = 0.2
     evidence: int = 3
@@ -160,7 +161,9 @@ def associated_terms(sample: DataFrame, p: Neighbours, text: str = "text", label
         part(F.col("n0"), share * all0) + part(F.col("n1"), share * all1)
         + part(all0 - F.col("n0"), (1 - share) * all0) + part(all1 - F.col("n1"), (1 - share) * all1)
     )
-    best = counts.where(F.col("n0") + F.col("n1") > 1).withColumn("ratio", ratio).where(F.col("ratio") >= p.least_ratio)
+    lift = ((F.col("n1") + 0.5) / (all1 + 1)) / ((F.col("n0") + 0.5) / (all0 + 1))
+    strong = (lift >= p.least_lift) | (lift <= 1 / p.least_lift)
+    best = counts.where((F.col("n0") + F.col("n1") > 1) & strong).withColumn("ratio", ratio).where(F.col("ratio") >= p.least_ratio)
     rows = best.orderBy(F.desc(F.round("ratio", 6)), "term").limit(p.max_terms).select("term").collect()
     return {r.term: i for i, r in enumerate(rows)}
 
