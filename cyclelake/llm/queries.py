@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cyclelake.llm import bpe, quality, sharding, simhash, topk, toxicity
+from cyclelake.llm import bpe, pii, quality, sharding, simhash, topk, toxicity
 from cyclelake.llm.common import fold, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -43,6 +43,12 @@ def op5_toxic_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
+def op6_boosted_pii(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = stored(pii.scan(table(spark, folder, "documents"), ["doc_id"]))
+    found = pii.select(scanned, pii.fit(scanned), ["doc_id"])
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
     return coded.select(
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_feistel_shards": op3_feistel_shards,
     "op4_simhash_segments": op4_simhash_segments,
     "op5_toxic_neighbours": op5_toxic_neighbours,
+    "op6_boosted_pii": op6_boosted_pii,
     "op7_bpe": op7_bpe,
     "op9_exact_topk": op9_exact_topk,
 }
