@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cyclelake.llm import bpe, pii, quality, sharding, simhash, topk, toxicity
+from cyclelake.llm import bpe, decontaminate, pii, quality, sharding, simhash, topk, toxicity
 from cyclelake.llm.common import fold, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -61,6 +61,10 @@ def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op10_edit_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 OP9_SQL = f"""
 WITH usable AS (
     SELECT vec_id, row_number() OVER () AS row,
@@ -87,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_boosted_pii": op6_boosted_pii,
     "op7_bpe": op7_bpe,
     "op9_exact_topk": op9_exact_topk,
+    "op10_edit_matches": op10_edit_matches,
 }
 ORACLE_SQL: dict[str, str] = {"op9_exact_topk": OP9_SQL}
