@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cyclelake.llm import bpe, decontaminate, pii, quality, sharding, simhash, topk, toxicity
+from cyclelake.llm import bpe, decontaminate, pii, quality, sharding, simhash, suffix_tree, topk, toxicity
 from cyclelake.llm.common import fold, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -15,6 +15,12 @@ THRESHOLD = 0.3  # of the quality and toxicity scores
 QUERY_STEP = 100  # vectors whose id is divisible by this are the queries
 
 
+def op1_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents"), fold(F.col("doc_id"), 10) == 0
+    scored = suffix_tree.score(docs, suffix_tree.fit(docs, ~held_out), ["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, held_out = table(spark, folder, "documents"), fold(F.col("doc_id"), 5) == 0
     weights = quality.fit(docs, table(spark, folder, "labels"), ~held_out)
@@ -84,6 +90,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_quality": op2_quality,
     "op3_feistel_shards": op3_feistel_shards,
     "op4_simhash_segments": op4_simhash_segments,
