@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cyclelake.llm import bpe, decontaminate, pii, quality, sharding, simhash, suffix_tree, topk, toxicity
+from cyclelake.llm import bpe, decontaminate, language, pii, quality, sharding, simhash, suffix_tree, topk, toxicity
 from cyclelake.llm.common import fold, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -62,6 +62,11 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_language_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    languages, logs = language.fit(table(spark, folder, "documents"))
+    return language.fuse(language.read_pages(table(spark, folder, "pages"), logs), languages)
+
+
 def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     found = topk.exact_topk(table(spark, folder, "embeddings"), F.col("id") % QUERY_STEP == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxic_neighbours": op5_toxic_neighbours,
     "op6_boosted_pii": op6_boosted_pii,
     "op7_bpe": op7_bpe,
+    "op8_language_evidence": op8_language_evidence,
     "op9_exact_topk": op9_exact_topk,
     "op10_edit_matches": op10_edit_matches,
 }
