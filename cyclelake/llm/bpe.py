@@ -23,7 +23,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from cyclelake.llm.common import map_rows, texts
 
@@ -196,18 +197,20 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     return " ".join([vocabulary.tokens[i] for i in ids.tolist()])
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", batch_texts: int = 500) -> DataFrame:
-    """Key, n_tokens, ids (little-endian unsigned 32-bit integers as bytes) and the decoded text of every row."""
-    kind = docs.schema[key].dataType.simpleString()
+def encode(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", batch_texts: int = 500) -> DataFrame:
+    """The kept columns, n_tokens, ids (little-endian unsigned 32-bit integers as bytes) and the decoded text of every row."""
+    keep = ["doc_id"] if keep is None else keep
+    kept = docs.select(*keep, F.col(text).alias("__text"))
+    made = [StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())]
 
     def run(batch: pa.RecordBatch) -> dict:
-        vocabulary, all_texts, out = vocabulary_at(path), texts(batch, text), []
+        vocabulary, all_texts, out = vocabulary_at(path), texts(batch, "__text"), []
         for start in range(0, len(all_texts), batch_texts):
             out += encode_batch(vocabulary, all_texts[start : start + batch_texts])
         ids, counts, decoded = zip(*out, strict=True) if out else ((), (), ())
-        return {key: batch.column(key), "n_tokens": counts, "ids": ids, "decoded": decoded}
+        return {c: batch.column(c) for c in keep} | {"n_tokens": counts, "ids": ids, "decoded": decoded}
 
-    return map_rows(docs.select(key, text), run, f"`{key}` {kind}, n_tokens long, ids binary, decoded string")
+    return map_rows(kept, run, StructType([*kept.schema.fields[:-1], *made]))
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cyclelake.session import stored
 
@@ -34,22 +36,15 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
-    """Apply a function to every Arrow batch; it returns columns in the order of `schema`, or None for no rows."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str | StructType) -> DataFrame:
+    """Apply a function to every Arrow batch; it returns the columns named in `schema`, as arrays or lists."""
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = function(batch)
-            if isinstance(out, dict):
-                out = pa.RecordBatch.from_arrays(
-                    [out[f.name] if isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) and out[f.name].type == f.type else pa.array(out[f.name], f.type) for f in arrow],
-                    schema=arrow,
-                )
-            if out is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
+            made = function(batch)
+            columns = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(columns, arrow.names)
+
+    return df.mapInArrow(run, kinds)

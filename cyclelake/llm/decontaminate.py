@@ -178,3 +178,22 @@ def leaks(
     for block in item_blocks(benchmark, item, item_text, block_chars):
         found = of(block) if found is None else found.union(of(block))
     return of([]) if found is None else found
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+    rate: float = RATE, exact_below: int = EXACT_BELOW, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The documents, with all columns, that hold no item."""
+
+    def clean(kept: DataFrame, block: list[tuple[object, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block, rate, exact_below)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(plain(t)) for t in texts(batch, text)], pa.bool_()))
+
+        return kept.mapInArrow(run, kept.schema)
+
+    for block in item_blocks(benchmark, item, item_text, block_chars):
+        docs = clean(docs, block)
+    return docs

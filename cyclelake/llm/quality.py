@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cyclelake.llm.common import map_rows, stored, texts
 
@@ -113,17 +114,18 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, label: str = "q
     return w
 
 
-def score(docs: DataFrame, w: np.ndarray, keep: list[str], text: str = "text", p: Ftrl = Ftrl()) -> DataFrame:  # noqa: B008
+def score(docs: DataFrame, w: np.ndarray, keep: list[str], name: str = "score", text: str = "text", p: Ftrl = Ftrl()) -> DataFrame:  # noqa: B008
     """The kept columns and the score (probability of label 1) of every row."""
-    kept = docs.select(*keep, *([] if text in keep else [text]))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep]
+    kept = docs.select(*keep, F.col(text).alias("__text"))
+    schema = StructType([*kept.schema.fields[:-1], StructField(name, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(w)  # 2^bits + 1 numbers
 
     def run(batch: pa.RecordBatch) -> dict:
-        weights, scores = shared.value, []
-        for one in texts(batch, text):
+        weights, margins = shared.value, []
+        for one in texts(batch, "__text"):
             at = features(one, p.bits)
-            scores.append(weights[-1] + (SCALE * weights[at].mean() if len(at) else 0.0))
-        return {c: batch.column(c) for c in keep} | {"score": sigmoid(np.array(scores, float)) if w.any() else np.full(len(scores), PRIOR)}
+            margins.append(weights[-1] + (SCALE * weights[at].mean() if len(at) else 0.0))
+        scores = sigmoid(np.array(margins, float)) if weights.any() else np.full(len(margins), PRIOR)
+        return {c: batch.column(c) for c in keep} | {name: scores}
 
-    return map_rows(kept, run, ", ".join([*schema, "score double"]))
+    return map_rows(kept, run, schema)

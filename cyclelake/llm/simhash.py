@@ -108,11 +108,24 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, key: str = "doc_id", distance: int = 3) -> DataFrame:
-    """Rows of a stored `fingerprints` table with `component_id`, the smallest key reachable over links."""
+    """Rows of a stored `fingerprints` table with `root`, the fingerprint that stands for the component, and
+    `component_id`, the smallest key reachable over links."""
     nodes = stored(prints.groupBy("fingerprint").agg(F.min(key).alias("first")))
     roots = components(links(nodes, distance), "a", "b").withColumnRenamed("node", "fingerprint")
     linked = stored(roots.join(nodes, "fingerprint"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
     named = nodes.join(linked.select("fingerprint", "root").join(smallest, "root"), "fingerprint", "left")
-    named = stored(named.select("fingerprint", F.coalesce("smallest", "first").alias("component_id")))
+    named = stored(named.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("smallest", "first").alias("component_id")))
     return prints.join(named, "fingerprint")
+
+
+def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
+    """One row of every component, with all columns: that of the smallest key (nulls last); of rows equal in
+    all columns one stays. Texts move once, to meet the winners."""
+    hashed = docs.withColumn("__hash", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    prints = stored(fingerprints(hashed, text, shingle, [key, "__hash"]))
+    found = near_duplicates(prints, key, distance)
+    best = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("key"), "__hash")).alias("best")
+    winners = stored(found.groupBy("root").agg(best).select(F.col("best.key").alias("__key"), F.col("best.__hash").alias("__hash")))
+    met = hashed.join(winners, "__hash").where(F.col(key).eqNullSafe(F.col("__key")))
+    return met.dropDuplicates(["__hash", "__key"]).select(*(f"`{c}`" for c in docs.columns))
