@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cyclelake.llm.common import texts
 
 WORDS = re.compile(r"[^\W_]+")
-RATE = 0.06
+RATE = 0.08
 EXACT_BELOW = 40
 BLOCK_CHARS = 4_000_000
 
@@ -156,7 +157,7 @@ def leaks(
     """A row per document and item that it holds: key, item_id, distance, budget, end (in the plain text)."""
     kinds = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     schema = f"`{key}` {kinds[0]}, item_id {kinds[1]}, distance int, budget int, end int"
-    kept = docs.select(key, F.col(text).alias("__text"))
+    kept, item_type = docs.select(key, F.col(text).alias("__text")), to_arrow_type(benchmark.schema[item].dataType)
 
     def of(block: list[tuple[object, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +170,7 @@ def leaks(
                     rows += hits
                 if rows:
                     item_ids, *numbers = zip(*rows, strict=True)
-                    columns = [batch.column(0).take(pa.array(at)), pa.array(item_ids), *(pa.array(n, pa.int32()) for n in numbers)]
+                    columns = [batch.column(0).take(pa.array(at)), pa.array(item_ids, item_type), *(pa.array(n, pa.int32()) for n in numbers)]
                     yield pa.RecordBatch.from_arrays(columns, [key, "item_id", "distance", "budget", "end"])
 
         return kept.mapInArrow(run, schema)

@@ -71,16 +71,17 @@ class BlockMaxIndex:
         bounds = np.array([query[t] for t in terms]) @ self.most[terms]
         found, cosines, floor = np.empty(0, np.int64), np.empty(0), 0.0
         for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] * (1 + 1e-9) < floor:
+            if bounds[b] <= 0 or bounds[b] + 1e-9 < floor:
                 break
             sums = np.zeros(self.block)
             for term in terms:
                 if (rows := self.postings.get((term, int(b)))) is not None:
                     sums[rows[0]] += query[term] * rows[1]
+            sums = np.round(sums, 12)  # equal vectors are ties, whatever the order of their terms
             hit = np.nonzero((sums > 0) & (sums >= floor))[0]
             hit = hit[hit + b * self.block != without]
             found, cosines = np.concatenate([found, hit + b * self.block]), np.concatenate([cosines, sums[hit]])
-            best = np.lexsort((found, -np.round(cosines, 12)))[:k]
+            best = np.lexsort((found, -cosines))[:k]
             found, cosines = found[best], cosines[best]
             if len(found) == k:
                 floor = cosines.min()
