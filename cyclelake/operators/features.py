@@ -113,7 +113,14 @@ def split_classes(split: DataFrame, label: str) -> DataFrame:
 
 
 def most_recent(rows: DataFrame, keys: list[str], n: int = 10_000, order: list[str] = CYCLE_ORDER[:2]) -> DataFrame:
-    """The newest n rows of each group; a map-side limit precedes the shuffle."""
+    """The newest n rows of each group; a map-side limit precedes the shuffle.
+
+    Spark limits window groups before the shuffle up to a threshold of 1,000 rows by default;
+    it is raised to n, so at most n rows of a group leave an input partition.
+    """
+    spark, name = rows.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(spark.conf.get(name)) < n:
+        spark.conf.set(name, str(n))
     newest = Window.partitionBy(*keys).orderBy(*[F.col(o).desc_nulls_last() for o in order])
     return rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n")
 

@@ -1,17 +1,17 @@
 """Ordered operators that stay exact and spread out when one group holds most rows.
 
 A window partitioned by machine sorts a whole machine in one task. That is right for
-ordinary groups and wrong for a machine holding a third of all rows. The functions here
-use the plain window unless a group exceeds its row budget; the rows of such hot groups
-are cut along the order column into buckets of bounded size:
+ordinary groups and wrong for a machine holding a third of all rows. Groups are counted
+exactly, by a map-side combined count of the key columns alone. Groups within their row
+budget take the plain window. Rows of groups beyond it are stored and range-partitioned
+by group and the whole order key, so even rows with one equal time are cut apart:
 
-* bucket edges are quantiles of the order column over all hot rows, so no bucket of any
-  group exceeds its share of the input, whatever the skew of groups or of time;
+* the number of ranges (buckets) is rows / budget, without an upper bound;
 * running sums add the totals of the earlier buckets (one small row per group and bucket);
 * bounded frames are computed on blocks of consecutive positions, each with copies of the
   few neighbouring rows its frames reach into.
 
-Edges are literals of the plan, so a lost task recomputes the same rows.
+The bucketed rows are stored before they are used twice, so a lost task sees the same buckets.
 """
 
 from __future__ import annotations
@@ -22,25 +22,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
+from cyclelake.session import stored
+
 
 @dataclass(frozen=True)
 class Budget:
-    """Rows one task may sort for one group, and the input size below which no group can exceed it."""
+    """Rows of one group that one task may sort."""
 
     group_rows: int = 4_000_000
-    small_bytes: int = 64 * 1024 * 1024
-    max_buckets: int = 1024
 
 
 DEFAULT_BUDGET = Budget()
 WindowExpr = Callable[[WindowSpec], Column]
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a DataFrame's rows."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def ascending(order: Sequence[str]) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in order]
 
@@ -60,55 +55,22 @@ def _with_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def split_hot(df: DataFrame, keys: Sequence[str], budget: Budget) -> tuple[DataFrame, DataFrame | None]:
     """(ordinary rows, rows of groups above the row budget or None); both carry `_group`.
 
-    Hot groups number at most rows / group_rows; the count runs with map-side combine.
+    Hot groups number at most rows / group_rows. Where there are any, the input is stored once.
     """
     grouped = _with_group(df, keys)
-    if plan_bytes(df) <= budget.small_bytes:
-        return grouped, None
     hot = grouped.groupBy("_group").count().where(F.col("count") > budget.group_rows).select("_group")
-    found = [row["_group"] for row in hot.limit(1).collect()]
-    if not found:
+    if hot.isEmpty():
         return grouped, None
-    return grouped.join(hot, "_group", "left_anti"), grouped.join(hot, "_group", "left_semi")
-
-
-def quantile_edges(df: DataFrame, value: Column, budget: Budget) -> list[float]:
-    """At most `max_buckets` increasing edges that cut the rows into near-equal shares."""
-    shares = max(2, min(budget.max_buckets, -(-df.count() // max(1, budget.group_rows // 4))))
-    steps = [i / shares for i in range(1, shares)]
-    found = df.select(value.cast("double").alias("v")).approxQuantile("v", steps, 1 / (4 * shares))
-    return sorted(set(found))
-
-
-def bucket_by_edges(value: Column, edges: Sequence[float]) -> Column:
-    """Number of edges at or below the value, by bisection over a literal array."""
-    if not edges:
-        return F.lit(0)
-    table = F.array(*[F.lit(float(e)) for e in edges])
-    number = value.cast("double")
-    steps = len(edges).bit_length()
-    start = F.lit(0)
-    # lower bound of the answer grows by halving powers of two
-    return F.aggregate(
-        F.array(*[F.lit(1 << i) for i in reversed(range(steps))]),
-        start,
-        lambda low, step: F.when(
-            (low + step <= len(edges)) & (F.try_element_at(table, low + step) <= number), low + step
-        ).otherwise(low),
-    )
-
-
-def _order_value(df: DataFrame, name: str) -> Column:
-    kind = dict(df.dtypes)[name]
-    return F.unix_micros(F.col(name)) if kind == "timestamp" else F.col(name)
+    kept, hot = stored(grouped), stored(hot)
+    return kept.join(hot, "_group", "left_anti"), kept.join(hot, "_group", "left_semi")
 
 
 def _bucketed(df: DataFrame, order: Sequence[str], budget: Budget) -> DataFrame:
-    value = _order_value(df, order[0])
-    edges = quantile_edges(df, value, budget)
-    # nulls sort last
-    bucket = F.when(value.isNull(), F.lit(len(edges) + 1)).otherwise(bucket_by_edges(value, edges))
-    return df.withColumn("_bucket", bucket)
+    """Stored rows with `_bucket`, increasing along the order within every group."""
+    rows = stored(df)
+    ranges = max(2, -(-4 * rows.count() // budget.group_rows))
+    cut = rows.repartitionByRange(ranges, "_group", *ascending(order))
+    return stored(cut.withColumn("_bucket", F.spark_partition_id()))
 
 
 def _running_hot(

@@ -37,11 +37,11 @@ def hourly_measures(digits=lambda c, n: F.round(c, n)) -> list[Column]:
     ]
 
 
-def timeline(cycles: DataFrame, bucket: str, limit: int | None = 1000) -> DataFrame:
+def timeline(cycles: DataFrame, bucket: str, limit: int | None = None) -> DataFrame:
     """Timeline of every machine by minute, hour, shift or order.
 
-    Shift and order buckets are named by their first cycle's time. A timeline shows the first
-    `limit` buckets of a machine (None for all).
+    Shift and order buckets are named by their first cycle's time. A page of a timeline may show
+    the first `limit` buckets of a machine.
     """
     if bucket in MINUTE_HOUR:
         keys = [F.date_trunc(MINUTE_HOUR[bucket], "time").alias("bucket")]
@@ -115,12 +115,12 @@ def quality_summary(checks: DataFrame, cycles: DataFrame) -> DataFrame:
     )
 
 
-def defect_summary(checks: DataFrame, cycles: DataFrame) -> DataFrame:
-    """Defect breakdown from checks; from cycles (top 100) for machines without any check."""
+def defect_summary(checks: DataFrame, cycles: DataFrame, limit: int | None = None) -> DataFrame:
+    """Defect breakdown from checks; from cycles (the `limit` most frequent) for machines without any check."""
     by_check = defect_breakdown(checks)
     with_defects = cycles.where(F.col("defect_type").isNotNull()).select(*SITE_MACHINE).distinct()
     unchecked = with_defects.join(checks.select(*SITE_MACHINE), SITE_MACHINE, "left_anti")
-    by_cycle = defect_breakdown(cycles.join(unchecked, SITE_MACHINE, "left_semi"), limit=100)
+    by_cycle = defect_breakdown(cycles.join(unchecked, SITE_MACHINE, "left_semi"), limit=limit)
     return by_check.unionByName(by_cycle)
 
 

@@ -201,19 +201,16 @@ ranked AS (
 
 
 def _facts(v: Views) -> DataFrame:
-    """The stored facts table; one per session and folder, as a pipeline keeps it."""
-    return v.shared_table(
-        "facts",
-        lambda: diagnose.collect_facts(
-            v.incidents,
-            v.linked_table,
-            v.quality_checks,
-            v.operator_notes,
-            v.maintenance_events,
-            v.orders,
-            POLICY,
-            AS_OF,
-        ),
+    """The facts table, stored by `collect_facts`."""
+    return diagnose.collect_facts(
+        v.incidents,
+        v.linked_table,
+        v.quality_checks,
+        v.operator_notes,
+        v.maintenance_events,
+        v.orders,
+        POLICY,
+        AS_OF,
     )
 
 

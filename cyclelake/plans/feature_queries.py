@@ -154,6 +154,18 @@ def scrap_bursts_lineitem(v: Views) -> DataFrame:
     return detect.scrap_bursts(unlinked).drop("production_order_id")
 
 
+ORDER_COLUMNS = BURST_COLUMNS.replace("SELECT site_id, machine_id,", "SELECT site_id, machine_id, production_order_id,")
+
+
+@query("w6_scrap_bursts_by_order", f", {burst_sql('yearly', 'production_order_id')} {ORDER_COLUMNS}".replace(
+    ", ", ", yearly AS (SELECT * REPLACE ('Y' || CAST(year(time) AS VARCHAR) AS production_order_id) FROM lineitem_cycles), ", 1))
+def scrap_bursts_by_order(v: Views) -> DataFrame:
+    """Bursts within each machine and order; an order spans a year, as long runs do."""
+    return detect.scrap_bursts(
+        v.lineitem_cycles.withColumn("production_order_id", F.concat(F.lit("Y"), F.year("time").cast("string")))
+    )
+
+
 @query(
     "d13_burst_incidents",
     f""", {burst_sql('cycles', 'CAST(NULL AS VARCHAR)')}
@@ -193,10 +205,10 @@ def detect_after_import(v: Views) -> DataFrame:
     "w9_most_recent",
     """SELECT model, cycle_counter, score FROM (
          SELECT *, row_number() OVER (PARTITION BY model ORDER BY time DESC, cycle_counter DESC) AS n FROM scores)
-       WHERE n <= 1000""",
+       WHERE n <= 10000""",
 )
 def most_recent(v: Views) -> DataFrame:
-    return features.most_recent(v.scores, ["model"], 1000).select("model", "cycle_counter", "score")
+    return features.most_recent(v.scores, ["model"]).select("model", "cycle_counter", "score")
 
 
 @query(

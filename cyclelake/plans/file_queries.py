@@ -159,24 +159,20 @@ def midnight_rollover(v: Views) -> DataFrame:
 
 def _profiles(v: Views) -> DataFrame:
     """Stored profiles of the document texts, each taken as a file."""
-
-    def build() -> DataFrame:
-        texts = v.table("documents").select(
-            F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"),
-            F.col("text").cast("binary").alias("content"),
-            F.octet_length("text").cast("bigint").alias("length"),
-        )
-        return stored(
-            profiling.guard_files(
-                profiling.with_balance(
-                    profiling.with_classification(
-                        profiling.with_fingerprint(profiling.with_metadata(profiling.profile_files(texts)))
-                    )
+    texts = v.table("documents").select(
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"),
+        F.col("text").cast("binary").alias("content"),
+        F.octet_length("text").cast("bigint").alias("length"),
+    )
+    return stored(
+        profiling.guard_files(
+            profiling.with_balance(
+                profiling.with_classification(
+                    profiling.with_fingerprint(profiling.with_metadata(profiling.profile_files(texts)))
                 )
             )
         )
-
-    return v.shared_table("profiles", build)
+    )
 
 
 @query(
@@ -269,8 +265,8 @@ KEYS = [*SITE_MACHINE, *CYCLE_ORDER]
 
 
 def _drift_model(v: Views) -> dict[str, DataFrame]:
-    """Drift model of the bulk cycles' suppliers; 20 trees per machine."""
-    return models.train_drift(v.lineitem_cycles, trees=20)
+    """Drift model of the bulk cycles' suppliers."""
+    return models.train_drift(v.lineitem_cycles)
 
 
 @query("l1_drift_training")

@@ -168,21 +168,37 @@ def export_summary(v: Views) -> DataFrame:
     return monitor.export_summary(v.scores)
 
 
+RECENT = 500  # fewer than a model has observed, so that the window matters
+RECENT_SQL = f"{PSI_SQL}, {KS_SQL}, {PROBABILITY_SQL}".replace("scores", "latest")
+
+
 @query(
     "a29_monitor_snapshot",
-    f""", {PSI_SQL}, {KS_SQL}, {PROBABILITY_SQL}
+    f""", seen AS (
+         SELECT *, row_number() OVER (PARTITION BY model, is_reference ORDER BY time DESC, cycle_counter DESC) AS age FROM scores),
+       latest AS (SELECT * FROM seen WHERE is_reference OR age <= {RECENT}),
+       {RECENT_SQL},
+       gaps AS (
+         SELECT model, max(abs(fr - fo)) AS d FROM steps GROUP BY model),
+       sizes AS (
+         SELECT model, count(*) FILTER (WHERE is_reference) AS m, count(*) FILTER (WHERE NOT is_reference) AS n FROM latest GROUP BY model),
+       pvalues AS (
+         SELECT model, CASE WHEN x < 0.1 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(
+                  range(1, {monitor.KS_TERMS} + 1), lambda j: (CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * j * j * x * x))))) END AS p
+         FROM (SELECT model, d * sqrt(m * n / (m + n)) AS x FROM gaps JOIN sizes USING (model)))
        SELECT s.model, count(*) FILTER (WHERE is_reference) AS reference_size,
               count(*) FILTER (WHERE NOT is_reference) AS observations_total,
               count(*) FILTER (WHERE NOT is_reference AND score >= threshold) AS alerts_total,
-              count(*) FILTER (WHERE NOT is_reference) AS recent_window,
-              round(avg(CAST(score >= threshold AS INTEGER)) FILTER (WHERE NOT is_reference), 6) AS alert_rate,
+              count(*) FILTER (WHERE NOT is_reference AND age <= {RECENT}) AS recent_window,
+              round(avg(CAST(score >= threshold AS INTEGER)) FILTER (WHERE NOT is_reference AND age <= {RECENT}), 6) AS alert_rate,
               round((SELECT sum((y - x) * ln(y / x)) FROM shares h WHERE h.model = s.model), 6) AS psi,
               round((SELECT max(abs(fr - fo)) FROM steps k WHERE k.model = s.model), 6) AS ks_statistic,
+              round((SELECT p FROM pvalues k WHERE k.model = s.model), 6) AS ks_pvalue,
               round((SELECT avg((p - label) * (p - label)) FROM prob b WHERE b.model = s.model), 6) AS brier_score
-       FROM scores s GROUP BY s.model""",
+       FROM seen s GROUP BY s.model""",
 )
 def monitor_snapshot(v: Views) -> DataFrame:
-    return monitor.snapshot(_reference(v), _observed(v), _observed(v), KEYS, window=1_000_000).drop("ks_pvalue")
+    return monitor.snapshot(_reference(v), _observed(v), _observed(v), KEYS, window=RECENT)
 
 
 @query(

@@ -88,7 +88,7 @@ checks AS (
 by_cycle AS (
   SELECT site_id, machine_id, count(*) AS cycle_count, count(*) FILTER (WHERE scrap_flag) AS cycle_scrap,
          count(defect_type) AS cycle_defects
-  FROM cycles WHERE machine_id % 7 <> 0 GROUP BY site_id, machine_id)"""
+  FROM cycles GROUP BY site_id, machine_id)"""
 
 
 @query("a3_quality_from_checks", "," + CHECKS_SQL + " SELECT * FROM checks")
@@ -98,7 +98,7 @@ def quality_from_checks(v: Views) -> DataFrame:
 
 @query("a4_quality_from_cycles", "," + CHECKS_SQL + " SELECT * FROM by_cycle")
 def quality_from_cycles(v: Views) -> DataFrame:
-    return rollups.quality_from_cycles(v.cycles.where(F.col("machine_id") % 7 != 0))
+    return rollups.quality_from_cycles(v.cycles)
 
 
 @query(
@@ -139,7 +139,7 @@ def defect_breakdown_cycles(v: Views) -> DataFrame:
        FROM both_sides""",
 )
 def quality_summary(v: Views) -> DataFrame:
-    return rollups.quality_summary(v.quality_checks, v.cycles.where(F.col("machine_id") % 7 != 0))
+    return rollups.quality_summary(v.quality_checks, v.cycles)
 
 
 @query(
@@ -175,12 +175,10 @@ def machines_per_line(v: Views) -> DataFrame:
               max(c.cycle_time_s) AS max_cycle_s, count(*) FILTER (WHERE c.scrap_flag) AS total_scraps,
               round(avg(c.link_confidence), 6) AS avg_confidence
        FROM machines m LEFT JOIN linked c ON c.site_id = m.site_id AND c.machine_id = m.machine_id
-        AND c.cycle_time_s < 40 AND c.machine_id % 5 <> 0
        GROUP BY 1, 2, 3, 4, 5""",
 )
 def machine_summary(v: Views) -> DataFrame:
-    cycles = v.linked.where((F.col("cycle_time_s") < 40) & (F.col("machine_id") % 5 != 0))
-    return rollups.machine_summary(v.machines, cycles)
+    return rollups.machine_summary(v.machines, v.linked)
 
 
 @query(
@@ -227,7 +225,7 @@ def cycle_time_spread(v: Views) -> DataFrame:
 
 LATEST_SQL = """, last AS (
          SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, machine_id
-                  ORDER BY time DESC, cycle_counter DESC) AS n FROM cycles WHERE machine_id % 9 <> 0) WHERE n = 1)"""
+                  ORDER BY time DESC, cycle_counter DESC) AS n FROM cycles) WHERE n = 1)"""
 
 
 @query(
@@ -241,7 +239,7 @@ LATEST_SQL = """, last AS (
        LEFT JOIN clock k ON k.site_id = m.site_id""",
 )
 def fleet_status(v: Views) -> DataFrame:
-    return rollups.fleet_status(v.machines, v.cycles.where(F.col("machine_id") % 9 != 0))
+    return rollups.fleet_status(v.machines, v.cycles)
 
 
 @query(
@@ -255,7 +253,7 @@ def fleet_status(v: Views) -> DataFrame:
 )
 def machine_status(v: Views) -> DataFrame:
     return rollups.machine_status(
-        v.machines, v.cycles.where(F.col("machine_id") % 9 != 0), "2024-01-30 23:58:00"
+        v.machines, v.cycles, "2024-01-30 23:58:00"
     )
 
 

@@ -481,12 +481,13 @@ def order_coverage(v: Views) -> DataFrame:
 
 @query(
     "v9_missing_orders",
-    """SELECT site_id, count(*) AS unknown_orders FROM linked c WHERE production_order_id IS NOT NULL AND NOT EXISTS (
-         SELECT 1 FROM production_orders o WHERE o.site_id = c.site_id AND o.id = c.production_order_id
-           AND o.ended_at IS NOT NULL) GROUP BY site_id""",
+    """, claimed AS (SELECT site_id, 'OF-' || lpad(CAST(cycle_counter AS VARCHAR), 10, '0') AS production_order_id FROM cycles)
+       SELECT site_id, count(*) AS unknown_orders FROM claimed c WHERE NOT EXISTS (
+         SELECT 1 FROM production_orders o WHERE o.site_id = c.site_id AND o.id = c.production_order_id) GROUP BY site_id""",
 )
 def missing_orders(v: Views) -> DataFrame:
-    return validation.missing_orders(v.linked, v.orders.where(F.col("ended_at").isNotNull()))
+    own = F.concat(F.lit("OF-"), F.lpad(F.col("cycle_counter").cast("string"), 10, "0"))
+    return validation.missing_orders(v.cycles.withColumn("production_order_id", own), v.orders)
 
 
 @query(
@@ -654,7 +655,7 @@ def files_to_load(v: Views) -> DataFrame:
          SELECT event_id % 900 AS incident_id, 'a' || CAST(event_id % 3 AS VARCHAR) AS action_code, max_by('L' || CAST(event_id AS VARCHAR), event_id) AS l
          FROM ev WHERE event_type = 'click' GROUP BY 1, 2),
        old AS (SELECT DISTINCT event_id % 900 AS incident_id, 'a' || CAST(event_id % 3 AS VARCHAR) AS action_code,
-                 CASE WHEN event_id % 2 = 0 THEN 'proposed' ELSE 'accepted' END AS status FROM ev WHERE event_id < 450)
+                 CASE WHEN event_id % 2 = 0 THEN 'proposed' ELSE 'accepted' END AS status FROM ev WHERE event_type = 'purchase')
        SELECT coalesce(o.incident_id, n.incident_id) AS incident_id, coalesce(o.action_code, n.action_code) AS action_code,
               CASE WHEN o.status IS NULL OR (o.status = 'proposed' AND n.l IS NOT NULL) THEN n.l ELSE 'old' END AS label,
               coalesce(o.status, 'proposed') AS status
@@ -670,13 +671,13 @@ def open_proposals(v: Views) -> DataFrame:
         F.lit(None).cast("string").alias("run_id"),
         e.alias("sequence"),
     )
-    old = v.events.where(e < 450).select(
+    old = v.events.where(F.col("event_type") == "purchase").select(
         (e % 900).alias("incident_id"),
         action,
         F.lit("old").alias("label"),
         F.lit(None).cast("string").alias("run_id"),
         F.when(e % 2 == 0, "proposed").otherwise("accepted").alias("status"),
-    )
+    ).dropDuplicates(["incident_id", "action_code"])
     return sinks.upsert_open_proposals(old, arriving).drop("run_id")
 
 

@@ -6,7 +6,6 @@ definitions as common table expressions for the DuckDB side of the comparison.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -42,9 +41,6 @@ def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
-
-
 class Views:
     """Lazily built canonical DataFrames of one scale-factor folder."""
 
@@ -140,14 +136,7 @@ class Views:
     @cached_property
     def linked_table(self) -> DataFrame:
         """The linked cycles as a stored table, as an import leaves them."""
-        return self.shared_table("linked", lambda: stored(self.linked))
-
-    def shared_table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A stored table several queries read; built on first use in a session."""
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
-        if key not in _TABLES:
-            _TABLES[key] = build()
-        return _TABLES[key]
+        return stored(self.linked)
 
     @cached_property
     def shifts(self) -> DataFrame:
@@ -175,6 +164,7 @@ class Views:
         return (
             self.events.select("site_id", "machine_id")
             .distinct()
+            .unionByName(self.idle_machines)
             .select(
                 "site_id",
                 "machine_id",
@@ -185,6 +175,12 @@ class Views:
             )
         )
 
+    @cached_property
+    def idle_machines(self) -> DataFrame:
+        """Machines that have not run any cycle yet, one per supplier."""
+        s = F.col("s_suppkey").cast("bigint")
+        return self.table("supplier").select((1 + s % 3).alias("site_id"), (1_000_000 + s).alias("machine_id"))
+
     @cached_property
     def machine_aliases(self) -> DataFrame:
         """Alias = next machine's reference for every tenth machine (ambiguous), own nickname else."""
@@ -293,9 +289,9 @@ class Views:
 
     @cached_property
     def incidents(self) -> DataFrame:
-        """One incident per fifth error event, half a day to each side; some without an end."""
+        """One incident per error event, half a day to each side; some without an end."""
         k, t = F.col("k"), F.col("time")
-        return self.events.where((F.col("event_type") == "error") & (F.col("event_id") % 5 == 0)).select(
+        return self.events.where(F.col("event_type") == "error").select(
             F.concat(F.lit("INC-"), F.col("event_id").cast("string")).alias("incident_id"),
             "site_id",
             "machine_id",
@@ -430,7 +426,8 @@ machines AS (
   SELECT DISTINCT site_id, machine_id, 'REF' || CAST(machine_id % 1000 AS VARCHAR) AS erp_ref,
          'Presse ' || CAST(machine_id AS VARCHAR) AS name,
          ({_sql_list(BRANDS)})[machine_id % 3 + 1] AS brand, machine_id % 25 AS line_id
-  FROM ev),
+  FROM (SELECT site_id, machine_id FROM ev
+        UNION ALL SELECT 1 + s_suppkey % 3, 1000000 + s_suppkey FROM supplier)),
 machine_aliases AS (
   SELECT site_id, machine_id,
          CASE WHEN machine_id % 10 = 0 THEN 'REF' || CAST((machine_id + 3) % 1000 AS VARCHAR)
@@ -484,7 +481,7 @@ incidents AS (
          CASE WHEN k % 7 <> 0 THEN time + to_hours(12) END AS ended_at,
          time + to_hours(24) AS data_cutoff,
          ({_sql_list(DEFECTS + ["multiple"])})[k % 7 + 1] AS defect_type
-  FROM ev WHERE event_type = 'error' AND event_id % 5 = 0),
+  FROM ev WHERE event_type = 'error'),
 import_jobs AS (
   SELECT o_orderkey AS job_id, 1 + o_custkey % 3 AS site_id,
          'f' || CAST(o_orderkey % 5000 AS VARCHAR) || '.csv' AS file_name,

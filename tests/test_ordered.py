@@ -9,7 +9,7 @@ from cyclelake.operators import features, intervals, monitor
 from cyclelake.operators.detect import scrap_bursts
 from cyclelake.operators.ordered import (
     Budget,
-    bucket_by_edges,
+    _bucketed,
     exact_quantiles,
     framed,
     row_positions,
@@ -18,7 +18,7 @@ from cyclelake.operators.ordered import (
 )
 from helpers import at, cycles, orders, rounded
 
-TIGHT = Budget(group_rows=7, small_bytes=0)
+TIGHT = Budget(group_rows=7)
 
 
 @pytest.fixture(scope="module")
@@ -36,13 +36,30 @@ def test_hot_groups_are_found(skewed):
     plain, hot = split_hot(skewed, ["k"], TIGHT)
     assert hot is not None and hot.select("k").distinct().count() >= 1
     assert plain.count() + hot.count() == 300
-    assert split_hot(skewed, ["k"], Budget(small_bytes=0))[1] is None
+    assert split_hot(skewed, ["k"], Budget())[1] is None
 
 
-def test_bucket_numbers(spark):
-    edges = [1.0, 2.0, 2.5, 9.0, 11.0]
-    got = [r[0] for r in spark.range(13).orderBy("id").select(bucket_by_edges(F.col("id"), edges)).collect()]
-    assert got == [sum(e <= i for e in edges) for i in range(13)]
+def test_one_machine_on_one_timestamp_is_cut_apart(spark):
+    rows = spark.range(400).selectExpr("7 AS k", "timestamp'2026-01-01' AS o", "(id * 37) % 400 AS i")
+    kept = _bucketed(rows.withColumn("_group", F.struct("k")), ["o", "i"], TIGHT)
+    sizes = [r["count"] for r in kept.groupBy("_bucket").count().collect()]
+    assert len(sizes) > 100 and max(sizes) <= TIGHT.group_rows
+    placed = row_positions(rows, ["k"], ["o", "i"], "p", TIGHT).collect()
+    assert [r.p for r in sorted(placed, key=lambda r: r.i)] == list(range(1, 401))
+
+
+def test_buckets_have_no_upper_bound(spark):
+    rows = spark.range(3000).selectExpr("1 AS k", "id AS i")
+    tiny = Budget(group_rows=4)
+    kept = _bucketed(rows.withColumn("_group", F.struct("k")), ["i"], tiny)
+    assert kept.select("_bucket").distinct().count() > 1024
+
+
+def test_hot_groups_are_counted_not_estimated(spark):
+    """The rows come out of an explode, whose size Catalyst cannot know."""
+    rows = spark.range(1).selectExpr("1 AS k", "explode(sequence(1, 50)) AS i")
+    assert split_hot(rows, ["k"], Budget(group_rows=49))[1].count() == 50
+    assert split_hot(rows, ["k"], Budget(group_rows=50))[1] is None
 
 
 @pytest.mark.parametrize("keys", [["k"], []])
@@ -94,7 +111,7 @@ def long_history(spark):
 
 
 def test_features_on_hot_machines(long_history):
-    budget = Budget(group_rows=25, small_bytes=0)
+    budget = Budget(group_rows=25)
     sources = ["cycle_time_s"]
     assert rounded(features.volatility_features(long_history, sources, budget)) == rounded(
         features.volatility_features(long_history, sources)
@@ -116,7 +133,7 @@ def test_features_on_hot_machines(long_history):
 def test_bursts_on_hot_machines(long_history):
     found = rounded(scrap_bursts(long_history))
     assert found
-    assert rounded(scrap_bursts(long_history, budget=Budget(group_rows=40, small_bytes=0))) == found
+    assert rounded(scrap_bursts(long_history, budget=Budget(group_rows=40))) == found
 
 
 def test_monitor_on_hot_models(spark):
