@@ -6,8 +6,8 @@ leftmost pair of lowest rank. A merge changes at most three leaves, each updated
 the root; it ends when the root holds no pair. Words of one size class (a power of two) are worked
 on side by side, one tree per row of an array, so a word of n symbols takes n log n steps.
 
-Words repeat, so each Python worker keeps the codes of words it has met, up to `CACHE_WORDS`; the
-cache only saves time.
+Words repeat, so each Python worker keeps the codes of words it has met lately, up to about `CACHE_WORDS`;
+the cache only saves time.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; special tokens
 that stand in a text become their ids, as in the tokenizers library.
@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from cyclelake.llm.common import map_rows, texts
 
 NONE = np.int64(2**62)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 BLOCK_SYMBOLS = 2_000_000  # symbols encoded side by side
 
 # --- fixed values: the white space of the vocabulary's normaliser ----------------------------
@@ -67,6 +67,7 @@ class Vocabulary:
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.marks = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)))
         self.known: dict[str, tuple[bytes, int, str]] = {}
+        self.older: dict[str, tuple[bytes, int, str]] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE where it is no merge (or where a side is missing, -1)."""
@@ -176,11 +177,13 @@ def vocabulary_at(path: str) -> Vocabulary:
 def encode_batch(vocabulary: Vocabulary, batch: list[str]) -> list[tuple[bytes, int, str]]:
     """Per text: ids as little-endian 32-bit integers, their number, the decoded text."""
     parts = [pieces(vocabulary, t) for t in batch]
-    known = vocabulary.known
+    if len(vocabulary.known) > CACHE_WORDS // 2:  # words not met since the last change are forgotten
+        vocabulary.older, vocabulary.known = vocabulary.known, {}
+    known, older = vocabulary.known, vocabulary.older
     fresh = {w for part in parts for w in part} - known.keys()
-    if len(known) + len(fresh) > CACHE_WORDS:
-        known.clear()
-        fresh = {w for part in parts for w in part}
+    met = fresh & older.keys()
+    known.update((w, older[w]) for w in met)
+    fresh -= met
     for mark in fresh & vocabulary.special.keys():
         known[mark] = (vocabulary.special[mark].to_bytes(4, "little"), 1, mark)
     encode_words(vocabulary, sorted(fresh - vocabulary.special.keys()))
@@ -197,17 +200,14 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     return " ".join([vocabulary.tokens[i] for i in ids.tolist()])
 
 
-def encode(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", batch_texts: int = 500) -> DataFrame:
+def encode(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The kept columns, n_tokens, ids (little-endian unsigned 32-bit integers as bytes) and the decoded text of every row."""
     keep = ["doc_id"] if keep is None else keep
     kept = docs.select(*keep, F.col(text).alias("__text"))
     made = [StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())]
 
     def run(batch: pa.RecordBatch) -> dict:
-        vocabulary, all_texts, out = vocabulary_at(path), texts(batch, "__text"), []
-        for start in range(0, len(all_texts), batch_texts):
-            out += encode_batch(vocabulary, all_texts[start : start + batch_texts])
-        ids, counts, decoded = zip(*out, strict=True) if out else ((), (), ())
+        ids, counts, decoded = zip(*encode_batch(vocabulary_at(path), texts(batch, "__text")), strict=True)
         return {c: batch.column(c) for c in keep} | {"n_tokens": counts, "ids": ids, "decoded": decoded}
 
     return map_rows(kept, run, StructType([*kept.schema.fields[:-1], *made]))

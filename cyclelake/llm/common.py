@@ -11,7 +11,9 @@ from pyspark.sql.types import StructType
 
 from cyclelake.session import stored
 
-__all__ = ["fold", "map_rows", "stored", "table", "texts", "utf8", "words"]
+__all__ = ["fold", "map_rows", "sliced", "stored", "table", "texts", "utf8", "words"]
+
+SLICE_ROWS = 500
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,13 +38,20 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE_ROWS rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str | StructType) -> DataFrame:
-    """Apply a function to every Arrow batch; it returns the columns named in `schema`, as arrays or lists."""
+    """Apply a function to slices of Arrow batches; it returns the columns named in `schema`, as arrays or lists."""
     kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = function(batch)
             columns = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(columns, arrow.names)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cyclelake.llm.common import texts
+from cyclelake.llm.common import sliced, texts
 
 WORDS = re.compile(r"[^\W_]+")
 RATE = 0.08
@@ -162,7 +162,7 @@ def leaks(
     def of(block: list[tuple[object, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate, exact_below)
-            for batch in batches:
+            for batch in sliced(batches):
                 at, rows = [], []
                 for i, one in enumerate(texts(batch, "__text")):
                     hits = matcher.find(plain(one))
@@ -190,7 +190,7 @@ def without_leaks(
     def clean(kept: DataFrame, block: list[tuple[object, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate, exact_below)
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not matcher.find(plain(t)) for t in texts(batch, text)], pa.bool_()))
 
         return kept.mapInArrow(run, kept.schema)

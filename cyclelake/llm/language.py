@@ -23,13 +23,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cyclelake.llm.common import map_rows, stored, texts, words
+from cyclelake.llm.common import map_rows, sliced, stored, texts, words
 
 PLACES = 1 << 15
 MOST_LANGUAGES = 256
@@ -78,19 +79,21 @@ def places(text: str) -> np.ndarray:
 def fit(docs: DataFrame, language: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages in alphabetical order and the log frequencies of their trigram places."""
 
-    def run(batch: pa.RecordBatch) -> dict:
-        held: dict[str, np.ndarray] = {}
-        for one, name in zip(texts(batch, "__text"), batch.column("__language").to_pylist(), strict=True):
-            held[name] = held.get(name, np.zeros(PLACES, np.int64)) + np.bincount(places(one), minlength=PLACES)
-        rows = [(name, np.nonzero(n)[0], n) for name, n in held.items()]
-        return {
-            "language": [name for name, at, _ in rows for _ in at],
-            "place": np.concatenate([np.empty(0, np.int64), *(at for _, at, _ in rows)]).astype(np.int32),
-            "n": np.concatenate([np.empty(0, np.int64), *(n[at] for _, at, n in rows)]),
-        }
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}  # one row of places per language
+        for batch in sliced(batches):
+            for one, name in zip(texts(batch, "__text"), batch.column("__language").to_pylist(), strict=True):
+                if name not in held:
+                    held[name] = np.zeros(PLACES, np.int64)
+                held[name] += np.bincount(places(one), minlength=PLACES)
+        for name, n in held.items():
+            at = np.nonzero(n)[0]
+            columns = [pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])]
+            yield pa.RecordBatch.from_arrays(columns, ["language", "place", "n"])
 
     named = docs.where(F.col(language).isNotNull()).select(F.col(text).alias("__text"), F.col(language).alias("__language"))
-    counted = stored(map_rows(named, run, "language string, place int, n long").groupBy("language", "place").agg(F.sum("n").alias("n")))
+    counts = named.mapInArrow(run, "language string, place int, n long").groupBy("language", "place").agg(F.sum("n").alias("n"))
+    counted = stored(counts)
     languages = sorted(r.language for r in counted.select("language").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")

@@ -7,8 +7,8 @@ A place's value is its share of the text's features times `SCALE`; a score is th
 sparse dot product of values and weights plus a bias.
 
 Training reads a bounded sample: at most `max_rows` labelled rows of the training folds (all, if
-there are fewer), those with the smallest hash of their key. They are read in hash order by one task
-that makes FTRL-Proximal updates; only the weights that differ from zero leave it. Weights are
+there are fewer), those with the smallest hash of their key. They are read `epochs` times in hash order by one
+task that makes FTRL-Proximal updates; only the weights that differ from zero leave it. Weights are
 bounded by 2^bits numbers.
 
 Defined results: a null or empty text has only the bias; a key with several labels takes the smallest;
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cyclelake.llm.common import map_rows, stored, texts
+from cyclelake.llm.common import map_rows, sliced, stored, texts
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 SCALE = 40.0
 PRIOR = 0.5
 REPEATED = 0x5EED
-HASH_CACHE = 500_000
+HASH_CACHE = 100_000
 _hashes: dict[str, int] = {}
 
 
@@ -71,8 +71,8 @@ def sigmoid(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def train(rows: list[tuple[str, int]], p: Ftrl) -> np.ndarray:
-    """Weights after `epochs` passes over the rows in their order; the last weight is the bias."""
+def train(rows: Iterable[tuple[str, int]], p: Ftrl) -> np.ndarray:
+    """Weights after one update for each row, in order; the last weight is the bias."""
     size = 2**p.bits + 1
     z, n = np.zeros(size), np.zeros(size)
 
@@ -80,17 +80,14 @@ def train(rows: list[tuple[str, int]], p: Ftrl) -> np.ndarray:
         zi = z[at]
         return -np.sign(zi) * np.maximum(np.abs(zi) - p.l1, 0) / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2)
 
-    made = []
     for text, label in rows:
         at, counts = np.unique(features(text, p.bits), return_counts=True)
-        made.append((np.append(at, size - 1).astype(np.int32), np.append(counts * (SCALE / max(1, counts.sum())), 1.0).astype(np.float32), label))
-    for _ in range(p.epochs):
-        for at, x, label in made:
-            w = weights(at)
-            g = (sigmoid(float(w @ x)) - label) * x
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / p.alpha
-            z[at] += g - sigma * w
-            n[at] += g * g
+        at, x = np.append(at, size - 1), np.append(counts * (SCALE / max(1, counts.sum())), 1.0)
+        w = weights(at)
+        g = (sigmoid(float(w @ x)) - label) * x
+        sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / p.alpha
+        z[at] += g - sigma * w
+        n[at] += g * g
     return weights(np.arange(size))
 
 
@@ -100,15 +97,16 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, label: str = "q
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & is_training).groupBy(key).agg(F.min(label).cast("int").alias("__label"))
     chosen = known.orderBy(order, key).limit(p.max_rows)
     sample = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key)  # at most max_rows keys
-    ordered = stored(sample.select(order.alias("place"), F.crc32(F.coalesce("__text", F.lit("")).cast("binary")).alias("tie"), "__text", "__label"))
+    tie = F.crc32(F.coalesce("__text", F.lit("")).cast("binary"))
+    read = stored(sample.select(order.alias("place"), tie.alias("tie"), "__text", "__label"))
+    ordered = read.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(p.epochs)))).coalesce(1).sortWithinPartitions("epoch", "place", "tie", "__label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(texts(b, "__text"), b.column("__label").to_pylist(), strict=True)]
-        w = train(rows, p) if rows else np.zeros(0)
+        w = train((r for b in sliced(batches) for r in zip(texts(b, "__text"), b.column("__label").to_pylist(), strict=True)), p)
         at = np.nonzero(w)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["at", "weight"])
 
-    learned = ordered.coalesce(1).sortWithinPartitions("place", "tie", "__label").mapInArrow(run, "at long, weight double").toArrow()
+    learned = ordered.mapInArrow(run, "at long, weight double").toArrow()
     w = np.zeros(2**p.bits + 1)
     w[learned.column("at").to_numpy()] = learned.column("weight").to_numpy()
     return w
