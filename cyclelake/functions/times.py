@@ -75,7 +75,3 @@ def day_fraction_time(day: Column, fraction: Column) -> Column:
     return F.timestamp_micros(
         F.unix_micros(day.cast("timestamp")) + F.floor(number * F.lit(86400)) * F.lit(SECOND)
     )
-
-
-def at_hour(time: Column) -> Column:
-    return F.date_trunc("hour", time)

@@ -247,7 +247,7 @@ def score_histogram(scores: DataFrame, keys: list[str], buckets: list[float] = H
 
 
 def export_summary(scored: DataFrame) -> DataFrame:
-    """Summary of a scored export; the machine list is a dimension-sized set."""
+    """Summary of a scored export (its machines are listed by `export_machines`)."""
     return scored.agg(
         F.count("*").alias("cycles"),
         F.count_if(F.col("score") >= F.col("threshold")).alias("alerts"),
@@ -261,6 +261,11 @@ def export_summary(scored: DataFrame) -> DataFrame:
     )
 
 
+def export_machines(scored: DataFrame) -> DataFrame:
+    """One row per machine of a scored export, with its cycles."""
+    return scored.groupBy("site_id", "machine_id").agg(F.count("*").alias("cycles"))
+
+
 def snapshot(
     reference: DataFrame,
     scores: DataFrame,

@@ -219,14 +219,19 @@ def order_coverage(cycles: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def defect_overlap(cycles: DataFrame, checks: DataFrame) -> DataFrame:
-    """Defect types seen in cycles, in checks, and in both, per site (the types are a small set)."""
-    kinds = lambda df, name: df.groupBy("site_id").agg(
-        F.sort_array(F.collect_set("defect_type")).alias(name)
+    """Defect types seen both in cycles and in checks, per site: their number and names.
+
+    The types are intersected as rows; only the shared ones are gathered.
+    """
+    kinds = lambda df: df.where(F.col("defect_type").isNotNull()).select("site_id", "defect_type")
+    shared = kinds(cycles).intersect(kinds(checks))
+    named = shared.groupBy("site_id").agg(
+        F.count("*").cast("int").alias("shared_types"), F.array_join(F.sort_array(F.collect_list("defect_type")), ",").alias("shared")
+    )
+    sites = cycles.select("site_id").union(checks.select("site_id")).distinct()
+    return sites.join(named, "site_id", "left").select(
+        "site_id", F.coalesce("shared_types", F.lit(0)).alias("shared_types"), F.coalesce("shared", F.lit("")).alias("shared")
     )
-    both = kinds(cycles, "in_cycles").join(kinds(checks, "in_checks"), "site_id", "full_outer")
-    empty = F.array().cast("array<string>")
-    shared = F.array_intersect(F.coalesce("in_cycles", empty), F.coalesce("in_checks", empty))
-    return both.select("site_id", F.size(shared).alias("shared_types"), F.array_join(shared, ",").alias("shared"))
 
 
 def out_of_bounds(cycles: DataFrame, bounds: dict[str, tuple[float, float]] = FEATURE_BOUNDS) -> DataFrame:

@@ -170,6 +170,28 @@ def status_as_of(v: Views) -> DataFrame:
     return lookup.status_as_of(requests, v.linked)
 
 
+@query(
+    "j8_status_many_instants",
+    """, req AS (SELECT DISTINCT site_id, machine_id, started_at AS as_of FROM production_orders),
+       seen AS (
+         SELECT r.site_id, r.machine_id, r.as_of, max(c.time) AS last_cycle_at,
+                arg_max(c.cycle_counter, (c.time, c.cycle_counter)) AS last_counter,
+                count(*) FILTER (WHERE c.time > r.as_of - INTERVAL 24 HOUR) AS cycle_count_24h,
+                avg(CAST(c.scrap_flag AS INTEGER)) FILTER (WHERE c.time > r.as_of - INTERVAL 24 HOUR) AS scrap_rate
+         FROM req r JOIN linked c ON c.site_id = r.site_id AND c.machine_id = r.machine_id AND c.time <= r.as_of
+         GROUP BY r.site_id, r.machine_id, r.as_of)
+       SELECT s.site_id, s.machine_id, s.as_of, s.last_cycle_at, l.production_order_id AS current_order_id,
+              s.cycle_count_24h, round(s.scrap_rate, 6) AS scrap_rate_24h
+       FROM seen s JOIN linked l ON l.site_id = s.site_id AND l.machine_id = s.machine_id AND l.cycle_counter = s.last_counter""",
+)
+def status_many_instants(v: Views) -> DataFrame:
+    """Status of each machine at the start of every order."""
+    requests = v.orders.select("site_id", "machine_id", F.col("started_at").alias("as_of")).distinct()
+    return lookup.status_as_of(requests, v.linked).select(
+        "site_id", "machine_id", "as_of", "last_cycle_at", "current_order_id", "cycle_count_24h", "scrap_rate_24h"
+    )
+
+
 @query(
     "j13_affected_history",
     """, affected AS (

@@ -168,6 +168,14 @@ def export_summary(v: Views) -> DataFrame:
     return monitor.export_summary(v.scores)
 
 
+@query(
+    "a28_export_machines",
+    "SELECT site_id, machine_id, count(*) AS cycles FROM scores GROUP BY site_id, machine_id",
+)
+def export_machines(v: Views) -> DataFrame:
+    return monitor.export_machines(v.scores)
+
+
 RECENT = 500  # fewer than a model has observed, so that the window matters
 RECENT_SQL = f"{PSI_SQL}, {KS_SQL}, {PROBABILITY_SQL}".replace("scores", "latest")
 

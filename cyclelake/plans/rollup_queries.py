@@ -121,6 +121,24 @@ def defect_breakdown_cycles(v: Views) -> DataFrame:
     return rollups.defect_breakdown(v.cycles, limit=3)
 
 
+@query(
+    "a5_defect_summary",
+    """, checked AS (SELECT DISTINCT site_id, machine_id FROM quality_checks),
+       moved AS (SELECT * REPLACE (machine_id + 100 AS machine_id) FROM lineitem_cycles)
+       SELECT site_id, machine_id, coalesce(defect_type, 'unknown') AS defect_type, count(*) AS count
+       FROM quality_checks GROUP BY 1, 2, 3
+       UNION ALL
+       SELECT c.site_id, c.machine_id, coalesce(c.defect_type, 'unknown'), count(*) FROM moved c
+       WHERE EXISTS (SELECT 1 FROM moved d WHERE d.site_id = c.site_id AND d.machine_id = c.machine_id
+                      AND d.defect_type IS NOT NULL)
+         AND NOT EXISTS (SELECT 1 FROM checked k WHERE k.site_id = c.site_id AND k.machine_id = c.machine_id)
+       GROUP BY 1, 2, 3""",
+)
+def defect_summary(v: Views) -> DataFrame:
+    """Checks of the event machines; suppliers, numbered from 101 on, partly lie beyond them."""
+    return rollups.defect_summary(v.quality_checks, v.lineitem_cycles.withColumn("machine_id", F.col("machine_id") + 100))
+
+
 @query(
     "a6_quality_summary",
     ","

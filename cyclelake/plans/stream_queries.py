@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cyclelake.plans.feature_queries import _volatility_sql
 from cyclelake.plans.registry import query
@@ -15,26 +15,41 @@ from cyclelake.session import shared_folder
 from cyclelake.streaming import rollups, scoring
 
 
-def _replay(v: Views, table: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Write a table to the shared folder, stream it through `transform`, return what was written."""
+STEPS = 3  # restarts of a replayed stream; state is carried over in its checkpoint
+
+
+def _replay(
+    v: Views, table: DataFrame, transform: Callable[[DataFrame], DataFrame], mode: str, keys: list[str] | None = None
+) -> DataFrame:
+    """Stream a table through `transform` in time order, in `STEPS` runs of one stream, and return what was written.
+
+    With keys (update mode) the last version of each key counts, as an upsert into a table leaves it.
+    """
     base = f"{shared_folder(v.spark)}/streams/{uuid.uuid4().hex}"
-    table.write.parquet(f"{base}/in")
-    stream = v.spark.readStream.schema(table.schema).parquet(f"{base}/in")
+    micros = F.unix_micros("time")
+    cuts = table.select(micros.alias("t")).approxQuantile("t", [i / STEPS for i in range(1, STEPS)], 0.01)
+    step = sum(((micros > cut).cast("int") for cut in cuts), F.lit(0))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        target = f"{base}/out" if mode == "complete" else f"{base}/out/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
-
-    started = (
-        transform(stream)
-        .writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .foreachBatch(save)
-        .trigger(availableNow=True)
-        .start()
-    )
-    started.awaitTermination()
-    return v.spark.read.parquet(f"{base}/out").drop("batch")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    for i in range(STEPS):
+        table.where(F.coalesce(step, F.lit(0)) == i).write.mode("append").parquet(f"{base}/in")
+        stream = v.spark.readStream.schema(table.schema).parquet(f"{base}/in")
+        started = (
+            transform(stream)
+            .writeStream.outputMode(mode)
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .foreachBatch(save)
+            .trigger(availableNow=True)
+            .start()
+        )
+        started.awaitTermination()
+    written = v.spark.read.parquet(f"{base}/out")
+    if keys:
+        newest = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+        written = written.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+    return written.drop("batch")
 
 
 @query(
@@ -45,7 +60,8 @@ def _replay(v: Views, table: DataFrame, transform: Callable[[DataFrame], DataFra
        FROM linked GROUP BY 1, 2, 3, 4""",
 )
 def hourly_stream(v: Views) -> DataFrame:
-    return _replay(v, v.linked_table, rollups.hourly_stream, "complete").select(
+    keys = ["bucket", "site_id", "machine_id", "production_order_id"]
+    return _replay(v, v.linked_table, rollups.hourly_stream, "update", keys).select(
         "bucket", "site_id", "machine_id", "production_order_id", "cycle_count", "avg_cycle_time_s",
         "stddev_cycle_time_s", "total_scraps", "avg_link_confidence",
     )
@@ -69,7 +85,7 @@ def volatility_stream(v: Views) -> DataFrame:
        FROM recent GROUP BY model""",
 )
 def monitor_stream(v: Views) -> DataFrame:
-    return _replay(v, v.scores, lambda s: scoring.monitor_stream(s, 1000), "update")
+    return _replay(v, v.scores, lambda s: scoring.monitor_stream(s, 1000), "update", ["model"])
 
 
 @query(

@@ -5,7 +5,10 @@ Library functions never build a session; they use the one behind their DataFrame
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,22 +34,21 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cyc
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    Only where the cluster names none (local tests) a fresh temporary folder is set.
+    In local mode, where driver and executors share one disk, a temporary folder stands in for a
+    missing setting and goes when the process ends. Anywhere else a missing setting is an error: rows
+    written to each executor's own disk would be missed without notice.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="cyclelake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write a result that is used several times as a table in the shared folder and read it back.
 

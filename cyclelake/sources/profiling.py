@@ -171,8 +171,13 @@ def find_header(lines: Column, delimiter: Column) -> Column:
 def profile_files(files: DataFrame) -> DataFrame:
     """Structure of every file of (path, content), one row per file.
 
-    A file is one row; the reading limit is 256 MiB per file (see `guard_files`).
+    A file is one row. Files beyond the reading limit are told apart by their length alone, which the file
+    scan evaluates before it opens them; they keep a row without content (see `guard_files`).
     """
+    if "length" in files.columns:
+        within = F.coalesce(F.col("length"), F.lit(0)) <= MAX_FILE_BYTES
+        beyond = files.where(~within).withColumn("content", F.lit(None).cast("binary"))
+        files = files.where(within).unionByName(beyond)
     base = settled(with_lines(settled(with_encoding(files))).drop("content"))
     base = settled(base.withColumn("delimiter", detect_delimiter(F.col("lines"))))
     brand, confidence = detect_brand(F.col("lines"))
@@ -384,9 +389,3 @@ def guard_files(profiles: DataFrame) -> DataFrame:
         .when(widest > MAX_COLUMNS, "INGEST_TOO_MANY_COLUMNS")
         .when(longest > MAX_CELL_CHARS, "INGEST_CELL_TOO_LARGE"),
     )
-
-
-def latest_version(profiles: DataFrame) -> DataFrame:
-    """Newest row per path where a listing holds several states of a file."""
-    newest = Window.partitionBy("path").orderBy(F.desc("modificationTime"))
-    return profiles.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")

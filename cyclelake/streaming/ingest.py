@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cyclelake.operators.detect import detect_after_import
+from cyclelake.session import stored
 from cyclelake.sources.files import with_file_hash, with_route
 
 # --- fixed values: names of files still being written -----------------------------------
@@ -70,10 +71,16 @@ def import_batch(
         )
         .drop("_done", "_copy")
     )
+    # the claim is stored without contents; each importer then opens its own files only
+    claim = stored(claimed.drop("content"))
     for kind, run in importers.items():
-        run(claimed.where((F.col("status") == "completed") & (F.col("source_kind") == kind)), batch_id)
+        own = claim.where((F.col("status") == "completed") & (F.col("source_kind") == kind))
+        paths = [r["path"] for r in own.select("path").collect()]  # at most the files of one batch
+        if paths:
+            contents = spark.read.format("binaryFile").load(paths).select("path", "content")
+            run(own.join(contents, "path").select(*claimed.columns), batch_id)
     # the manifest row stands only after the imports of its batch
-    write_batch(claimed.select("site_id", "file_hash", "path", "source_kind", "status"), f"{tables}/manifest", batch_id)
+    write_batch(claim.select("site_id", "file_hash", "path", "source_kind", "status"), f"{tables}/manifest", batch_id)
 
 
 def start_import(

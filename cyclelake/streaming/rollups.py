@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cyclelake.operators.rollups import hourly_measures, hourly_rollup
+from cyclelake.operators.sinks import week_of
 from cyclelake.schema import SITE_MACHINE
 
 # --- fixed values: the refresh window reaches three hours back --------------------------
@@ -48,7 +49,13 @@ def write_rollup(rollup: DataFrame, path: str) -> None:
 
 
 def backfill(cycles: DataFrame, late: DataFrame, path: str) -> None:
-    """Recompute the days that late cycles fall into from the whole cycle table."""
+    """Recompute the days that late cycles fall into from the whole cycle table.
+
+    A table laid out by `week` is first joined on the late weeks, which prunes its folders.
+    """
     days = late.select(F.to_date("time").alias("_day")).distinct()
+    if "week" in cycles.columns:
+        weeks = late.select(week_of(F.col("time")).alias("week")).distinct()
+        cycles = cycles.join(weeks, "week", "left_semi")
     touched = cycles.withColumn("_day", F.to_date("time")).join(days, "_day", "left_semi").drop("_day")
     write_rollup(hourly_rollup(touched, rounded=False), path)
