@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from cyclelake.functions import text, times, values
@@ -9,6 +11,7 @@ from cyclelake.operators import sinks, validation
 from cyclelake.plans.registry import query
 from cyclelake.plans.views import Views, pick
 from cyclelake.schema import FEATURE_BOUNDS, SITE_MACHINE
+from cyclelake.session import shared_folder
 
 
 @query(
@@ -762,3 +765,33 @@ def job_states(v: Views) -> DataFrame:
         F.col("time").alias("event_time"),
     )
     return sinks.current_states(history)
+
+
+@query(
+    "k13_cycle_layout",
+    """SELECT site_id, machine_id, source_row_hash FROM cycles
+       WHERE time BETWEEN TIMESTAMP '2024-01-08 12:00:00' AND TIMESTAMP '2024-01-17 06:00:00'""",
+)
+def cycle_layout(v: Views) -> DataFrame:
+    """A time range of the cycle table as written by site and week; the bounds prune its folders."""
+    path = f"{shared_folder(v.spark)}/cycles/{uuid.uuid4().hex}"
+    sinks.write_cycles(v.cycles, path)
+    rows = sinks.read_cycles(v.spark, path, "2024-01-08 12:00:00", "2024-01-17 06:00:00")
+    return rows.select(F.col("site_id").cast("bigint").alias("site_id"), "machine_id", "source_row_hash")
+
+
+@query(
+    "v11_training_contract",
+    """SELECT CAST(scrap_flag AS INTEGER) AS scrap_flag, count(*) AS rows FROM cycles
+       WHERE data_quality_status IS NOT NULL GROUP BY 1""",
+)
+def training_contract(v: Views) -> DataFrame:
+    """Training rows that keep the contract: all columns present, a time, and a label of 0 or 1."""
+    rows = v.cycles.withColumnRenamed("switchover_position", "switchover_position_mm").withColumns(
+        {
+            "timestamp": F.when(F.col("data_quality_status").isNotNull(), F.col("time")),
+            "machine_erp_ref": F.col("machine_id").cast("string"),
+            "scrap_flag": F.col("scrap_flag").cast("int"),
+        }
+    )
+    return validation.check_feature_contract(rows, "scrap_flag").groupBy("scrap_flag").agg(F.count("*").alias("rows"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cyclelake.operators import sinks
+from cyclelake.operators.rollups import hourly_rollup
 from cyclelake.plans.feature_queries import _volatility_sql
 from cyclelake.plans.registry import query
 from cyclelake.plans.views import Views
@@ -52,13 +54,13 @@ def _replay(
     return written.drop("batch")
 
 
-@query(
-    "x5_hourly_stream",
-    """SELECT date_trunc('hour', time) AS bucket, site_id, machine_id, production_order_id, count(*) AS cycle_count,
+HOURLY_SQL = """SELECT date_trunc('hour', time) AS bucket, site_id, machine_id, production_order_id, count(*) AS cycle_count,
               round(avg(cycle_time_s), 6) AS avg_cycle_time_s, round(stddev_samp(cycle_time_s), 6) AS stddev_cycle_time_s,
               count(*) FILTER (WHERE scrap_flag) AS total_scraps, round(avg(link_confidence), 6) AS avg_link_confidence
-       FROM linked GROUP BY 1, 2, 3, 4""",
-)
+       FROM linked GROUP BY 1, 2, 3, 4"""
+
+
+@query("x5_hourly_stream", HOURLY_SQL)
 def hourly_stream(v: Views) -> DataFrame:
     keys = ["bucket", "site_id", "machine_id", "production_order_id"]
     return _replay(v, v.linked_table, rollups.hourly_stream, "update", keys).select(
@@ -67,6 +69,21 @@ def hourly_stream(v: Views) -> DataFrame:
     )
 
 
+@query("x6_backfilled_rollup", HOURLY_SQL)
+def backfilled_rollup(v: Views) -> DataFrame:
+    """The rollup of the cycles that came in time, after the days of the late ones were computed anew."""
+    base = f"{shared_folder(v.spark)}/rollups/{uuid.uuid4().hex}"
+    sinks.write_cycles(v.linked, f"{base}/cycles")
+    whole = sinks.read_cycles(v.spark, f"{base}/cycles")
+    late = F.col("cycle_counter") % 40 == 7
+    rollups.write_rollup(hourly_rollup(whole.where(~late), rounded=False), f"{base}/rollup")
+    rollups.backfill(whole, whole.where(late), f"{base}/rollup")
+    return v.spark.read.parquet(f"{base}/rollup").select(
+        "bucket", F.col("site_id").cast("bigint").alias("site_id"), "machine_id", "production_order_id", "cycle_count", "avg_cycle_time_s",
+        "stddev_cycle_time_s", "total_scraps", "avg_link_confidence",
+    )
+
+
 @query("x8_volatility_stream", _volatility_sql("cycles"))
 def volatility_stream(v: Views) -> DataFrame:
     return _replay(v, v.cycles, scoring.volatility_stream, "append").select(
