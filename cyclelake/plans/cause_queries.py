@@ -278,9 +278,7 @@ def _ordered_incidents(v: Views) -> DataFrame:
     return v.incidents.drop("production_order_id").join(linked, "incident_id")
 
 
-@query(
-    "j11_comparable_baseline",
-    f""", asked AS (
+J11_SQL = f""", asked AS (
          SELECT i.incident_id, i.site_id, i.machine_id, i.started_at, o.product_ref, o.tool_ref, o.material_ref
          FROM incidents i JOIN linked l ON 'INC-' || CAST(l.cycle_counter AS VARCHAR) = i.incident_id
          LEFT JOIN production_orders o ON o.site_id = i.site_id AND o.machine_id = i.machine_id
@@ -304,8 +302,10 @@ def _ordered_incidents(v: Views) -> DataFrame:
          SELECT p.incident_id, CAST(t.tier AS INTEGER) AS baseline_tier, p.source_row_hash,
                 row_number() OVER (PARTITION BY p.incident_id ORDER BY p.time DESC, p.cycle_counter DESC) AS r
          FROM prior p JOIN tiers t USING (incident_id)
-         WHERE (t.tier = 1 AND t1) OR (t.tier = 2 AND t2) OR (t.tier = 3 AND t3) OR t.tier = 4) WHERE r <= 25""",
-)
+         WHERE (t.tier = 1 AND t1) OR (t.tier = 2 AND t2) OR (t.tier = 3 AND t3) OR t.tier = 4) WHERE r <= 25"""
+
+
+@query("j11_comparable_baseline", J11_SQL)
 def comparable_baseline(v: Views) -> DataFrame:
     windows = diagnose.incident_windows(_ordered_incidents(v), POLICY, AS_OF).where(F.col("window_status") == "ok")
     return diagnose.comparable_baseline(windows, v.linked_table, v.orders, minimum=3, limit=25).select(
@@ -313,6 +313,15 @@ def comparable_baseline(v: Views) -> DataFrame:
     )
 
 
+# The same with the service's own bounds: 30 comparable cycles make a tier, the newest 2,000 are taken.
+@query("j11_service_baseline", J11_SQL.replace(">= 3 ", ">= 30 ").replace("r <= 25", "r <= 2000"))
+def service_baseline(v: Views) -> DataFrame:
+    windows = diagnose.incident_windows(_ordered_incidents(v), POLICY, AS_OF).where(F.col("window_status") == "ok")
+    return diagnose.comparable_baseline(windows, v.linked_table, v.orders, minimum=30, limit=2000).select(
+        "incident_id", "baseline_tier", "source_row_hash"
+    )
+
+
 @query(
     "j12_window_baseline",
     f""", {WINDOWS}
