@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from cyclelake.session import stored
 
-__all__ = ["fold", "map_rows", "sliced", "stored", "table", "texts", "utf8", "words"]
+__all__ = ["fold", "forget", "map_rows", "sliced", "stored", "table", "texts", "utf8", "words"]
 
 SLICE_ROWS = 500
 
@@ -25,6 +25,15 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of `stored` tables that nothing reads any more."""
+    for table in tables:
+        session = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cyclelake.llm import bpe, decontaminate, language, pii, quality, sharding, simhash, suffix_tree, topk, toxicity
+from cyclelake.llm import bpe, collocations, decontaminate, language, periodic, pii, quality, repeats, sharding, simhash, suffix_tree, topk, toxicity
 from cyclelake.llm.common import fold, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 THRESHOLD = 0.3  # of the quality and toxicity scores
+REPEATED_BYTES = 400  # length of the strings whose repeats go
 QUERY_STEP = 100  # vectors whose id is divisible by this are the queries
 
 
@@ -76,6 +77,19 @@ def op10_edit_matches(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.summary(table(spark, folder, "documents"), changed=periodic.planted)
+
+
+def op13_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, folder, "documents"), threshold=REPEATED_BYTES)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "stops")
+
+
 OP9_SQL = f"""
 WITH usable AS (
     SELECT vec_id, row_number() OVER () AS row,
@@ -94,6 +108,51 @@ WITH usable AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+OP11_SQL = r"""
+WITH pieces AS (
+    SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^ \t]+') AS words
+    FROM (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    )
+), one AS (
+    SELECT lang, word, count(*) AS f FROM (SELECT lang, unnest(words) AS word FROM pieces) GROUP BY ALL
+), sizes AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang
+), two AS (
+    SELECT lang, p.a, p.b, count(*) AS f
+    FROM (SELECT lang, unnest(list_transform(range(1, len(words)), lambda i: {'a': words[i], 'b': words[i + 1]})) AS p FROM pieces)
+    GROUP BY ALL HAVING count(*) >= 10
+), three AS (
+    SELECT lang, p.a, p.b, p.c, count(*) AS f
+    FROM (SELECT lang, unnest(list_transform(range(1, len(words) - 1), lambda i: {'a': words[i], 'b': words[i + 1], 'c': words[i + 2]})) AS p FROM pieces)
+    GROUP BY ALL HAVING count(*) >= 10
+), around AS (
+    SELECT lang, a, b, max(f) AS f
+    FROM (SELECT lang, a, b, f FROM three UNION ALL SELECT lang, b, c, f FROM three)
+    GROUP BY ALL
+), cuts AS (
+    SELECT t.lang, t.a || ' ' || t.b AS phrase, 1 AS k, t.f AS a, x.f AS l, y.f AS r
+    FROM two t JOIN one x ON x.lang = t.lang AND x.word = t.a JOIN one y ON y.lang = t.lang AND y.word = t.b
+    LEFT JOIN around w ON w.lang = t.lang AND w.a = t.a AND w.b = t.b
+    WHERE w.f IS NULL OR 100 * w.f < 50 * t.f
+    UNION ALL
+    SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, 1, t.f, x.f, y.f
+    FROM three t JOIN one x ON x.lang = t.lang AND x.word = t.a JOIN two y ON y.lang = t.lang AND y.a = t.b AND y.b = t.c
+    UNION ALL
+    SELECT t.lang, t.a || ' ' || t.b || ' ' || t.c, 2, t.f, x.f, y.f
+    FROM three t JOIN two x ON x.lang = t.lang AND x.a = t.a AND x.b = t.b JOIN one y ON y.lang = t.lang AND y.word = t.c
+), scored AS (
+    SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_quality": op2_quality,
@@ -105,5 +164,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_evidence": op8_language_evidence,
     "op9_exact_topk": op9_exact_topk,
     "op10_edit_matches": op10_edit_matches,
+    "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_repeated_bytes": op13_repeated_bytes,
 }
-ORACLE_SQL: dict[str, str] = {"op9_exact_topk": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_exact_topk": OP9_SQL, "op11_collocations": OP11_SQL}
