@@ -12,7 +12,7 @@ from cyclelake.plans.registry import query
 from cyclelake.plans.views import Views
 from cyclelake.schema import CYCLE_ORDER, SITE_MACHINE
 from cyclelake.session import shared_folder, stored
-from cyclelake.sources import files, mapping, probe, profiling
+from cyclelake.sources import files, lines, mapping, probe, profiling
 
 
 def _written(v: Views, rows: DataFrame, delimiter: str = ",") -> str:
@@ -58,11 +58,11 @@ def delimited_scan(v: Views) -> DataFrame:
 
 @query("m4_mapped_rows", EXPORT_SQL)
 def mapped_rows(v: Views) -> DataFrame:
-    path = _written(v, _export(v), ";")
-    profiles = stored(profiling.profile_files(files.read_files(v.spark, path, "*.csv")))
+    read = lines.read_lines(v.spark, _written(v, _export(v), ";"), "*.csv")
+    profiles = stored(lines.profile_lines(read))
     mapped = mapping.apply_unit_row(mapping.column_map(mapping.file_headers(profiles), label_dictionary(v.spark)))
     fields = ["cycle_counter", "cycle_time_s", "dosing_time_s", "injection_time_s"]
-    rows = mapping.typed(mapping.map_rows(files.read_table(profiles), mapped), fields)
+    rows = mapping.typed(mapping.map_rows(lines.read_table(read, profiles), mapped), fields)
     return rows.select(
         F.col("cycle_counter").cast("bigint").alias("cycle_counter"),
         "time",
@@ -73,6 +73,66 @@ def mapped_rows(v: Views) -> DataFrame:
     )
 
 
+def _protocols(v: Views) -> str:
+    """Folder of protocol texts: metadata, header and unit rows, then the cycles of one machine in time order.
+
+    A file takes 20,000 counter values of a machine. Some rows are short, some long, some clocks cannot be read and
+    some lines are blank.
+    """
+    k, part = F.col("k"), F.floor(F.col("cycle_counter") / 20_000)
+    clock = F.when(k % 9 == 0, "--:--").otherwise(F.date_format("time", "HH:mm:ss"))
+    number = lambda c: F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))
+    row = F.concat_ws(
+        ";", F.col("cycle_counter").cast("string"), clock, number("cycle_time_s"), number("dosing_time_s"),
+        F.when(k % 5 != 0, F.coalesce(number("injection_time_s"), F.lit(""))), F.when(k % 11 == 0, F.lit("beyond")),
+    )
+    data = v.cycles.join(v.events.select(F.col("event_id").alias("cycle_counter"), "k"), "cycle_counter").select(
+        "machine_id", part.alias("part"), "time", F.col("cycle_counter").alias("n"),
+        F.explode(F.when(k % 7 == 0, F.array(row, F.lit(""))).otherwise(F.array(row))).alias("line"),
+    )
+    head = ["Protocole Arburg", "Machine: ", "Date; 11.02.2025 06:00:00", "f1403;t007;t4012;t4015;t4018", "-;h:min;s;s;s"]
+    named = F.transform(F.array(*[F.lit(h) for h in head]), lambda h: F.when(h == "Machine: ", F.concat(h, F.col("machine_id").cast("string"))).otherwise(h))
+    heads = data.select("machine_id", "part").distinct().select(
+        "machine_id", "part", F.lit(None).cast("timestamp").alias("time"), F.posexplode(named).alias("n", "line")
+    )
+    path = f"{shared_folder(v.spark)}/files/{uuid.uuid4().hex}"
+    order = [F.col("time").asc_nulls_first(), "n", F.desc("line")]  # the blank line follows its row
+    whole = heads.unionByName(data).repartition("machine_id", "part").sortWithinPartitions("machine_id", "part", *order)
+    whole.select("machine_id", "part", "line").write.partitionBy("machine_id", "part").text(path)
+    return path
+
+
+@query(
+    "s1_protocol_scan",
+    """, t AS (SELECT machine_id, event_id // 20000 AS part, event_id, time, k, time_bucket(INTERVAL 1 DAY, time) AS day,
+              CASE WHEN k % 9 <> 0 THEN (epoch_us(time) // 1000000) % 86400 END AS clock FROM ev),
+       n AS (SELECT *, row_number() OVER w AS i, CAST(coalesce(sum(CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING
+               AND 1 PRECEDING), 0) AS BIGINT) AS blanks, last_value(clock IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+             FROM t WINDOW w AS (PARTITION BY machine_id, part ORDER BY time, event_id)),
+       d AS (SELECT *, CAST(sum(CASE WHEN clock < before THEN 1 ELSE 0 END) OVER (PARTITION BY machine_id, part ORDER BY i) AS INTEGER) AS days FROM n)
+       SELECT d.event_id AS cycle_counter, 4 + i + blanks AS line_no, CAST(d.machine_id AS VARCHAR) AS machine_ref,
+              TIMESTAMP '2025-02-11' + to_days(days) + clock * INTERVAL 1 SECOND AS time, round(c.cycle_time_s, 6) AS cycle_time_s,
+              round(c.dosing_time_s, 6) AS dosing_time_s, CASE WHEN k % 5 <> 0 THEN round(c.injection_time_s, 6)
+              WHEN k % 11 = 0 THEN NULL END AS injection_time_s
+       FROM d JOIN cycles c ON c.cycle_counter = d.event_id""",
+)
+def protocol_scan(v: Views) -> DataFrame:
+    from cyclelake.functions.values import decimal_text
+
+    read = lines.read_lines(v.spark, _protocols(v))
+    rows = lines.read_protocol(read, stored(lines.profile_lines(read)))
+    cell = lambda c: F.col("cells")[c]
+    return rows.select(
+        cell("f1403").cast("bigint").alias("cycle_counter"),
+        "line_no",
+        "machine_ref",
+        "time",
+        decimal_text(cell("t4012")).alias("cycle_time_s"),
+        decimal_text(cell("t4015")).alias("dosing_time_s"),
+        decimal_text(cell("t4018")).alias("injection_time_s"),
+    )
+
+
 @query(
     "m2_column_map",
     """SELECT * FROM (VALUES ('Timestamp', CAST(NULL AS VARCHAR), CAST(0.0 AS DOUBLE)), ('Machine', NULL, 0.0), ('t_cycle', 'cycle_time_s', 0.75),
