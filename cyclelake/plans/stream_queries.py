@@ -14,7 +14,7 @@ from cyclelake.plans.registry import query
 from cyclelake.plans.views import Views
 from cyclelake.schema import VOLATILITY_FEATURES
 from cyclelake.session import shared_folder
-from cyclelake.streaming import rollups, scoring
+from cyclelake.streaming import ingest, rollups, scoring
 
 
 STEPS = 3  # restarts of a replayed stream; state is carried over in its checkpoint
@@ -84,6 +84,80 @@ def backfilled_rollup(v: Views) -> DataFrame:
     )
 
 
+DROPS = 3  # deliveries to the inbox, each followed by a run of the import
+
+
+def _delivered(v: Views, importers: Callable[[str, str], dict[str, ingest.Importer]]) -> str:
+    """Tables of the import stream after all deliveries; every delivery meets a newly started stream.
+
+    The cycles arrive as files of a site, a quarter of its machines and 100,000 counter values, a third of them with each
+    delivery. The second one also brings copies under other names, one of an earlier file and one of its own, and the
+    first part of a file that is complete with the third. A file without a site and one of a kind without importer lie beside.
+    """
+    base = f"{shared_folder(v.spark)}/imports/{uuid.uuid4().hex}"
+    inbox, tables, n = f"{base}/inbox", f"{base}/tables", F.col("cycle_counter")
+    rows = v.cycles.select(
+        "site_id", (F.col("machine_id") % 4).alias("quarter"), F.floor(n / 100_000).alias("part"), (n % DROPS).alias("delivery"),
+        F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), F.col("machine_id").cast("string").alias("Machine"),
+        F.col("cycle_time_s").cast("string").alias("t_cycle"), n.alias("n_cycle"),
+    )
+    keys = ["site_id", "quarter", "part", "delivery"]
+    rows.repartition(*keys).write.partitionBy(*keys).option("header", True).option("sep", ";").csv(f"{base}/made")
+    jvm = v.spark._jvm.org.apache.hadoop.fs
+    at = lambda name: jvm.Path(f"{inbox}/{name}")
+    conf = v.spark._jsparkSession.sessionState().newHadoopConf()
+    fs = at("").getFileSystem(conf)
+    copy = lambda one, name: jvm.FileUtil.copy(fs, one, fs, at(name), False, conf)
+    made = [status.getPath() for status in fs.globStatus(jvm.Path(f"{base}/made/*/*/*/*/part-*"))]
+    for delivery in range(DROPS):
+        for one in made:
+            site, quarter, part, own = (piece.partition("=")[2] for piece in one.toString().split("/")[-5:-1])
+            name = f"site-{site}/{quarter}/cycles_{part}_{own}"
+            if int(own) == delivery:
+                copy(one, f"{name}.csv")
+            if delivery == 1 and part == "0":
+                if (quarter, own) == ("0", "0"):
+                    copy(one, f"site-{site}/archive/machine_again.csv")
+                if (quarter, own) == ("1", "1"):
+                    copy(one, f"site-{site}/{quarter}/cycles_copy.csv")
+                if (quarter, own) == ("2", "2"):
+                    copy(one, f"{name}.csv.part")
+        if delivery == 0 and made:
+            copy(made[0], "loose_cycles.csv")
+            copy(made[0], "site-1/quality_checks.csv")
+        ingest.start_import(v.spark, inbox, tables, importers(inbox, tables), available_now=True).awaitTermination()
+    return tables
+
+
+@query(
+    "x1_import_stream",
+    """SELECT site_id, CAST(machine_id AS VARCHAR) AS machine, date_trunc('second', time) AS time, cycle_counter,
+              round(cycle_time_s, 6) AS cycle_time_s, 'machine_cycle' AS source_kind FROM cycles""",
+)
+def import_stream(v: Views) -> DataFrame:
+    tables = _delivered(v, lambda inbox, tables: {"machine_cycle": ingest.table_importer(inbox, tables, "cycles")})
+    cell = lambda name: F.col("cells")[name]
+    return v.spark.read.parquet(f"{tables}/cycles").select(
+        "site_id", cell("Machine").alias("machine"), "time", cell("n_cycle").cast("bigint").alias("cycle_counter"),
+        cell("t_cycle").cast("double").alias("cycle_time_s"), "source_kind",
+    )
+
+
+@query(
+    "x2_import_manifest",
+    """, f AS (SELECT DISTINCT site_id, machine_id % 4 AS quarter, cycle_counter // 100000 AS part, cycle_counter % 3 AS delivery FROM cycles)
+       SELECT site_id, 'completed' AS status, 'machine_cycle' AS source_kind, count(*) AS files FROM f GROUP BY site_id
+       UNION ALL SELECT site_id, 'duplicate', 'machine_cycle', count(*) FROM f
+         WHERE part = 0 AND ((quarter = 0 AND delivery = 0) OR (quarter = 1 AND delivery = 1)) GROUP BY site_id
+       UNION ALL SELECT NULL, 'rejected', 'machine_cycle', 1
+       UNION ALL SELECT 1, 'unsupported', 'quality', 1""",
+)
+def import_manifest(v: Views) -> DataFrame:
+    tables = _delivered(v, lambda inbox, tables: {"machine_cycle": lambda files, batch: None})
+    manifest = ingest.read_table(v.spark, f"{tables}/manifest", ingest.MANIFEST_SCHEMA)
+    return manifest.groupBy("site_id", "status", "source_kind").agg(F.count("*").alias("files"))
+
+
 @query("x8_volatility_stream", _volatility_sql("cycles"))
 def volatility_stream(v: Views) -> DataFrame:
     return _replay(v, v.cycles, scoring.volatility_stream, "append").select(

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cyclelake.operators.detect import detect_after_import
 from cyclelake.session import stored
+from cyclelake.sources import lines
 from cyclelake.sources.files import with_file_hash, with_route
 
 # --- fixed values: names of files still being written -----------------------------------
@@ -83,6 +84,22 @@ def import_batch(
     write_batch(claim.select("site_id", "file_hash", "path", "source_kind", "status"), f"{tables}/manifest", batch_id)
 
 
+def table_importer(inbox: str, tables: str, name: str, zone: str = "UTC") -> Importer:
+    """An importer that appends the rows of delimited exports to the batch-folder table `name`.
+
+    Rows keep file, line number, cells and time, with site, kind and machine of the file's route. Files
+    are read line by line, so a large one is imported by many tasks.
+    """
+
+    def run(files: DataFrame, batch_id: int) -> None:
+        spark = files.sparkSession
+        read = lines.read_lines(spark, [r["path"] for r in files.select("path").collect()])  # at most the files of one batch
+        rows = lines.read_table(read, stored(lines.profile_lines(read)), zone)
+        write_batch(with_route(rows, inbox).drop("route_error"), f"{tables}/{name}", batch_id)
+
+    return run
+
+
 def start_import(
     spark: SparkSession, inbox: str, tables: str, importers: dict[str, Importer], available_now: bool = False
 ) -> StreamingQuery:
