@@ -15,6 +15,7 @@ from cyclelake.schema import (
     VOLATILITY_SOURCES,
     VOLATILITY_WINDOW,
 )
+from cyclelake.session import stored
 
 SCRAP_HISTORY = 20
 
@@ -112,17 +113,52 @@ def split_classes(split: DataFrame, label: str) -> DataFrame:
     )
 
 
-def most_recent(rows: DataFrame, keys: list[str], n: int = 10_000, order: list[str] = CYCLE_ORDER[:2]) -> DataFrame:
-    """The newest n rows of each group; a map-side limit precedes the shuffle.
+RECENT_BINS = 4096
 
-    Spark limits window groups before the shuffle up to a threshold of 1,000 rows by default;
-    it is raised to n, so at most n rows of a group leave an input partition.
+
+def recent_candidates(rows: DataFrame, n: int, first: str, bins: int = RECENT_BINS) -> DataFrame:
+    """Rows (with `_group`) among which each group's newest n are, about n of a large group.
+
+    `first`, the leading order column, is a time or a whole number. Groups of more than 4n rows are narrowed: counts per bin of `first`
+    tell the bin that holds the n-th newest row, which is cut into bins again until it holds at most 3n rows or one
+    value. Each step moves counts only.
+    """
+    kind = rows.schema[first].dataType.simpleString()
+    value = F.unix_micros(first) if kind == "timestamp" else F.col(first).cast("bigint")
+    slim = rows.select("_group", value.alias("_x")).where("_x IS NOT NULL")
+    sizes = slim.groupBy("_group").agg(F.count("*").alias("_size"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    state = sizes.where(F.col("_size") > 4 * n).withColumn("_need", F.lit(n).cast("bigint"))
+    if state.isEmpty():
+        return rows
+    state = stored(state)
+    open_ = (F.col("_size") > 3 * n) & (F.col("_low") < F.col("_high"))
+    while not state.where(open_).isEmpty():
+        step = F.expr(f"(_high - _low) div {bins} + 1")
+        own = slim.join(state.where(open_), "_group").where((F.col("_x") >= F.col("_low")) & (F.col("_x") <= F.col("_high")))
+        counted = own.withColumn("_step", step).groupBy("_group", "_high", "_low", "_need", "_step", F.expr("(_high - _x) div _step").alias("_bin")).count()
+        before = Window.partitionBy("_group").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # a row per bin
+        passed = counted.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+        chosen = passed.where((F.col("_before") < F.col("_need")) & (F.col("_before") + F.col("count") >= F.col("_need")))
+        high = F.col("_high") - F.col("_bin") * F.col("_step")
+        narrowed = chosen.select(
+            "_group", F.col("count").alias("_size"), F.greatest("_low", high - F.col("_step") + 1).alias("_low"), high.alias("_high"), (F.col("_need") - F.col("_before")).alias("_need")
+        )
+        state = stored(state.where(~open_).select(*narrowed.columns).unionByName(narrowed))
+    kept = rows.join(state.select("_group", "_low"), "_group", "left")
+    return kept.where(F.col("_low").isNull() | (value >= F.col("_low"))).drop("_low")
+
+
+def most_recent(rows: DataFrame, keys: list[str], n: int = 10_000, order: list[str] = CYCLE_ORDER[:2], parts: int = 64) -> DataFrame:
+    """The newest n rows of each group, whatever its size: large groups are narrowed to few candidates first.
+
+    Candidates of equal leading order value may still be many; they are cut down in `parts` before the last sort.
     """
-    spark, name = rows.sparkSession, "spark.sql.optimizer.windowGroupLimitThreshold"
-    if int(spark.conf.get(name)) < n:
-        spark.conf.set(name, str(n))
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(o).desc_nulls_last() for o in order])
-    return rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n")
+    grouped = rows.withColumn("_group", F.struct(*keys))
+    found = recent_candidates(grouped, n, order[0]).withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    newest = [F.col(o).desc_nulls_last() for o in order]
+    for window in (Window.partitionBy("_group", "_part"), Window.partitionBy("_group")):
+        found = found.withColumn("_n", F.row_number().over(window.orderBy(*newest))).where(F.col("_n") <= n)
+    return found.select(*rows.columns)
 
 
 def stride_sample(

@@ -211,6 +211,17 @@ def most_recent(v: Views) -> DataFrame:
     return features.most_recent(v.scores, ["model"]).select("model", "cycle_counter", "score")
 
 
+@query(
+    "w9_most_recent_lineitem",
+    """SELECT cycle_counter, cycle_time_s FROM (
+         SELECT *, row_number() OVER (ORDER BY time DESC, cycle_counter DESC) AS n FROM lineitem_cycles) WHERE n <= 10000""",
+)
+def most_recent_lineitem(v: Views) -> DataFrame:
+    """All bulk cycles as those of one model, so its newest are found among all rows."""
+    whole = v.lineitem_cycles.withColumn("model", F.lit("all"))
+    return features.most_recent(whole, ["model"]).select("cycle_counter", "cycle_time_s")
+
+
 @query(
     "w10_stride_sample",
     """, normal AS (

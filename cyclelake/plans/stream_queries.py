@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cyclelake.operators import sinks
 from cyclelake.operators.rollups import hourly_rollup
@@ -158,25 +158,77 @@ def import_manifest(v: Views) -> DataFrame:
     return manifest.groupBy("site_id", "status", "source_kind").agg(F.count("*").alias("files"))
 
 
+def _delivered_rows(v: Views, rows: DataFrame, arrival: Column, start: Callable[[DataFrame], object]) -> None:
+    """Write rows to a folder in `STEPS` deliveries by their arrival, each followed by a run of a newly started stream."""
+    folder = f"{shared_folder(v.spark)}/streams/{uuid.uuid4().hex}"
+    micros = F.unix_micros(arrival)
+    cuts = rows.select(micros.alias("t")).approxQuantile("t", [i / STEPS for i in range(1, STEPS)], 0.01)
+    step = sum(((micros > cut).cast("int") for cut in cuts), F.lit(0))
+    for i in range(STEPS):
+        rows.where(F.coalesce(step, F.lit(0)) == i).write.mode("append").parquet(folder)
+        start(v.spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
+
+
 @query("x8_volatility_stream", _volatility_sql("cycles"))
 def volatility_stream(v: Views) -> DataFrame:
-    return _replay(v, v.cycles, scoring.volatility_stream, "append").select(
-        "cycle_counter", "source_row_hash", *VOLATILITY_FEATURES
-    )
+    """Cycles reach the stream up to six hours late and out of order; the seven hours of the stream's delay cover that."""
+    made = scoring.VolatilityStream(v.spark, f"{shared_folder(v.spark)}/streams/{uuid.uuid4().hex}", delay_s=7 * 3600)
+    arrival = F.timestamp_add("HOUR", (F.col("cycle_counter") % 7).cast("int"), F.col("time"))
+    _delivered_rows(v, v.cycles, arrival, lambda stream: made.start(stream, available_now=True))
+    made.close()
+    return made.features().select("cycle_counter", "source_row_hash", *VOLATILITY_FEATURES)
+
+
+def _monitored(v: Views) -> scoring.MonitorStream:
+    """The monitor after three deliveries of scores and, half an hour later each, the outcomes of three in four."""
+    seen = v.scores.where(~F.col("is_reference"))
+    none = lambda kind: F.lit(None).cast(kind)
+    scores = seen.select("model", "time", "cycle_counter", "score", "threshold", none("int").alias("label"), F.lit("score").alias("kind"))
+    told = seen.where(F.col("cycle_counter") % 4 != 0).select(
+        "model", F.timestamp_add("MINUTE", F.lit(30), "time").alias("time"), "cycle_counter", "score", none("double").alias("threshold"),
+        "label", F.lit("feedback").alias("kind"),
+    )
+    made = scoring.MonitorStream(v.spark, f"{shared_folder(v.spark)}/streams/{uuid.uuid4().hex}", v.scores.where("is_reference"), window=MONITORED)
+    _delivered_rows(v, scores.unionByName(told), F.col("time"), lambda stream: made.start(stream, available_now=True))
+    return made
+
+
+MONITORED = 200  # scores and feedback rows kept per model, fewer than the smallest table has
+MONITOR_SQL = f""", ref AS (SELECT model, score, count(*) AS n FROM scores WHERE is_reference GROUP BY 1, 2),
+       cdf AS (SELECT model, score, sum(n) OVER (PARTITION BY model ORDER BY score) / sum(n) OVER (PARTITION BY model) AS p FROM ref),
+       told AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY time DESC, cycle_counter DESC) AS n FROM scores
+                WHERE NOT is_reference AND cycle_counter % 4 <> 0),
+       prob AS (SELECT f.model, f.label, coalesce(c.p, 0) AS p FROM (SELECT * FROM told WHERE n <= {MONITORED}) f
+                ASOF LEFT JOIN cdf c ON c.model = f.model AND c.score <= f.score)"""
 
 
 @query(
     "x9_monitor_stream",
-    """, recent AS (
-         SELECT *, row_number() OVER (PARTITION BY model ORDER BY time DESC, cycle_counter DESC) AS n FROM scores)
+    f"""{MONITOR_SQL},
+       recent AS (
+         SELECT *, row_number() OVER (PARTITION BY model ORDER BY time DESC, cycle_counter DESC) AS n FROM scores WHERE NOT is_reference),
+       brier AS (SELECT model, round(avg((p - label) * (p - label)), 6) AS brier_score FROM prob GROUP BY model)
        SELECT model, count(*) AS observations_total, count(*) FILTER (WHERE score >= threshold) AS alerts_total,
-              count(*) FILTER (WHERE n <= 1000) AS recent_window,
-              round(avg(CAST(score >= threshold AS INTEGER)) FILTER (WHERE n <= 1000), 6) AS alert_rate,
-              round(avg(score) FILTER (WHERE n <= 1000), 6) AS recent_mean
-       FROM recent GROUP BY model""",
+              count(*) FILTER (WHERE n <= {MONITORED}) AS recent_window,
+              round(avg(CAST(score >= threshold AS INTEGER)) FILTER (WHERE n <= {MONITORED}), 6) AS alert_rate,
+              round(avg(score) FILTER (WHERE n <= {MONITORED}), 6) AS recent_mean, any_value(brier_score) AS brier_score
+       FROM recent LEFT JOIN brier USING (model) GROUP BY model""",
 )
 def monitor_stream(v: Views) -> DataFrame:
-    return _replay(v, v.scores, lambda s: scoring.monitor_stream(s, 1000), "update", ["model"])
+    return _monitored(v).latest("figures")
+
+
+@query(
+    "x9_calibration_stream",
+    f"""{MONITOR_SQL},
+       bins AS (SELECT DISTINCT model, CAST(b AS INTEGER) AS bin FROM prob, range(5) g(b))
+       SELECT b.model, b.bin, b.bin / 5 AS lower, (b.bin + 1) / 5 AS upper, count(p.p) AS count,
+              round(avg(p.p), 6) AS mean_predicted, round(avg(p.label), 6) AS observed_rate
+       FROM bins b LEFT JOIN prob p ON p.model = b.model AND p.p >= b.bin / 5 AND (p.p < (b.bin + 1) / 5 OR (b.bin = 4 AND p.p = 1))
+       GROUP BY b.model, b.bin""",
+)
+def calibration_stream(v: Views) -> DataFrame:
+    return _monitored(v).latest("calibration")
 
 
 @query(

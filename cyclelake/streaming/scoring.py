@@ -1,151 +1,152 @@
-"""Stateful stream operators: causal features, score monitoring, delayed labels.
+"""Stateful stream operators: causal features in event time, score monitoring with feedback, delayed labels.
 
-State per machine is the last 20 cycles, state per model a ring of the newest scores.
+Both stateful operators are batch operators over a batch and a small stored state: rows that wait for the
+watermark and the last cycles of each machine, or the newest scores of each model. Nothing
+runs in Python, no group holds a batch, and a replayed batch gives the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from cyclelake.schema import (
-    CYCLE_ORDER,
-    SITE_MACHINE,
-    VOLATILITY_FEATURES,
-    VOLATILITY_MIN_VALUES,
-    VOLATILITY_SOURCES,
-    VOLATILITY_WINDOW,
-)
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-HISTORY = VOLATILITY_WINDOW - 1
-
+from pyspark.sql.streaming import StreamingQuery
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """The stateful operators need the RocksDB state store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+from cyclelake.functions.values import finite
+from cyclelake.operators import monitor
+from cyclelake.operators.features import most_recent, volatility_features
+from cyclelake.operators.ordered import Budget, DEFAULT_BUDGET, join_null_safe
+from cyclelake.schema import CYCLE_ORDER, SITE_MACHINE, VOLATILITY_FEATURES, VOLATILITY_SOURCES, VOLATILITY_WINDOW
+from cyclelake.session import stored
+from cyclelake.streaming.state import StateTables, start_batches
 
+HISTORY = VOLATILITY_WINDOW - 1
+KEY_SCHEMA = "site_id bigint, machine_id bigint, time timestamp, cycle_counter bigint, source_row_hash string"
+CYCLE_SCHEMA = f"{KEY_SCHEMA}, {', '.join(f'{c} double' for c in VOLATILITY_SOURCES)}"
+FEATURE_SCHEMA = f"{KEY_SCHEMA}, {', '.join(f'{f} double' for f in VOLATILITY_FEATURES)}"
 
-def rolling_spread(values: np.ndarray, window: int, minimum: int) -> np.ndarray:
-    """Population spread of the last `window` values, missing values ignored."""
-    result = np.full(len(values), np.nan)
-    for i in range(len(values)):
-        seen = values[max(0, i + 1 - window) : i + 1]
-        seen = seen[~np.isnan(seen)]
-        if len(seen) >= minimum:
-            result[i] = np.std(seen)
-    return result
 
+@dataclass(frozen=True)
+class VolatilityStream:
+    """Volatility of every cycle in event time; cycles may arrive up to `delay_s` seconds late.
 
-class RecentCycles(StatefulProcessor):
-    """Volatility of every arriving cycle from the machine's last 20 cycles."""
+    A cycle waits until the newest time seen is `delay_s` past it. Then all cycles of its time are there, and it gets the
+    values of the batch operator over its machine's history. Cycles that come later still are kept in
+    the table `late` and change nothing. Tables below `base`: features and late (a folder per batch), pending, tail, clock.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        columns = ", ".join(f"{c} double" for c in VOLATILITY_SOURCES)
-        self._history = handle.getListState("history", columns)
+    spark: SparkSession
+    base: str
+    delay_s: float = 3600.0
+    budget: Budget = DEFAULT_BUDGET
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values(CYCLE_ORDER, ignore_index=True)
-        old = pd.DataFrame(list(self._history.get()), columns=VOLATILITY_SOURCES)
-        values = pd.concat([old, new[VOLATILITY_SOURCES]], ignore_index=True).astype(float)
-        result = new[[*SITE_MACHINE, *CYCLE_ORDER]].copy()
-        for source, feature in zip(VOLATILITY_SOURCES, VOLATILITY_FEATURES):
-            spread = rolling_spread(values[source].to_numpy(), VOLATILITY_WINDOW, VOLATILITY_MIN_VALUES)
-            result[feature] = spread[len(old) :]
-        kept = values.tail(HISTORY)
-        self._history.put([tuple(None if v != v else float(v) for v in row) for row in kept.itertuples(index=False)])
-        yield result
+    def handle(self, batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*SITE_MACHINE, *CYCLE_ORDER, *[F.col(c).cast("double").alias(c) for c in VOLATILITY_SOURCES])
+        self._advance(rows, batch_id, close=False)
 
     def close(self) -> None:
-        pass
-
-
-FEATURE_SCHEMA = (
-    "site_id bigint, machine_id bigint, time timestamp, cycle_counter bigint, source_row_hash string, "
-    + ", ".join(f"{f} double" for f in VOLATILITY_FEATURES)
-)
-
-
-def volatility_stream(cycles: DataFrame) -> DataFrame:
-    """Streaming twin of the batch volatility features; cycles must arrive in time order."""
-    use_rocksdb(cycles.sparkSession)
-    return (
-        cycles.select(*SITE_MACHINE, *CYCLE_ORDER, *[F.col(c).cast("double").alias(c) for c in VOLATILITY_SOURCES])
-        .groupBy(*SITE_MACHINE)
-        .transformWithStateInPandas(
-            statefulProcessor=RecentCycles(),
-            outputStructType=FEATURE_SCHEMA,
-            outputMode="Append",
-            timeMode="None",
-        )
-    )
-
-
-class ScoreRing(StatefulProcessor):
-    """Newest scores and alerts of a model with lifetime totals; non-finite scores are ignored."""
-
-    def __init__(self, window: int):
-        self._window = window
+        """Release what still waits, as at the end of all input."""
+        done = StateTables(self.spark, self.base).versions("clock")
+        if done:
+            self._advance(self.spark.createDataFrame([], CYCLE_SCHEMA), done[-1] + 1, close=True)
+
+    def _advance(self, rows: DataFrame, batch_id: int, close: bool) -> None:
+        state = StateTables(self.spark, self.base)
+        clock = state.read("clock", "newest timestamp", batch_id)
+        passed = clock.agg(F.max("newest")).first()[0]
+        limit = F.lit(passed) - F.expr(f"INTERVAL {self.delay_s} SECONDS")
+        late = F.coalesce(F.col("time") <= limit, F.lit(False)) if passed is not None else F.lit(False)
+        rows = stored(rows)
+        rows.where(late).write.mode("overwrite").parquet(f"{self.base}/late/batch={batch_id}")
+        waiting = stored(state.read("pending", CYCLE_SCHEMA, batch_id).unionByName(rows.where(~late)))
+        newest = waiting.agg(F.max("time")).first()[0]
+        newest = max((t for t in (passed, newest) if t is not None), default=None)
+        ready = F.lit(True)
+        if not close:
+            ready = F.coalesce(F.col("time") <= F.lit(newest) - F.expr(f"INTERVAL {self.delay_s} SECONDS"), F.lit(newest is None))
+        tail = state.read("tail", CYCLE_SCHEMA, batch_id)
+        history = stored(tail.withColumn("_new", F.lit(False)).unionByName(waiting.where(ready).withColumn("_new", F.lit(True))))
+        made = volatility_features(history, budget=self.budget).where("_new")
+        made.select(*SITE_MACHINE, *CYCLE_ORDER, *VOLATILITY_FEATURES).write.mode("overwrite").parquet(f"{self.base}/features/batch={batch_id}")
+        state.write("tail", most_recent(history, SITE_MACHINE, HISTORY, CYCLE_ORDER).drop("_new"), batch_id)
+        state.write("pending", waiting.where(~ready), batch_id)
+        state.write("clock", self.spark.createDataFrame([(newest,)] if newest else [], "newest timestamp"), batch_id)
+
+    def start(self, cycles: DataFrame, available_now: bool = False) -> StreamingQuery:
+        return start_batches(cycles, self.base, self.handle, available_now)
+
+    def features(self) -> DataFrame:
+        return self.spark.read.schema(FEATURE_SCHEMA).parquet(f"{self.base}/features").drop("batch")
+
+    def late(self) -> DataFrame:
+        return self.spark.read.schema(CYCLE_SCHEMA).parquet(f"{self.base}/late").drop("batch")
+
+
+SCORE_SCHEMA = "model string, time timestamp, cycle_counter bigint, score double, threshold double"
+LABEL_SCHEMA = "model string, time timestamp, cycle_counter bigint, score double, label int"
+TOTAL_SCHEMA = "model string, observations_total bigint, alerts_total bigint"
+MODEL = ["model"]
+
+
+@dataclass(frozen=True)
+class MonitorStream:
+    """Monitoring figures of each model after every batch, against its reference scores.
+
+    Rows have `kind`: `score` (with score and threshold; non-finite scores are ignored), `feedback` (score and label 0 or 1)
+    or `reset`, which forgets what its model had up to then. State below `base`: the newest `window` scores and
+    feedback rows of each model, and lifetime totals; both only ever shrink to `window` rows per model.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState(
-            "ring", "scores array<double>, alerts array<boolean>, observations bigint, alerts_total bigint"
+    spark: SparkSession
+    base: str
+    reference: DataFrame
+    window: int = monitor.RECENT_WINDOW
+
+    def handle(self, batch: DataFrame, batch_id: int) -> None:
+        state = StateTables(self.spark, self.base)
+        columns = ["model", "time", "cycle_counter", "score", "threshold", F.col("label").cast("int").alias("label"), "kind"]
+        rows = stored(batch.select(*columns))
+        moment = F.struct("time", "cycle_counter")
+        resets = stored(rows.where("kind = 'reset'").groupBy("model").agg(F.max(moment).alias("_reset")))
+        fresh = join_null_safe(rows, resets, MODEL, "left").where(F.col("_reset").isNull() | (moment > F.col("_reset"))).drop("_reset")
+        usable = fresh.where(finite(F.col("score")).isNotNull())
+
+        def kept(name: str, schema: str, new: DataFrame) -> DataFrame:
+            old = join_null_safe(state.read(name, schema, batch_id), resets, MODEL, "left_anti")
+            return state.write(name, most_recent(old.unionByName(new), MODEL, self.window), batch_id)
+
+        scores = kept("scores", SCORE_SCHEMA, usable.where("kind = 'score'").drop("kind", "label"))
+        labels = kept("labels", LABEL_SCHEMA, usable.where("kind = 'feedback' AND label IN (0, 1)").drop("kind", "threshold"))
+        alert = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False))
+        counted = usable.where("kind = 'score'").groupBy("model").agg(
+            F.count("*").alias("observations_total"), F.count_if(alert).alias("alerts_total")
         )
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True).sort_values(["time", "cycle_counter"], ignore_index=True)
-        held = self._state.get() if self._state.exists() else None
-        scores, alerts, seen, raised = (list(held[0]), list(held[1]), held[2], held[3]) if held else ([], [], 0, 0)
-        if frame["reset"].any():
-            # everything up to the last reset is forgotten
-            last = int(np.flatnonzero(frame["reset"].to_numpy())[-1])
-            frame, scores, alerts, seen, raised = frame.iloc[last + 1 :], [], [], 0, 0
-        usable = frame[np.isfinite(frame["score"].astype(float))]
-        flags = (usable["score"] >= usable["threshold"]).fillna(False).astype(bool).tolist()
-        scores = (scores + usable["score"].astype(float).tolist())[-self._window :]
-        alerts = (alerts + flags)[-self._window :]
-        seen, raised = seen + len(usable), raised + sum(flags)
-        self._state.update((scores, alerts, seen, raised))
-        yield pd.DataFrame(
-            {
-                "model": [key[0]],
-                "observations_total": [seen],
-                "alerts_total": [raised],
-                "recent_window": [len(scores)],
-                "alert_rate": [sum(alerts) / len(alerts) if alerts else 0.0],
-                "recent_mean": [float(np.mean(scores)) if scores else None],
-            }
+        before = join_null_safe(state.read("totals", TOTAL_SCHEMA, batch_id), resets, MODEL, "left_anti")
+        named = resets.select("model", F.lit(0).cast("bigint").alias("observations_total"), F.lit(0).cast("bigint").alias("alerts_total"))
+        totals = before.unionByName(counted).unionByName(named).groupBy("model").agg(
+            F.sum("observations_total").alias("observations_total"), F.sum("alerts_total").alias("alerts_total")
         )
+        totals = state.write("totals", totals, batch_id)
 
-    def close(self) -> None:
-        pass
-
-
-RING_SCHEMA = (
-    "model string, observations_total bigint, alerts_total bigint, recent_window bigint, "
-    "alert_rate double, recent_mean double"
-)
-
-
-def monitor_stream(scores: DataFrame, window: int = 10_000) -> DataFrame:
-    """Current monitoring figures of each model after every batch.
-
-    A row with `reset` true clears its model's state.
-    """
-    use_rocksdb(scores.sparkSession)
-    reset = F.col("reset") if "reset" in scores.columns else F.lit(False)
-    return (
-        scores.select("model", "time", "cycle_counter", "score", "threshold", reset.alias("reset"))
-        .groupBy("model")
-        .transformWithStateInPandas(
-            statefulProcessor=ScoreRing(window), outputStructType=RING_SCHEMA, outputMode="Update", timeMode="None"
+        now = scores.groupBy("model").agg(
+            F.count("*").alias("recent_window"), F.avg(alert.cast("int")).alias("alert_rate"), F.avg("score").alias("recent_mean")
         )
-    )
+        chances = stored(monitor.rank_probabilities(self.reference, labels, MODEL))
+        figures = totals
+        for part in (now, monitor.brier_scores(chances, MODEL)):
+            figures = join_null_safe(figures, part, MODEL, "left")
+        figures = figures.withColumns({"recent_window": F.coalesce("recent_window", F.lit(0)), "alert_rate": F.coalesce("alert_rate", F.lit(0.0))})
+        figures.write.mode("overwrite").parquet(f"{self.base}/figures/batch={batch_id}")
+        monitor.calibration_table(chances, MODEL).write.mode("overwrite").parquet(f"{self.base}/calibration/batch={batch_id}")
+
+    def start(self, events: DataFrame, available_now: bool = False) -> StreamingQuery:
+        return start_batches(events, self.base, self.handle, available_now)
+
+    def latest(self, name: str) -> DataFrame:
+        """The rows of `figures` or `calibration` after the last batch."""
+        rows = self.spark.read.parquet(f"{self.base}/{name}")
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == last).drop("batch")
 
 
 def attach_labels(scores: DataFrame, labels: DataFrame, delay_hours: int = 24) -> DataFrame:

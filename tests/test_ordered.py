@@ -163,3 +163,24 @@ def test_overlaps_on_hot_machines(spark):
     )
     for budget in (TIGHT, Budget()):
         assert intervals.overlapping_order_pairs(df, budget).first()["overlapping_pairs"] == pairs
+
+
+def test_newest_rows_of_a_hot_group_come_from_few_candidates(spark):
+    from pyspark.sql import Window
+
+    hot = spark.range(200_000).select(F.lit("hot").alias("model"), F.timestamp_micros(F.col("id") * F.col("id") % 999_983 * 1000).alias("time"), "id")
+    same = spark.range(30_000).select(F.lit("same").alias("model"), F.timestamp_micros(F.lit(5).cast("bigint")).alias("time"), (F.col("id") + 10**6).alias("id"))
+    rest = spark.range(3_000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.concat(F.lit("m"), F.col("id") % 7)).alias("model"),
+        F.when(F.col("id") % 5 != 0, F.timestamp_micros(F.col("id") % 50)).alias("time"),
+        (F.col("id") + 10**7).alias("id"),
+    )
+    rows = hot.union(same).union(rest).cache()
+    newest = Window.partitionBy("model").orderBy(F.col("time").desc_nulls_last(), F.desc("id"))
+    for n in (1, 100, 700):
+        want = rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n")
+        assert rounded(features.most_recent(rows, ["model"], n, ["time", "id"])) == rounded(want)
+        found = features.recent_candidates(rows.withColumn("_group", F.struct("model")), n, "time", bins=16)
+        held = {r["model"]: r["count"] for r in found.groupBy("model").count().collect()}
+        assert n <= held["hot"] <= 4 * n + 1 and held["same"] == 30_000
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == "1000"

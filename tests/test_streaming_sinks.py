@@ -33,21 +33,49 @@ def run(stream, save, base, mode):
     q.awaitTermination()
 
 
-def test_volatility_stream_over_two_batches(spark):
+def delivered(spark, base, table, parts, start):
+    """Each part of a table reaches the stream's folder before a newly started run."""
+    for part in parts:
+        table.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        start(spark.readStream.schema(table.schema).parquet(f"{base}/in")).awaitTermination()
+
+
+def replayed(base, start):
+    """Run the last batch once more, as after the loss of the driver before its commit."""
+    commits = Path(base) / "_checkpoint/commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    (commits / str(last)).unlink()
+    (commits / f".{last}.crc").unlink(missing_ok=True)
+    start().awaitTermination()
+
+
+def test_volatility_stream_puts_late_cycles_in_order(spark):
     base = folder()
     whole = history(spark)
-    sources = ["cycle_counter < 25", "cycle_counter >= 25"]
-    for i, part in enumerate(sources):
-        whole.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema(whole.schema).parquet(f"{base}/in")
-        run(
-            scoring.volatility_stream(stream),
-            lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/batch={n}"),
-            base,
-            "append",
-        )
-    got = spark.read.parquet(f"{base}/out").drop("batch")
+    made = scoring.VolatilityStream(spark, f"{base}/state", delay_s=600)
+    start = lambda stream: made.start(stream, available_now=True)
+    # cycles 20..24 come with the second batch, after 25..34
+    delivered(spark, base, whole, ["cycle_counter < 20 or cycle_counter between 25 and 29", "cycle_counter between 20 and 24 or cycle_counter between 30 and 44"], start)
+    partly = made.features()
+    assert {r["cycle_counter"] for r in partly.collect()} == set(range(35))
+    replayed(f"{base}/state", lambda: start(spark.readStream.schema(whole.schema).parquet(f"{base}/in")))
+    delivered(spark, base, whole, ["cycle_counter > 44"], start)
+    made.close()
+    got = made.features()
     assert rounded(got) == rounded(features.volatility_features(whole).select(*got.columns))
+    assert made.late().count() == 0
+
+
+def test_volatility_stream_keeps_cycles_that_come_too_late(spark):
+    base = folder()
+    whole = history(spark)
+    made = scoring.VolatilityStream(spark, f"{base}/state", delay_s=60)
+    delivered(spark, base, whole, ["cycle_counter not in (5, 6)", "cycle_counter in (5, 6)"], lambda s: made.start(s, available_now=True))
+    made.close()
+    assert sorted(r["cycle_counter"] for r in made.late().collect()) == [5, 6]
+    got = made.features()
+    rest = whole.where("cycle_counter not in (5, 6)")
+    assert rounded(got) == rounded(features.volatility_features(rest).select(*got.columns))
 
 
 def test_late_cycles_are_backfilled(spark):
@@ -88,17 +116,38 @@ def test_import_stream_loads_each_content_once(spark):
     assert {r["status"]: r["count"] for r in states} == {"completed": 3, "duplicate": 2, "unsupported": 1, "rejected": 1}
 
 
-def test_monitor_stream_resets(spark):
+def test_monitor_stream_with_feedback_and_resets(spark):
     base = folder()
+    reference = spark.createDataFrame([("m", float(i)) for i in range(10)] + [("n", 1.0), ("n", 2.0)], "model string, score double")
+    none = None
+    made = [
+        ("m", at(0), 0, 5.0, 2.0, none, "score", 0), ("m", at(1), 1, none, none, none, "reset", 0), ("m", at(2), 2, 1.0, 2.0, none, "score", 0),
+        ("m", at(3), 3, 3.0, 2.0, none, "score", 0), ("m", at(4), 4, float("nan"), 2.0, none, "score", 0), ("m", at(5), 5, 4.0, none, none, "score", 0),
+        ("m", at(6), 3, 3.0, none, 1, "feedback", 0), ("m", at(7), 2, 0.5, none, 0, "feedback", 0), ("m", at(8), 9, 1.0, none, 7, "feedback", 0),
+        ("n", at(0), 0, 9.0, 2.0, none, "score", 0), ("n", at(1), 0, 1.0, none, 0, "feedback", 0),
+        ("m", at(20), 20, 8.0, 2.0, none, "score", 1), ("m", at(21), 21, 8.5, 2.0, none, "score", 1), ("m", at(22), 20, 8.0, none, 1, "feedback", 1),
+        ("n", at(30), 1, none, none, none, "reset", 1),
+    ]
     rows = spark.createDataFrame(
-        [("m", at(i), i, float(v), 2.0, r) for i, (v, r) in enumerate([(5, False), (0, True), (1, False), (3, False), ("nan", False)])],
-        "model string, time timestamp, cycle_counter bigint, score double, threshold double, reset boolean",
+        made, "model string, time timestamp, cycle_counter bigint, score double, threshold double, label int, kind string, step int"
     )
-    rows.coalesce(1).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-    run(scoring.monitor_stream(stream, 10), lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/b={n}"), base, "update")
-    got = spark.read.parquet(f"{base}/out").first()
-    assert (got["observations_total"], got["alerts_total"], got["alert_rate"]) == (2, 1, 0.5)
+    monitored = scoring.MonitorStream(spark, f"{base}/state", reference, window=4)
+    start = lambda stream: monitored.start(stream, available_now=True)
+    figures = lambda: {r["model"]: r.asDict() for r in monitored.latest("figures").collect()}
+    delivered(spark, base, rows, ["step = 0"], start)
+    m = figures()["m"]
+    assert (m["observations_total"], m["alerts_total"], m["recent_window"]) == (3, 1, 3)
+    assert abs(m["alert_rate"] - 1 / 3) < 1e-9 and abs(m["brier_score"] - ((0.4 - 1) ** 2 + 0.1**2) / 2) < 1e-9
+    delivered(spark, base, rows, ["step = 1"], start)
+    for _ in range(2):
+        both = figures()
+        m, n = both["m"], both["n"]
+        assert (m["observations_total"], m["alerts_total"], m["recent_window"], m["alert_rate"]) == (5, 3, 4, 0.75)
+        assert abs(m["recent_mean"] - 23.5 / 4) < 1e-9 and abs(m["brier_score"] - (0.6**2 + 0.1**2 + 0.1**2) / 3) < 1e-9
+        assert (n["observations_total"], n["recent_window"], n["alert_rate"], n["brier_score"]) == (0, 0, 0.0, None)
+        bins = {r["bin"]: (r["count"], r["observed_rate"]) for r in monitored.latest("calibration").where("model = 'm'").collect()}
+        assert bins == {0: (1, 0.0), 1: (0, None), 2: (1, 1.0), 3: (0, None), 4: (1, 1.0)}
+        replayed(f"{base}/state", lambda: start(spark.readStream.schema(rows.schema).parquet(f"{base}/in")))
 
 
 def test_cycle_table_layout(spark):
