@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cyclelake.llm.common import sliced, stored
+from cyclelake.llm.common import bit_filter, has_bit, sliced, stored
 
 LEAST = 10  # occurrences of a candidate
 COVERED = (50, 100)  # a candidate goes if a longer one around it has this share of its occurrences
@@ -148,30 +147,6 @@ def tiled(
     yield grouped([x[sparse] for x in columns])
 
 
-@dataclass
-class Ranked:
-    """Ranks of the most frequent entries, and a filter of the other frequent ones."""
-
-    hot: DataFrame
-    entries: Broadcast
-    maybe: Broadcast
-
-
-def bit_filter(numbers: DataFrame) -> np.ndarray:
-    """The bits named by a column `bit`, packed."""
-    placed = numbers.select((F.col("bit") + 1).alias("bit"))
-    blocks = placed.groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for at, bits in blocks.collect():  # 2^FILTER_BITS / 32,768 rows at most
-        own = np.frombuffer(bits, np.uint8)
-        out[(at - 1) * 4096 : (at - 1) * 4096 + len(own)] = own
-    return out
-
-
-def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def rank_words(words: DataFrame, salt: int, hot: int) -> tuple[DataFrame, Broadcast]:
     """Frequent words with their codes, and what tasks need to code texts."""
     spark = words.sparkSession
@@ -182,7 +157,7 @@ def rank_words(words: DataFrame, salt: int, hot: int) -> tuple[DataFrame, Broadc
     table = dict(zip((f"{a}\0{b}".encode() for a, b in zip(top.column("lang").to_pylist(), top.column("word").to_pylist(), strict=True)), ranks.tolist(), strict=True))
     coded = stored(frequent.join(ranked, ["lang", "word"], "left").select("lang", "word", "n", F.coalesce("rank", numbered(salt)).alias("code")))
     rest = coded.where(F.col("code") >= NUMBERED).select(F.col("code").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("bit"))
-    return coded, spark.sparkContext.broadcast((table, bit_filter(rest), salt))
+    return coded, spark.sparkContext.broadcast((table, bit_filter(rest, FILTER_BITS), salt))
 
 
 class Codes(dict):
@@ -262,7 +237,7 @@ def rank_pairs(pairs: DataFrame, hot: int) -> Broadcast:
             at = pair_bits(batch.column("a").to_numpy(), batch.column("b").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(at)], ["bit"])
 
-    maybe = bit_filter(pairs.select("a", "b").mapInArrow(bits, "bit long"))
+    maybe = bit_filter(pairs.select("a", "b").mapInArrow(bits, "bit long"), FILTER_BITS)
     return pairs.sparkSession.sparkContext.broadcast((a, b, order, keys[order], maybe))
 
 
@@ -274,7 +249,7 @@ def pair_ranks(a: np.ndarray, b: np.ndarray, shared: tuple) -> tuple[np.ndarray,
     """Rank of each pair (0 for none), and whether it may be frequent."""
     first, second, order, keys, maybe = shared
     hashes = mixed([a, b])
-    possible = has(maybe, (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
+    possible = has_bit(maybe, (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
     ranks = np.zeros(len(a), np.int64)
     if len(keys):
         asked = np.flatnonzero(possible)

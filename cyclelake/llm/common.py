@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -11,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from cyclelake.session import stored
 
-__all__ = ["fold", "forget", "map_rows", "sliced", "stored", "table", "texts", "utf8", "words"]
+__all__ = ["bit_filter", "fold", "forget", "has_bit", "map_rows", "sliced", "stored", "table", "texts", "utf8", "words"]
 
 SLICE_ROWS = 500
 
@@ -34,6 +35,25 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def bit_filter(numbers: DataFrame, bits: int) -> np.ndarray:
+    """2^bits bits, packed, with those set that the column `bit` names; 2^bits / 32,768 rows come to the driver.
+
+    Single numbers are shuffled and each stretch of bits is made in one place: as long as few bits are set, partial
+    bitmaps of all tasks would be far larger than the numbers.
+    """
+    placed = numbers.select((F.col("bit") + 1).alias("bit"))
+    dealt = placed.withColumn("at", F.bitmap_bucket_number("bit")).repartition("at")
+    blocks = dealt.groupBy("at").agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for at, own in blocks.collect():
+        out[(at - 1) * 4096 : at * 4096] = np.frombuffer(own, np.uint8)
+    return out
+
+
+def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 

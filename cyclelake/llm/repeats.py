@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cyclelake.llm.common import forget, sliced, stored
+from cyclelake.llm.common import bit_filter, forget, has_bit, sliced, stored
 
 THRESHOLD = 400
 GRAM = 200  # bytes of the first digit
@@ -133,32 +133,23 @@ def bit_of(*columns: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def bit_filter(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """A packed bit for each row's columns; at most 2^FILTER_BITS / 32,768 rows come to the driver."""
+def filter_of(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """A packed bit for each row's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bit_of(*(batch.column(c).to_numpy() for c in columns)) + 1)], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(bit_of(*(batch.column(c).to_numpy() for c in columns)))], ["bit"])
 
-    bits = df.select(*columns).mapInArrow(run, "bit long")
-    blocks = bits.groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for at, own in blocks.collect():
-        out[(at - 1) * 4096 : at * 4096] = np.frombuffer(own, np.uint8)
-    return out
-
-
-def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return bit_filter(df.select(*columns).mapInArrow(run, "bit long"), FILTER_BITS)
 
 
 def passing(df: DataFrame, columns: list[str], chosen: DataFrame) -> DataFrame:
     """Rows of df whose columns may occur in `chosen`."""
-    bits = df.sparkSession.sparkContext.broadcast(bit_filter(chosen, columns))
+    bits = df.sparkSession.sparkContext.broadcast(filter_of(chosen, columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(has(bits.value, bit_of(*(batch.column(c).to_numpy() for c in columns)))))
+            yield batch.filter(pa.array(has_bit(bits.value, bit_of(*(batch.column(c).to_numpy() for c in columns)))))
 
     return df.mapInArrow(run, df.schema)
 
@@ -196,8 +187,8 @@ def decide(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def around(docs: DataFrame, text: str, split: DataFrame, threshold: int, gram: int) -> DataFrame:
     """Rows to split with the bytes of their windows and the first digit's place among them."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(split, ["name_a", "name_b", "at"]))
-    names = docs.sparkSession.sparkContext.broadcast(bit_filter(split, ["name_a", "name_b"]))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(split, ["name_a", "name_b", "at"]))
+    names = docs.sparkSession.sparkContext.broadcast(filter_of(split, ["name_a", "name_b"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,11 +198,11 @@ def around(docs: DataFrame, text: str, split: DataFrame, threshold: int, gram: i
                     if not data or len(data) < threshold:
                         continue
                     a, b = (np.array([x], np.int64) for x in name_of(data))
-                    if not has(names.value, bit_of(a, b))[0]:
+                    if not has_bit(names.value, bit_of(a, b))[0]:
                         continue
                     found = list(suffix_rows(data, threshold, gram))
                     at = np.array([placed(start, many) for start, many, _, _ in found], np.int64)
-                    chosen = np.flatnonzero(has(bits.value, bit_of(a.repeat(len(at)), b.repeat(len(at)), at)))
+                    chosen = np.flatnonzero(has_bit(bits.value, bit_of(a.repeat(len(at)), b.repeat(len(at)), at)))
                     for start, many, place, _ in map(found.__getitem__, chosen.tolist()):
                         rows.append((int(a[0]), int(b[0]), start, many, place - start, data[start : start + many - 1 + threshold]))
                 if rows:
@@ -236,7 +227,7 @@ def cells(many: int, place: int, size: int) -> Iterator[tuple[int, int, int, int
 
 def parts(blocks: DataFrame, size: int, threshold: int, split: DataFrame | None = None, within: int = 0) -> DataFrame:
     """Rows of the next pass: cells of `size` offsets; with `split`, single windows of the cells of `within` offsets named there."""
-    bits = blocks.sparkSession.sparkContext.broadcast(bit_filter(split, ["name_a", "name_b", "at"])) if split is not None else None
+    bits = blocks.sparkSession.sparkContext.broadcast(filter_of(split, ["name_a", "name_b", "at"])) if split is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +237,7 @@ def parts(blocks: DataFrame, size: int, threshold: int, split: DataFrame | None
                 made = list(cells(row["many"], row["place"], within or size))
                 if bits is not None:
                     at = np.array([placed(start + first, many) for first, many, _, _ in made], np.int64)
-                    keep = has(bits.value, bit_of(np.full(len(at), a), np.full(len(at), b), at))
+                    keep = has_bit(bits.value, bit_of(np.full(len(at), a), np.full(len(at), b), at))
                     made = [(i, 1, i, i) for (first, many, _, _), k in zip(made, keep.tolist(), strict=True) if k for i in range(first, first + many)]
                 rows += [
                     (a, b, placed(start + first, many), core_of(data[begin : stop + threshold]), whole_of(data[first : first + many - 1 + threshold]))
@@ -295,7 +286,7 @@ def without_repeats(
     """Per row of docs: key, n_bytes, n_removed, n_spans, kept_sha256, the removed runs and, on demand, the kept bytes."""
     found = repeated(docs, text, threshold, gram)
     cut = found.where(F.col("n_removed") < F.col("name_b").bitwiseAND(F.lit((1 << SIZE_BITS) - 1)))
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(cut, ["name_a", "name_b"]))
+    bits = docs.sparkSession.sparkContext.broadcast(filter_of(cut, ["name_a", "name_b"]))
     kind = docs.schema[key].dataType.simpleString()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +295,7 @@ def without_repeats(
                 data = [x or b"" for x in part.column(text).cast(pa.binary()).to_pylist()]
                 names = np.array([name_of(x) for x in data], np.int64).reshape(-1, 2)
                 a, b = (np.ascontiguousarray(names[:, i]) for i in (0, 1))
-                moved = has(bits.value, bit_of(a, b)) | texts
+                moved = has_bit(bits.value, bit_of(a, b)) | texts
                 made = [pa.array(a), pa.array(b), pa.array(list(map(len, data)), pa.int64())]
                 made.append(pa.array([sha256(x).hexdigest() for x in data], pa.string()))
                 made.append(pa.array([x if m else None for x, m in zip(data, moved.tolist(), strict=True)], pa.binary()))
