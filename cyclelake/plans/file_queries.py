@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -102,6 +103,91 @@ def _protocols(v: Views) -> str:
     return path
 
 
+@query(
+    "p11_profile_match",
+    """, reg AS (SELECT p_partkey AS p, sha256('structure' || CAST(p_partkey % 1000 AS VARCHAR)) AS digest, (p_partkey // 3 + p_partkey // 1000 * 2) % 7 AS c FROM part),
+       usable AS (SELECT *, c IN (0, 1) AS approved FROM reg WHERE c IN (0, 1, 2)),
+       counts AS (SELECT digest, count(*) FILTER (WHERE approved) AS a, count(*) FILTER (WHERE NOT approved) AS n,
+                         min(p) FILTER (WHERE approved) AS pa, min(p) FILTER (WHERE NOT approved) AS pn FROM usable GROUP BY digest)
+       SELECT job_id, CASE WHEN a > 1 OR (a = 0 AND n > 1) THEN 'duplicate' WHEN a = 1 THEN 'approved' WHEN n = 1 THEN 'candidate' ELSE 'none' END AS profile_status,
+              CASE WHEN a = 1 THEN 'p' || CAST(pa AS VARCHAR) WHEN a = 0 AND n = 1 THEN 'p' || CAST(pn AS VARCHAR) END AS profile_id
+       FROM import_jobs LEFT JOIN counts ON digest = sha256('structure' || CAST(job_id % 1000 AS VARCHAR))""",
+)
+def profile_match(v: Views) -> DataFrame:
+    """Files whose structures are among a thousand, against a registry with approved, candidate, doubled, disabled and faulty profiles."""
+    files_ = v.import_jobs.select("job_id", F.sha2(F.concat(F.lit("structure"), (F.col("job_id") % 1000).cast("string")), 256).alias("fingerprint"))
+    return profiling.match_profiles(files_, _registry(v)).select("job_id", "profile_status", "profile_id")
+
+
+def _registry(v: Views) -> DataFrame:
+    p = F.col("p_partkey")
+    c = (F.floor(p / 3) + F.floor(p / 1000) * 2) % 7  # 0, 1 approved; 2 candidate; 3 disabled; 4 to 6 faulty
+    return v.table("part").select(
+        F.when(c == 4, F.concat(F.lit("../p"), p)).otherwise(F.concat(F.lit("p"), p)).alias("profile_id"),
+        F.lit("1.0").alias("profile_version"),
+        F.when(c.isin(0, 1, 5), "approved").otherwise("candidate").alias("status"),
+        F.when(c == 3, False).when(c == 1, None).otherwise(True).alias("match_enabled"),
+        F.sha2(F.concat(F.lit("structure"), (p % 1000).cast("string")), 256).alias("digest"),
+        F.when(c == 6, "tabular-fingerprint/v0").otherwise(profiling.FINGERPRINT_VERSION).alias("fingerprint_version"),
+        F.lit("v1").alias("parser_version"),
+        F.when(c != 5, F.lit("2026-01-01")).alias("approved_at"),
+        F.lit("someone").alias("approved_by"),
+        F.lit(True).alias("field_validated"),
+    )
+
+
+@query(
+    "p11_registry_errors",
+    """SELECT CASE (p_partkey // 3 + p_partkey // 1000 * 2) % 7 WHEN 4 THEN 'identifier_invalid' WHEN 5 THEN 'approval_without_evidence'
+              WHEN 6 THEN 'fingerprint_version_unsupported' END AS registry_error, count(*) AS profiles FROM part GROUP BY 1""",
+)
+def registry_errors(v: Views) -> DataFrame:
+    return profiling.check_profiles(_registry(v)).groupBy("registry_error").agg(F.count("*").alias("profiles"))
+
+
+@query(
+    "m3_versioned_map",
+    """, f AS (SELECT *, 'v' || CAST(machine_id % 2 AS VARCHAR) AS version FROM machines),
+       s AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM machines o WHERE o.site_id = f.site_id AND o.erp_ref = f.erp_ref AND o.machine_id % 10 = 0
+                                           AND o.machine_id % 2 = f.machine_id % 2) THEN 0
+                     WHEN site_id <= 2 AND version = 'v0' THEN 1
+                     WHEN EXISTS (SELECT 1 FROM machines o WHERE o.erp_ref = f.erp_ref AND o.machine_id % 5 = 0 AND version = 'v1') THEN 2
+                     WHEN version = 'v0' THEN 3 END AS rank FROM f)
+       SELECT site_id, machine_id, label,
+              CASE WHEN label = 't4012' AND brand = 'arburg' THEN 'cycle_time_s'
+                   WHEN label = 'ZZ-1' AND rank = 0 AND brand = 'arburg' THEN 'cushion_mm' WHEN label = 'ZZ-1' AND rank = 1 AND brand = 'engel' THEN 'clamp_force_kn'
+                   WHEN label = 'ZZ-1' AND rank = 2 AND brand = 'haitian' THEN 'oil_temperature_c'
+                   WHEN label = 'Own é.Label' AND rank = 3 AND brand = 'arburg' THEN 'energy_kwh' END AS canonical,
+              CAST(CASE WHEN label = 't4012' AND brand = 'arburg' THEN 1 WHEN label = 'ZZ-1' AND rank = 0 AND brand = 'arburg' THEN 0.9
+                   WHEN label = 'ZZ-1' AND rank = 1 AND brand = 'engel' THEN 0.8 WHEN label = 'ZZ-1' AND rank = 2 AND brand = 'haitian' THEN 1
+                   WHEN label = 'Own é.Label' AND rank = 3 AND brand = 'arburg' THEN 0.7 ELSE 0 END AS DOUBLE) AS confidence
+       FROM s, (VALUES ('t4012'), ('ZZ-1'), ('Own é.Label')) l(label)""",
+)
+def versioned_map(v: Views) -> DataFrame:
+    """Headers of a file per machine, under version sets for a machine of a site, a site, a machine and any."""
+    m = F.col("machine_id")
+    owner = v.machines.select(
+        F.concat_ws("/", "site_id", "machine_id").alias("path"), F.col("site_id").cast("string").alias("site"), F.col("erp_ref").alias("machine"),
+        F.concat(F.lit("v"), m % 2).alias("parser_version"), "brand", "site_id", "machine_id",
+    )
+    headers = owner.select("path", "brand", F.posexplode(F.array(*[F.lit(x) for x in ("t4012", "ZZ-1", "Own é.Label")])).alias("position", "label"), F.lit(None).cast("string").alias("unit_cell"))
+    alias = lambda site, machine, version, brand, label, canonical, confidence: [
+        site.alias("site"), machine.alias("machine"), version.alias("parser_version"), F.lit(brand).alias("mapping_brand"), F.lit(label).alias("alias_label"),
+        F.lit(canonical).alias("canonical"), F.lit("x").alias("unit"), F.lit(None).cast("string").alias("source_unit"),
+        F.lit(1.0).alias("scale"), F.lit(confidence).cast("double").alias("confidence"),
+    ]
+    any_, own = F.lit(None).cast("string"), F.concat(F.lit("v"), m % 2)
+    ref, site = F.col("erp_ref"), F.col("site_id").cast("string")
+    versions = (
+        v.machines.where(m % 10 == 0).select(*alias(site, ref, own, "arburg", "zz_1", "cushion_mm", 0.9))
+        .union(v.sites.where("site_id <= 2").select(*alias(site, any_, F.lit("v0"), "engel", "zz 1", "clamp_force_kn", 0.8)))
+        .union(v.machines.where(m % 5 == 0).select(*alias(any_, ref, F.lit("v1"), "haitian", "zz1", "oil_temperature_c", None)))
+        .union(v.sites.limit(1).select(*alias(any_, any_, F.lit("v0"), "arburg", "own_elabel", "energy_kwh", 0.7)))
+    )
+    mapped = mapping.apply_versions(mapping.column_map(headers, label_dictionary(v.spark)), owner, versions)
+    return mapped.join(owner.select("path", "site_id", "machine_id"), "path").select("site_id", "machine_id", "label", "canonical", "confidence")
+
+
 @query(
     "s1_protocol_scan",
     """, t AS (SELECT machine_id, event_id // 20000 AS part, event_id, time, k, time_bucket(INTERVAL 1 DAY, time) AS day,
@@ -324,14 +410,26 @@ def probe_reports(v: Views) -> DataFrame:
 KEYS = [*SITE_MACHINE, *CYCLE_ORDER]
 
 
+_TRAINED: dict[tuple[str, str], str] = {}
+
+
+def _drift_folder(v: Views) -> str:
+    """Folder of the drift model of the bulk cycles' suppliers; it is trained and stored once per session and input."""
+    key = (v.spark.sparkContext.applicationId, v.folder)
+    if key not in _TRAINED:
+        folder = f"{shared_folder(v.spark)}/models/{uuid.uuid4().hex}"
+        models.save_drift_model(models.train_drift(v.lineitem_cycles), folder)
+        _TRAINED[key] = folder
+    return _TRAINED[key]
+
+
 def _drift_model(v: Views) -> dict[str, DataFrame]:
-    """Drift model of the bulk cycles' suppliers."""
-    return models.train_drift(v.lineitem_cycles)
+    return models.load_drift_model(v.spark, _drift_folder(v))
 
 
 @query("l1_drift_training")
 def drift_training(v: Views) -> DataFrame:
-    return _drift_model(v)["metrics"]
+    return v.spark.read.parquet(f"{_drift_folder(v)}/metrics")
 
 
 @query("l3_drift_scores")
@@ -344,6 +442,67 @@ def reference_scores(v: Views) -> DataFrame:
     return models.reference_scores(v.lineitem_cycles, _drift_model(v))
 
 
+DRIFT_MACHINES_SQL = """placed AS (
+         SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY site_id, machine_id) - 20 AS n FROM lineitem_cycles
+         WINDOW w AS (PARTITION BY site_id, machine_id ORDER BY time, cycle_counter, source_row_hash)),
+       normal AS (SELECT * FROM placed WHERE i <= greatest(1, least(n - 1, CAST(floor(n * 2.0 / 3) AS BIGINT))) AND i <= n AND NOT scrap_flag),
+       counts AS (SELECT count(DISTINCT (site_id, machine_id)) AS machines FROM normal)"""
+
+
+@query(
+    "l2_model_checks",
+    f""", {DRIFT_MACHINES_SQL}
+       SELECT model, status, CASE WHEN status <> 'tables_missing' THEN machines END AS machines FROM counts, (VALUES
+         ('stored', 'usable'), ('of another version', 'model_version_unsupported'), ('with other features', 'features_mismatch'),
+         ('with another horizon', 'horizon_mismatch'), ('without limit', 'thresholds_invalid'), ('nowhere', 'tables_missing')) t(model, status)""",
+)
+def model_checks(v: Views) -> DataFrame:
+    """The stored model beside copies that break one part of its contract each, with the machines they have a threshold for."""
+    stored_at = _drift_folder(v)
+    model = models.load_drift_model(v.spark, stored_at)
+    version, features, horizon = models.drift_contract()
+    base = f"{shared_folder(v.spark)}/models/{uuid.uuid4().hex}"
+    folders = {"stored": stored_at, "nowhere": f"{base}/nowhere"}
+    for name, contract in {
+        "of another version": ("drift-0", features, horizon),
+        "with other features": (version, "cycle_time_s", horizon),
+        "with another horizon": (version, features, horizon + 1),
+        "without limit": (version, features, horizon),
+    }.items():
+        folders[name] = f"{base}/{name.replace(' ', '-')}"
+        endless = model["global_threshold"].withColumn("threshold", F.lit(float("inf")))
+        models.save_drift_model(model | ({"global_threshold": endless} if name == "without limit" else {}), folders[name], contract)
+    checked = models.check_drift_models(v.spark, folders)
+    counted = [
+        v.spark.read.parquet(f"{folder}/thresholds").agg(F.count("*").alias("machines")).select(F.lit(name).alias("model"), "machines")
+        for name, folder in folders.items()
+        if name != "nowhere"
+    ]
+    return checked.join(reduce(DataFrame.unionByName, counted), "model", "left")
+
+
+@query(
+    "l6_scrap_preprocessing",
+    """, named AS (
+         SELECT *, switchover_position AS switchover_position_mm, CAST(lag(scrap_flag) OVER w AS DOUBLE) AS previous_scrap_flag,
+                avg(CAST(scrap_flag AS DOUBLE)) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS rolling_scrap_rate_20
+         FROM cycles WINDOW w AS (PARTITION BY site_id, machine_id ORDER BY time, cycle_counter, source_row_hash)),
+       long AS (UNPIVOT (SELECT """
+    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in models.SCRAP_NUMERIC)
+    + """ FROM named) ON """
+    + ", ".join(models.SCRAP_NUMERIC)
+    + """ INTO NAME feature VALUE x),
+       n AS (SELECT count(*) AS n FROM cycles),
+       m AS (SELECT feature, quantile_cont(x, 0.5) AS median, count(*) AS filled, sum(x) AS s FROM long GROUP BY feature),
+       d AS (SELECT feature, median, (s + (n - filled) * median) / n AS mean, filled, n FROM m, n),
+       v AS (SELECT d.feature, d.median, d.mean, sqrt((sum((x - d.mean) * (x - d.mean)) + any_value(n - filled) * any_value(power(d.median - d.mean, 2)))
+               / any_value(n)) AS spread FROM d JOIN long USING (feature) GROUP BY d.feature, d.median, d.mean)
+       SELECT feature, round(median, 6) AS median, round(mean, 6) AS mean, round(CASE WHEN spread > 0 THEN spread ELSE 1 END, 6) AS spread FROM v""",
+)
+def scrap_preprocessing(v: Views) -> DataFrame:
+    return models.scrap_statistics(models.scrap_features(v.cycles))
+
+
 @query("l6_scrap_risk_training")
 def scrap_risk_training(v: Views) -> DataFrame:
     return models.train_scrap_risk(v.cycles)[1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from cyclelake.functions import text, times, values
 from cyclelake.operators import sinks, validation
 from cyclelake.plans.registry import query
-from cyclelake.plans.views import Views, pick
+from cyclelake.plans.views import Views, _sql_list, pick
 from cyclelake.schema import FEATURE_BOUNDS, SITE_MACHINE
 from cyclelake.session import shared_folder
 
@@ -44,6 +46,27 @@ def _raw_text(v: Views) -> DataFrame:
     return v.events.select("event_id", word.alias("t"))
 
 
+# Characters with names of the Latin, Greek, full-width, superscript, letter-like and squared-unit blocks.
+_BLOCKS = [(0xA1, 0x250), (0x1E00, 0x1F00), (0x370, 0x400), (0x1F00, 0x2000), (0x2070, 0x20A0), (0x2100, 0x2150), (0xFF01, 0xFF5F), (0x3371, 0x33E0)]
+FOLDED = [chr(p) for low, high in _BLOCKS for p in range(low, high) if unicodedata.name(chr(p), "") and not chr(p).isspace()]
+
+
+def _plain(label: str) -> str:
+    decomposed = unicodedata.normalize("NFKD", label).casefold()
+    return re.sub(r"[\s_.\-/\\]+", "", "".join(c for c in decomposed if not unicodedata.combining(c)))
+
+
+@query(
+    "m1_structural_labels",
+    f"""SELECT event_id, ({_sql_list([_plain("Zone_" + c + " No. É" + c) for c in FOLDED])})[event_id % {len(FOLDED)} + 1] AS label FROM ev""",
+)
+def structural_labels(v: Views) -> DataFrame:
+    from cyclelake.functions.text import fold_label
+
+    char = F.substring(F.lit("".join(FOLDED)), (F.col("event_id") % len(FOLDED) + 1).cast("int"), F.lit(1))
+    return v.events.select("event_id", fold_label(F.concat(F.lit("Zone_"), char, F.lit(" No. É"), char)).alias("label"))
+
+
 @query(
     "m5_null_tokens",
     f""", {RAW_TEXT_SQL} SELECT event_id, CASE WHEN lower(trim(t)) NOT IN ('', 'nan', 'nat', 'n/a', 'na', 'null', 'none')

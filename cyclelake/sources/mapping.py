@@ -14,6 +14,8 @@ from cyclelake.schema import NUMERIC_FIELDS
 TIME_PRIORITY = ["timestamp", "time", "datetime", "date_time", "dateheure", "date heure"]
 TIME_PARTS = ["timestamp", "datetime", "date heure"]
 TOLERATED_UNITS = [("cm3", "mm_or_cm3"), ("mm", "mm_or_cm3")]
+SELECTOR = "^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
+ANY = "*"
 # --------------------------------------------------------------------------------------
 MAP_COLUMNS = ["canonical", "unit", "source_unit", "scale", "confidence", "matched_by", "mapped_brand"]
 
@@ -58,33 +60,46 @@ def column_map(headers: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
+# Selectors of a version set, most specific first.
+SELECTORS = [("site", "machine"), ("site", None), (None, "machine"), (None, None)]
+
+
+def chosen_versions(files: DataFrame, versions: DataFrame) -> DataFrame:
+    """(path, parser_version, v_site, v_machine) of the most specific version set of every file that has one.
+
+    A file asks for its four selectors by equality; the most specific set there is counts, also if it is of another
+    brand. Selectors that are not plain names match nothing.
+    """
+    plain = lambda c: F.when(F.col(c).rlike(SELECTOR), F.col(c))
+    part = lambda name: F.coalesce(plain(name), F.lit(ANY)) if name else F.lit(ANY)
+    asked = [F.struct(F.lit(-rank).alias("rank"), part(site).alias("v_site"), part(machine).alias("v_machine")) for rank, (site, machine) in enumerate(SELECTORS)]
+    safe = reduce(lambda a, b: a & b, [F.coalesce(F.col(c).rlike(SELECTOR) | (F.col(c) == ""), F.lit(True)) for c in ("site", "machine")])
+    wanted = files.where(safe & F.col("parser_version").rlike(SELECTOR)).select("path", "parser_version", F.explode(F.array(*asked)).alias("s"))
+    sets = versions.select("parser_version", F.coalesce("site", F.lit(ANY)).alias("v_site"), F.coalesce("machine", F.lit(ANY)).alias("v_machine")).distinct()
+    met = wanted.select("path", "parser_version", "s.*").join(sets, ["parser_version", "v_site", "v_machine"])
+    best = met.groupBy("path", "parser_version").agg(F.max_by(F.struct("v_site", "v_machine"), "rank").alias("best"))
+    return best.select("path", "parser_version", "best.*")
+
+
 def apply_versions(mapped: DataFrame, files: DataFrame, versions: DataFrame) -> DataFrame:
     """Override the map by the most specific alias set of a file's site, machine and version.
 
     `files`: path, site, machine, parser_version. `versions`: site, machine (null for any),
     parser_version, mapping_brand and per alias: alias_label, canonical, unit, source_unit,
     scale, confidence. Order: site and machine, site, machine, version. An alias set applies
-    only where its brand is the detected one.
+    only where its brand is the detected one. Of aliases that read the same the last by label counts.
     """
-    v = versions.select(
-        *[F.col(c).alias(f"v_{c}") for c in versions.columns], normalise_label(F.col("alias_label")).alias("_norm")
-    )
-    site, machine = F.coalesce("site", F.lit("*")), F.coalesce("machine", F.lit("*"))
-    rank = (
-        F.when((F.col("v_site") == site) & (F.col("v_machine") == machine), 0)
-        .when((F.col("v_site") == site) & F.col("v_machine").isNull(), 1)
-        .when(F.col("v_site").isNull() & (F.col("v_machine") == machine), 2)
-        .when(F.col("v_site").isNull() & F.col("v_machine").isNull(), 3)
-    )
-    offered = (
-        files.select("path", "site", "machine", "parser_version")
-        .join(v, F.col("parser_version") == F.col("v_parser_version"))
-        .withColumn("_rank", rank)
-        .where(F.col("_rank").isNotNull())
-    )
-    chosen = offered.join(offered.groupBy("path").agg(F.min("_rank").alias("_rank")), ["path", "_rank"]).select(
-        "path", "_norm", *[c for c in v.columns if c.startswith("v_")]
+    own = [c for c in versions.columns if c not in ("site", "machine", "parser_version")]
+    keys = ["parser_version", "v_site", "v_machine"]
+    aliases = versions.select(
+        "parser_version",
+        F.coalesce("site", F.lit(ANY)).alias("v_site"),
+        F.coalesce("machine", F.lit(ANY)).alias("v_machine"),
+        normalise_label(F.col("alias_label")).alias("_norm"),
+        F.struct(*[F.col(c).alias(f"v_{c}") for c in own]).alias("_alias"),
     )
+    single = aliases.groupBy(*keys, "_norm").agg(F.max_by("_alias", "_alias.v_alias_label").alias("_alias"))
+    chosen = chosen_versions(files, versions).join(single, keys).select("path", "_norm", "_alias.*")
     joined = mapped.withColumn("_norm", normalise_label(F.col("label"))).join(chosen, ["path", "_norm"], "left")
     hit = F.col("v_canonical").isNotNull() & (F.col("v_mapping_brand") == F.col("brand"))
     new = {

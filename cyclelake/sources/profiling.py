@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cyclelake.functions.text import fold_label, strip
@@ -25,6 +27,8 @@ PROCESS_LABELS = [
 MACHINE_LABELS = ["machine", "machineid", "machineerpref", "refmachine"]
 BRAND_HINT_LABELS = ["t007", "t4012", "t4015", "t4018", "v4062", "p4072", "f1403"]
 FINGERPRINT_VERSION = "tabular-fingerprint/v1"
+IDENTIFIER = "^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
+DIGEST = "^[0-9a-f]{64}$"
 MAX_FILE_BYTES = 256 * 1024 * 1024
 MAX_COLUMNS = 2048
 MAX_CELL_CHARS = 16384
@@ -312,15 +316,36 @@ def fingerprint_groups(profiles: DataFrame) -> DataFrame:
     return profiles.select("fingerprint", "path").join(sizes, "fingerprint")
 
 
+def check_profiles(registry: DataFrame) -> DataFrame:
+    """Add `registry_error` to the rows of a profile registry, null for the usable ones.
+
+    Approved profiles need their field validation; enabled ones a digest of the current fingerprint version.
+    Evidence columns that the registry does not have are not asked for.
+    """
+    named = lambda c: F.coalesce(F.col(c).rlike(IDENTIFIER), F.lit(False))
+    evidence = [F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in ("approved_at", "approved_by") if c in registry.columns]
+    evidence += [F.coalesce("field_validated", F.lit(False))] if "field_validated" in registry.columns else []
+    enabled = F.coalesce("match_enabled", F.lit(True))
+    error = (
+        F.when(~F.coalesce(F.col("status").isin("approved", "candidate"), F.lit(False)), "status_invalid")
+        .when((F.col("status") == "approved") & ~reduce(lambda a, b: a & b, evidence, F.lit(True)), "approval_without_evidence")
+        .when(~named("profile_id"), "identifier_invalid")
+        .when(~named("profile_version"), "version_invalid")
+        .when(F.col("parser_version").isNotNull() & ~named("parser_version"), "parser_version_invalid")
+        .when(enabled & ~F.col("fingerprint_version").eqNullSafe(FINGERPRINT_VERSION), "fingerprint_version_unsupported")
+        .when(enabled & ~F.coalesce(F.col("digest").rlike(DIGEST), F.lit(False)), "digest_invalid")
+    )
+    return registry.withColumn("registry_error", error)
+
+
 def match_profiles(profiles: DataFrame, registry: DataFrame) -> DataFrame:
     """Add `profile_status` approved/candidate/none/duplicate and the chosen profile.
 
     `registry`: profile_id, profile_version, status, match_enabled, digest, fingerprint_version,
-    parser_version. Approved beats candidate; two of the chosen status are an error status.
+    parser_version. Approved beats candidate; two of the chosen status are an error status. Rows that
+    `check_profiles` finds fault with take no part.
     """
-    enabled = registry.where(
-        F.coalesce("match_enabled", F.lit(True)) & (F.col("fingerprint_version") == FINGERPRINT_VERSION)
-    )
+    enabled = check_profiles(registry).where(F.col("registry_error").isNull() & F.coalesce("match_enabled", F.lit(True)))
     per_status = enabled.groupBy("digest").agg(
         F.count_if(F.col("status") == "approved").alias("_approved"),
         F.count_if(F.col("status") == "candidate").alias("_candidates"),

@@ -229,3 +229,56 @@ def test_labels(spark):
     df = spark.createDataFrame([("Matelas de matière, valeur réelle",), (" Cycle_Time.ms ",)], "t string")
     got = [r[0] for r in df.select(text.normalise_label(F.col("t"))).collect()]
     assert got == ["matelasdematiere,valeurreelle", "cycletimems"]
+
+
+def test_labels_fold_like_compatibility_decomposition(spark):
+    import unicodedata
+
+    points = [p for low, high in [(0x20, 0x600), (0x1E00, 0x2200), (0x2460, 0x2500), (0x3300, 0x3400), (0xFB00, 0xFB50), (0xFF00, 0xFFF0), (0x1D400, 0x1D800)] for p in range(low, high)]
+    labels = ["".join(map(chr, points[i : i + 30])) + " t_0" for i in range(0, len(points), 30)] + ["", None]
+
+    def plain(label):
+        decomposed = unicodedata.normalize("NFKD", (label or "").replace("﻿", "")).casefold()
+        return "".join(c for c in decomposed if not unicodedata.combining(c) and not c.isspace() and c not in "_.-/\\")
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(labels)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(text.fold_label(F.col("t"))).collect()]
+    assert got == [plain(t) for t in labels]
+    assert plain("cm³ ＴＥＭＰ ﬁn Straße") == "cm3tempfinstrasse"
+
+
+def test_registry_rows_are_checked(spark):
+    digest, version = "a" * 64, profiling.FINGERPRINT_VERSION
+    good = ("p1", "1.0.0", "approved", True, digest, version, "v1", "2026", "me", True)
+    cases = {
+        None: good, "status_invalid": (*good[:2], "draft", *good[3:]), "approval_without_evidence": (*good[:9], False),
+        "identifier_invalid": ("a b", *good[1:]), "version_invalid": (good[0], None, *good[2:]), "parser_version_invalid": (*good[:6], "/x", *good[7:]),
+        "fingerprint_version_unsupported": (*good[:5], None, *good[6:]), "digest_invalid": (*good[:4], "A" * 64, *good[5:]),
+    }
+    off = ("p9", "1.0.0", "candidate", False, None, None, None, None, None, None)
+    schema = (
+        "profile_id string, profile_version string, status string, match_enabled boolean, digest string, fingerprint_version string, "
+        "parser_version string, approved_at string, approved_by string, field_validated boolean"
+    )
+    registry = spark.createDataFrame([*cases.values(), off], schema)
+    assert [r["registry_error"] for r in profiling.check_profiles(registry).collect()] == [*cases, None]
+    profiles = spark.createDataFrame([("a", digest), ("b", "b" * 64)], "path string, fingerprint string")
+    got = {r["path"]: (r["profile_status"], r["profile_id"]) for r in profiling.match_profiles(profiles, registry).collect()}
+    assert got == {"a": ("approved", "p1"), "b": ("none", None)}
+
+
+def test_the_most_specific_version_set_counts(spark):
+    versions = [(s, m, "v1", "arburg", "zz", f"{s}-{m}", "u", None, None, None) for s, m in [("1", "7"), ("1", None), (None, "7"), (None, None)]]
+    schema = (
+        "site string, machine string, parser_version string, mapping_brand string, alias_label string, canonical string, "
+        "unit string, source_unit string, scale double, confidence double"
+    )
+    paths = [("1", "7"), ("1", "8"), ("2", "7"), ("2", "8"), (None, None), ("", "7"), ("../x", "7"), ("*", "7")]
+    owner = spark.createDataFrame([(str(i), s, m, "v1") for i, (s, m) in enumerate(paths)] + [("8", "1", "7", "v2")], "path string, site string, machine string, parser_version string")
+    headers = owner.select("path", F.lit("arburg").alias("brand"), F.lit(0).alias("position"), F.lit("Z-Z").alias("label"), F.lit(None).cast("string").alias("unit_cell"))
+    mapped = mapping.column_map(headers, label_dictionary(spark))
+    every = spark.createDataFrame(versions, schema)
+    got = {r["path"]: r["canonical"] for r in mapping.apply_versions(mapped, owner, every).collect()}
+    assert got == {"0": "1-7", "1": "1-None", "2": "None-7", "3": "None-None", "4": "None-None", "5": "None-7", "6": None, "7": None, "8": None}
+    other = every.withColumn("mapping_brand", F.when(F.col("canonical") == "1-7", "engel").otherwise("arburg"))
+    assert mapping.apply_versions(mapped, owner, other).where("path = '0'").first()["canonical"] is None
