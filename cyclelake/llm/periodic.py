@@ -50,30 +50,76 @@ def block_words(low: int) -> int:
     return (shortest + 1) // 2
 
 
-def block_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the `size` numbers from each place on, by doubling."""
-    out = ids.astype(np.uint64)
-    width = 1
-    while width < size:
-        step = min(width, size - width)
-        out = (out[: len(out) - step] * MIX) ^ ((out[step:] << np.uint64(7)) | (out[step:] >> np.uint64(57)))
-        out = (out ^ (out >> np.uint64(31))) * MIX
-        width += step
-    return out
+class Hashes:
+    """Hashes of the stretches of a text's numbers, from sums of powers."""
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        self.n, (up, self.down) = n, _powers(n + 1)
+        values = (ids.astype(np.uint64) + np.uint64(1)) * MIX
+        values = (values ^ (values >> np.uint64(29))) * MIX
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((values ^ (values >> np.uint64(32))) * up[:n], out=self.sums[1:])
+
+    def blocks(self, size: int) -> np.ndarray:
+        """A hash of the `size` numbers from each place on."""
+        if size > self.n:
+            return np.empty(0, np.uint64)
+        out = (self.sums[size:] - self.sums[:-size]) * self.down[: self.n - size + 1]
+        return out ^ (out >> np.uint64(31))
+
+
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of MIX and of its inverse modulo 2^64; kept for the next text."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = 1 << max(n, 4096).bit_length()
+        bases = (int(MIX), pow(int(MIX), -1, 1 << 64))
+        _POWERS[:] = [tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in bases)]
+    return _POWERS[0]
 
 
-def repeated_blocks(ids: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Places of aligned blocks that occur again at a distance on the scale."""
+def repeated_blocks(ids: np.ndarray, hashes: Hashes, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of aligned blocks that occur again at a distance on the scale, and all their hashes.
+
+    Blocks within a run of a shorter period, whose repeats are turns of that run only, are left out."""
     size = block_words(low)
-    hashes = block_hashes(ids, size)
-    if len(hashes) <= low:
-        return np.empty(0, np.int64)
-    aligned = np.arange(0, len(hashes), size)
-    padded = np.concatenate([hashes, np.full(high + size, hashes[0] ^ np.uint64(1))])
-    later = np.lib.stride_tricks.sliding_window_view(padded, high - low)[low::size]
-    step = max(1, COMPARED // (high - low))
-    found = [(later[i : i + step][: len(own)] == own[:, None]).any(1) for i in range(0, len(aligned), step) for own in [hashes[aligned[i : i + step]]]]
-    return aligned[np.concatenate(found)]
+    own = hashes.blocks(size)
+    if len(own) <= low:
+        return np.empty(0, np.int64), own
+    aligned = np.arange(0, len(own), size)
+    padded = np.concatenate([own, np.full(high + size, own[0] ^ np.uint64(1))])
+    later = np.ndarray((len(aligned), high - 1), np.uint64, padded, offset=8, strides=(8 * size, 8))  # shifts 1 to high - 1
+    step = max(1, COMPARED // high)
+    places = []
+    short = (0, 0, 0)  # period, start and stop of the last run of a shorter period
+    for at in range(0, len(aligned), step):
+        starts = aligned[at : at + step]
+        same = later[at : at + step] == own[starts][:, None]
+        for row in np.flatnonzero(same[:, low - 1 :].any(1)).tolist():
+            place = int(starts[row])
+            shifts = np.flatnonzero(same[row]) + 1
+            d, last = int(shifts[0]), int(shifts[-1])
+            if d < low and (shifts[shifts >= low] % d == 0).all():
+                if not (short[0] == d and short[1] <= place < short[2]):
+                    short = (d, place, place + d + _agreeing(ids[place:], ids[place + d :]))
+                if place + last + size <= short[2]:
+                    continue
+            places.append(place)
+    return np.array(places, np.int64), own
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers agree from the start on."""
+    done, width, n = 0, 64, min(len(a), len(b))
+    while done < n:
+        differ = np.flatnonzero(a[done : min(n, done + width)] != b[done : min(n, done + width)])
+        if len(differ):
+            return done + int(differ[0])
+        done, width = done + width, 2 * width
+    return n
 
 
 def z_values(s: list[int], most: int) -> list[int]:
@@ -91,19 +137,32 @@ def z_values(s: list[int], most: int) -> list[int]:
     return z
 
 
+def match_values(text: list[int], pattern: list[int], most: int) -> list[int]:
+    """For the first `most` places of a text: length of the longest common prefix of the pattern and the text from there on."""
+    n, m = len(text), len(pattern)
+    z = z_values(pattern, most)
+    out = [0] * min(most, n)
+    left = right = 0
+    for i in range(len(out)):
+        k = min(right - i, z[i - left] if i > left else m) if i < right and i - left < len(z) else 0
+        if i + k >= right or k == 0:
+            while i + k < n and k < m and text[i + k] == pattern[k]:
+                k += 1
+            if i + k > right:
+                left, right = i, i + k
+        out[i] = k
+    return out
+
+
 def _turns(words: list[int], place: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """For each shift d below `most`: how far words and words d later agree from the place on, and before it."""
-    after = np.zeros(most, np.int64)
+    after, before = np.zeros(most, np.int64), np.zeros(most, np.int64)
     found = z_values(words[place:], most)
     after[: len(found)] = found
-    before = np.zeros(most, np.int64)
     ahead = min(most - 1, len(words) - place)  # shifts for which the place d later is in the tile
-    backward = words[place - 1 :: -1] if place else []
-    if backward:
-        joined = [*backward, -1, *words[place + ahead - 1 :: -1]] if place + ahead else [*backward, -1]
-        z = z_values(joined, len(joined))
-        at = len(backward) + 1 + ahead - np.arange(1, ahead + 1)
-        before[1 : ahead + 1] = np.array(z)[at]
+    if place and ahead:
+        found = match_values(words[place + ahead - 1 :: -1], words[place - 1 :: -1], ahead)
+        before[1 : ahead + 1] = found[::-1]
     return after, before
 
 
@@ -126,8 +185,8 @@ def fragments(ids: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]
     found: set[tuple[int, int, int]] = set()
     known: list[tuple[int, int, int]] = []
     words, size = ids.tolist(), block_words(low)
-    hashes = block_hashes(ids, size)
-    for place in repeated_blocks(ids, low, high).tolist():
+    places, hashes = repeated_blocks(ids, Hashes(ids), low, high)
+    for place in places.tolist():
         shifts = np.flatnonzero(hashes[place + low : place + high] == hashes[place]) + low
         for d, start, stop in known:  # a known run explains its own turns
             if start <= place:
@@ -145,19 +204,24 @@ def fragments(ids: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]
 
 def tile_rows(ids: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(low, high, start, numbers) of the tiles that may hold a run."""
+    hashes = Hashes(ids)
     for low, high in scales(len(ids)):
-        places = repeated_blocks(ids, low, high)
+        places, _ = repeated_blocks(ids, hashes, low, high)
         if len(places):
             step = 2 * high
-            tiles = np.unique(np.concatenate([places // step, places // step - 1]))
-            for tile in tiles[(tiles >= 0) | (len(ids) < 0)].tolist():
+            for tile in np.unique(np.concatenate([places // step, np.maximum(places // step - 1, 0)])).tolist():
                 yield low, high, tile * step, ids[tile * step : tile * step + 4 * high]
 
 
+class _Numbered(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = made = len(self)
+        return made
+
+
 def numbers(words: list[bytes]) -> np.ndarray:
     """Words as numbers in the order of their first places."""
-    seen: dict[bytes, int] = {}
-    return np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words))
+    return np.array(list(map(_Numbered().__getitem__, words)), np.int32)
 
 
 def stitched(parts: DataFrame) -> DataFrame:
