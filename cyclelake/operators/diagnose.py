@@ -381,38 +381,39 @@ def trends(checks: DataFrame, values: list[str], budget: Budget = DEFAULT_BUDGET
     )
 
 
-def incident_context(incidents: DataFrame, cycles: DataFrame, checks: DataFrame) -> DataFrame:
-    """Cycle and check figures inside each incident.
+def incident_context(incidents: DataFrame, cycles: DataFrame, checks: DataFrame, budget: Budget = DEFAULT_BUDGET) -> DataFrame:
+    """Cycle and check figures inside each incident, as differences of running sums.
 
-    Both sides are aggregated before they are joined, so the counts are true counts and not
-    the product of cycles and checks.
+    Each incident stands as two marks in the ordered rows of its machine, so no incident meets its rows, however many overlap.
+    Temperatures are summed as decimals of nine digits, so differences stay exact; values that are not finite are passed over.
     """
-    spans = incidents.select(
-        "incident_id", *SITE_MACHINE, "started_at", F.coalesce("ended_at", "data_cutoff").alias("_until")
-    )
-    by_cycle = (
-        points_in_windows(cycles, spans, "time", "started_at", "_until")
-        .groupBy("incident_id")
-        .agg(
-            F.count("time").alias("cycle_count"),
-            F.avg("barrel_temp_zone2_c").alias("avg_zone2_temp_c"),
-            F.avg(F.col("scrap_flag").cast("int")).alias("scrap_rate"),
-        )
-    )
-    by_check = (
-        points_in_windows(checks, spans, "time", "started_at", "_until")
-        .groupBy("incident_id")
-        .agg(F.count("quality_check_id").alias("quality_check_count"))
-    )
+    digits = "decimal(38,9)"
+    spans = incidents.select("incident_id", *SITE_MACHINE, "started_at", F.coalesce("ended_at", "data_cutoff").alias("_until"))
+    spans = spans.where(F.col("_until") >= F.col("started_at"))
+    marks = spans.select("incident_id", *SITE_MACHINE, F.inline(F.array(F.struct(F.col("started_at").alias("time"), F.lit(0).alias("_kind")), F.struct(F.col("_until").alias("time"), F.lit(2).alias("_kind")))))
+    named = lambda df, **columns: df.where(F.col("time").isNotNull()).select(*SITE_MACHINE, "time", F.lit(1).alias("_kind"), *[c.alias(n) for n, c in columns.items()])
+    zone, scrap = finite(F.col("barrel_temp_zone2_c")), F.col("scrap_flag").cast("int")
+    rows = named(cycles, cycle=F.lit(1), zone=zone.cast(digits), zones=zone.isNotNull().cast("int"), scrap=F.coalesce(scrap, F.lit(0)), flags=scrap.isNotNull().cast("int"))
+    rows = rows.unionByName(named(checks, check=F.col("quality_check_id").isNotNull().cast("int")), allowMissingColumns=True)
+    names = ["cycle", "zones", "scrap", "flags", "check"]
+    sums = {f"_{n}": F.coalesce(F.col(n), F.lit(0)).cast("long") for n in names} | {"_zone": F.coalesce("zone", F.lit(0).cast(digits))}
+    summed = running_sums(rows.unionByName(marks, allowMissingColumns=True), SITE_MACHINE, ["time", "_kind", "incident_id"], sums, budget)
+    upto = lambda name, kind: F.max(F.when(F.col("_kind") == kind, F.col(name)))
+    made = summed.where(F.col("_kind") != 1).groupBy("incident_id").agg(*[(upto(n, 2) - upto(n, 0)).alias(n) for n in sums])
+    share = lambda a, b: F.col(a).cast("double") / F.nullif(F.col(b), F.lit(0))
     return (
         incidents.select("incident_id", *SITE_MACHINE, "production_order_id", "started_at", "ended_at")
-        .join(by_cycle, "incident_id", "left")
-        .join(by_check, "incident_id", "left")
-        .withColumns(
-            {
-                c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-                for c in ("cycle_count", "quality_check_count")
-            }
+        .join(made, "incident_id", "left")
+        .select(
+            "incident_id",
+            *SITE_MACHINE,
+            "production_order_id",
+            "started_at",
+            "ended_at",
+            F.coalesce("_cycle", F.lit(0)).cast("bigint").alias("cycle_count"),
+            share("_zone", "_zones").alias("avg_zone2_temp_c"),
+            share("_scrap", "_flags").alias("scrap_rate"),
+            F.coalesce("_check", F.lit(0)).cast("bigint").alias("quality_check_count"),
         )
     )
 

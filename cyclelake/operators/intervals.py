@@ -1,23 +1,28 @@
 """Interval joins: cycles to orders, shifts and downtime.
 
-All joins are equi-joins on (site, machine, time bucket). Instead of pairing every cycle
-with every interval, the intervals of one bucket are folded into a single calendar row:
+All joins are equi-joins on (site, machine, time cell). Instead of pairing every cycle with every interval, the
+intervals are folded into one calendar row per cell that holds cycles:
 
-* intervals covering the whole bucket only matter by their count and their best member;
-* open-ended intervals are carried forward by a running aggregate over the bucket rows;
-* only intervals with an end near the bucket stay as a list and are tested per cycle.
+* intervals covering the whole cell only matter by their count and their best member;
+* open-ended intervals, the last one that ended before and the next one to start are carried along the
+  cells by running aggregates;
+* only intervals that start or end within the cell stay as a list and are tested per cycle.
 
-A cycle therefore meets exactly one row, however many intervals overlap, and the cycles
-are shuffled once.
+A cell is a six-hour bucket. Buckets in which many intervals start or end are cut into as many cells as keeps the
+lists short, and nothing is laid out beyond the buckets that hold a machine's cycles. A cycle
+therefore meets exactly one row, however many intervals overlap, and the cycles are shuffled once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cyclelake.functions.times import HOUR, MINUTE, micros, time_bucket
 from cyclelake.operators.ordered import Budget, DEFAULT_BUDGET, running_sums
 from cyclelake.schema import SITE_MACHINE
+from cyclelake.session import stored
 
 # --- fixed values ---------------------------------------------------------------------
 TOLERANCE_MIN = 30
@@ -25,6 +30,7 @@ CONFIDENCE_SPAN_S = 1800.0
 AMBIGUOUS_CONFIDENCE = 0.6
 # --------------------------------------------------------------------------------------
 BUCKET = 6 * HOUR
+CELL_INTERVALS, MOST_CELLS = 32, 4096  # starts and ends aimed at in a cell, and the most cells of a bucket
 
 
 def _bucket_range(low: Column, high: Column) -> Column:
@@ -39,130 +45,126 @@ def cycle_buckets(cycles: DataFrame, width: int = BUCKET) -> DataFrame:
     ).distinct()
 
 
-def order_calendar(
-    orders: DataFrame, skeleton: DataFrame, width: int = BUCKET, tolerance: int = TOLERANCE_MIN * MINUTE
-) -> DataFrame:
-    """One row per (site, machine, bucket) with what a cycle in it needs to find its order."""
-    spans = orders.where(F.col("started_at").isNotNull()).select(
-        *SITE_MACHINE,
-        F.col("id"),
-        micros(F.col("started_at")).alias("s"),
-        micros(F.col("ended_at")).alias("e"),
-    )
-    start, end = F.col("s"), F.col("e")
-    first_full = time_bucket(start - 1, width) + 1
-    last_full = time_bucket(end + 1, width) - 1
-    edges = F.array_distinct(
-        F.concat(
-            _bucket_range(time_bucket(start - tolerance, width), time_bucket(start, width)),
-            F.when(
-                end.isNotNull(), _bucket_range(time_bucket(end, width), time_bucket(end + tolerance, width))
-            ).otherwise(F.array().cast("array<bigint>")),
-        )
-    )
-    not_full = lambda b: ~((b >= first_full) & (end.isNull() | (b <= last_full)))
-    rank = F.struct((-start).alias("neg_start"), F.col("id"))
-    near = spans.select(
-        *SITE_MACHINE,
-        F.explode(F.filter(edges, not_full)).alias("bucket"),
-        F.struct("s", "e", "id").alias("near"),
-        F.lit(None).cast("struct<neg_start:bigint,id:string>").alias("full"),
-        F.lit(None).cast("struct<neg_start:bigint,id:string>").alias("open"),
-    )
-    full = spans.where(end.isNotNull()).select(
-        *SITE_MACHINE,
-        F.explode(_bucket_range(first_full, last_full)).alias("bucket"),
-        F.lit(None).cast("struct<s:bigint,e:bigint,id:string>").alias("near"),
-        rank.alias("full"),
-        F.lit(None).cast("struct<neg_start:bigint,id:string>").alias("open"),
-    )
-    opened = spans.where(end.isNull()).select(
-        *SITE_MACHINE,
-        first_full.alias("bucket"),
-        F.lit(None).cast("struct<s:bigint,e:bigint,id:string>").alias("near"),
-        F.lit(None).cast("struct<neg_start:bigint,id:string>").alias("full"),
-        rank.alias("open"),
-    )
-    empty = skeleton.select(
-        *SITE_MACHINE,
-        "bucket",
-        F.lit(None).cast("struct<s:bigint,e:bigint,id:string>").alias("near"),
-        F.lit(None).cast("struct<neg_start:bigint,id:string>").alias("full"),
-        F.lit(None).cast("struct<neg_start:bigint,id:string>").alias("open"),
+def _spans(intervals: DataFrame, extra: list[str], skeleton: DataFrame) -> DataFrame:
+    """Intervals in microseconds with the first and last bucket of their machine's cycles."""
+    limits = skeleton.groupBy(*SITE_MACHINE).agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
+    spans = intervals.where(F.col("started_at").isNotNull()).select(
+        *SITE_MACHINE, "id", *extra, micros(F.col("started_at")).alias("s"), micros(F.col("ended_at")).alias("e")
     )
-    folded = (
-        near.unionByName(full)
-        .unionByName(opened)
-        .unionByName(empty)
+    return spans.join(limits, SITE_MACHINE)
+
+
+def dense_buckets(spans: DataFrame, width: int = BUCKET, target: int = CELL_INTERVALS) -> DataFrame | None:
+    """(site, machine, bucket, cells) of the buckets with many starts and ends, None if there are none."""
+    ends = spans.select(*SITE_MACHINE, "first", "last", F.explode(F.array_compact(F.array("s", "e"))).alias("at"))
+    counted = (
+        ends.withColumn("bucket", time_bucket(F.col("at"), width))
+        .where(F.col("bucket").between(F.col("first"), F.col("last")))
         .groupBy(*SITE_MACHINE, "bucket")
-        .agg(
-            F.collect_list("near").alias("near"),
-            F.count("full").alias("n_full"),
-            F.min("full").alias("best_full"),
-            F.count("open").alias("n_opened"),
-            F.min("open").alias("best_opened"),
-        )
-    )
-    # rows per machine are bounded by the number of calendar buckets, not by its cycles
-    so_far = (
-        Window.partitionBy(*SITE_MACHINE).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return folded.select(
-        *SITE_MACHINE,
-        "bucket",
-        "near",
-        (F.col("n_full") + F.sum("n_opened").over(so_far)).alias("n_covering"),
-        F.least(F.col("best_full"), F.min("best_opened").over(so_far)).alias("best_covering"),
+        .count()
+        .where(F.col("count") > 2 * target)
     )
+    cells = F.least(F.lit(MOST_CELLS), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("count") / target)))).cast("bigint")
+    dense = counted.select(*SITE_MACHINE, "bucket", cells.alias("cells"))
+    return None if dense.isEmpty() else stored(dense)
+
+
+def with_cell(rows: DataFrame, time: Column, dense: DataFrame | None, width: int, prefix: str = "") -> DataFrame:
+    """Add `bucket`, its number of `cells` and the `cell` of a time."""
+    bucket, cells, cell = (f"{prefix}{n}" for n in ("bucket", "cells", "cell"))
+    placed = rows.withColumn(bucket, time_bucket(time, width))
+    if dense is None:
+        return placed.withColumns({cells: F.lit(1).cast("bigint"), cell: F.lit(0).cast("bigint")})
+    named = dense.withColumnsRenamed({"bucket": bucket, "cells": cells})
+    found = placed.join(named, [*SITE_MACHINE, bucket], "left").withColumn(cells, F.coalesce(cells, F.lit(1).cast("bigint")))
+    return found.withColumn(cell, F.floor((time - F.col(bucket) * width) * F.col(cells) / width))
 
 
-def shift_calendar(shifts: DataFrame, skeleton: DataFrame, width: int = BUCKET) -> DataFrame:
-    """One row per (site, machine, bucket) listing the shifts that can cover a cycle in it.
+def covering_calendar(
+    spans: DataFrame, skeleton: DataFrame, dense: DataFrame | None, width: int, keys: list[str], tolerance: int | None = None
+) -> DataFrame:
+    """One row per key, bucket and cell of the skeleton with what a cycle in it needs to find its interval.
 
-    Of the shifts covering a whole bucket only the latest start per order can win. A shift
-    without an end lasts until the machine's last bucket with cycles.
+    `near` lists the intervals that start or end in the cell and, with a tolerance, the nearest ones before and after it;
+    `n_covering` and `best_covering` describe those that cover it whole.
     """
-    last = skeleton.groupBy(*SITE_MACHINE).agg(F.max("bucket").alias("last_bucket"))
-    spans = (
-        shifts.where(F.col("started_at").isNotNull())
-        .select(
-            *SITE_MACHINE,
-            F.col("id"),
-            F.col("production_order_id").alias("order_id"),
-            micros(F.col("started_at")).alias("s"),
-            micros(F.col("ended_at")).alias("e"),
-        )
-        .join(last, SITE_MACHINE)
-    )
-    first_full = time_bucket(F.col("s") - 1, width) + 1
-    last_full = F.when(F.col("e").isNull(), F.col("last_bucket")).otherwise(
-        time_bucket(F.col("e") + 1, width) - 1
+    spans = with_cell(with_cell(spans, F.col("s"), dense, width, "s_"), F.col("e"), dense, width, "e_")
+    reach = 0 if tolerance is None else -(-tolerance // width)
+    item, rank = F.struct("s", "e", "id"), F.struct((-F.col("s")).alias("neg_start"), F.col("id"))
+    kinds = {
+        "near": "struct<s:bigint,e:bigint,id:string>",
+        "full": "struct<neg_start:bigint,id:string>",
+        "opened": "struct<neg_start:bigint,id:string>",
+        "ended": "struct<neg_end:bigint,s:bigint,id:string,e:bigint>",
+        "closed_ahead": "struct<s:bigint,id:string,e:bigint>",
+        "open_ahead": "struct<s:bigint,id:string,e:bigint>",
+    }
+
+    def laid(df: DataFrame, cell: Column | None = None, **values: Column) -> DataFrame:
+        """Rows of (keys, bucket, cell) with some of the values."""
+        filled = [values.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in kinds.items()]
+        return df.select(*keys, "bucket", (F.col("cell") if cell is None else cell).cast("bigint").alias("cell"), *filled)
+
+    closed, upright = F.col("e").isNotNull(), F.col("e").isNull() | (F.col("e") >= F.col("s"))
+    inside = F.col("bucket").between(F.col("first"), F.col("last"))
+    start, end = F.struct(F.col("s_bucket").alias("bucket"), F.col("s_cell").alias("cell")), F.struct(F.col("e_bucket").alias("bucket"), F.col("e_cell").alias("cell"))
+    ends = F.when(closed, F.array_distinct(F.array(start, end))).otherwise(F.array(start))
+    at = lambda which: spans.where(upright).withColumns({"bucket": F.col(f"{which}_bucket"), "cell": F.col(f"{which}_cell")})
+    parts = [laid(spans.where(upright).withColumn("p", F.explode(ends)).withColumns({"bucket": F.col("p.bucket"), "cell": F.col("p.cell")}).where(inside), near=item)]
+    if dense is not None:
+        # cells between the ends in the buckets of the ends
+        same = F.col("s_bucket") == F.col("e_bucket")
+        rest = at("s").where(closed & inside).withColumn("to", F.when(same, F.col("e_cell")).otherwise(F.col("s_cells")) - 1)
+        head = at("e").where(closed & inside & ~same)
+        parts.append(laid(rest.withColumn("c", F.explode(_bucket_range(F.col("s_cell") + 1, F.col("to")))), F.col("c"), full=rank))
+        parts.append(laid(head.withColumn("c", F.explode(_bucket_range(F.lit(0).cast("bigint"), F.col("e_cell") - 1))), F.col("c"), full=rank))
+    opened = at("s").where(~closed & (F.col("bucket") <= F.col("last")))
+    early = F.col("bucket") < F.col("first")
+    parts.append(
+        laid(opened.withColumns({"cell": F.when(early, 0).otherwise(F.col("cell")), "bucket": F.greatest("bucket", F.col("first") - 1)}), opened=rank)
     )
-    item = F.struct("s", "e", "order_id", "id")
-    # a shift reaching beyond the last cycle needs no calendar rows there
-    until = F.least(F.coalesce(time_bucket(F.col("e"), width), F.col("last_bucket")), F.col("last_bucket"))
-    placed = spans.select(
-        *SITE_MACHINE,
-        "order_id",
-        "s",
-        F.col("id"),
-        item.alias("shift"),
-        F.explode(_bucket_range(time_bucket(F.col("s"), width), until)).alias("bucket"),
-        first_full.alias("first_full"),
-        last_full.alias("last_full"),
+    if tolerance is not None:
+        near_by = F.col("bucket").between(F.col("first") - reach, F.col("last") + reach)
+        parts.append(laid(at("e").where(closed & near_by), ended=F.struct((-F.col("e")).alias("neg_end"), "s", "id", "e")))
+        ahead = F.struct("s", "id", "e")
+        parts.append(laid(at("s").where(near_by), closed_ahead=F.when(closed, ahead), open_ahead=F.when(~closed, ahead)))
+    parts.append(laid(skeleton))
+    folded = reduce(DataFrame.unionByName, parts).groupBy(*keys, "bucket", "cell").agg(
+        F.collect_list("near").alias("near"),
+        F.count("full").alias("n_full"),
+        F.min("full").alias("best_full"),
+        F.count("opened").alias("n_opened"),
+        *[F.min(n).alias(n) for n in ("opened", "ended", "closed_ahead", "open_ahead")],
     )
-    whole = F.col("bucket").between(F.col("first_full"), F.col("last_full"))
-    best = (
-        placed.where(whole)
-        .groupBy(*SITE_MACHINE, "bucket", "order_id")
-        .agg(F.min(F.struct((-F.col("s")).alias("k"), "id", "shift")).alias("m"))
-        .select(*SITE_MACHINE, "bucket", F.col("m.shift").alias("shift"))
+    # rows per machine are bounded by the number of calendar cells, not by its cycles
+    before = Window.partitionBy(*keys).orderBy("bucket", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy("bucket", "cell").rowsBetween(1, Window.unboundedFollowing)
+    last, closed_next, open_next = F.min("ended").over(before), F.min("closed_ahead").over(after), F.min("open_ahead").over(after)
+    plain = lambda x: F.when(x.isNotNull(), F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id")))
+    carried = folded.select(
+        *keys,
+        "bucket",
+        "cell",
+        F.concat("near", F.array_compact(F.array(*[plain(x) for x in (last, closed_next, open_next)]))).alias("near"),
+        (F.col("n_full") + F.coalesce(F.sum("n_opened").over(before), F.lit(0))).alias("n_cells"),
+        F.least("best_full", F.min("opened").over(before)).alias("best_cells"),
     )
-    partial = placed.where(~whole).select(*SITE_MACHINE, "bucket", "shift")
-    return (
-        partial.unionByName(best)
-        .groupBy(*SITE_MACHINE, "bucket")
-        .agg(F.collect_list("shift").alias("shifts"))
+    # buckets between those of the ends are covered whole; intervals that end before they start only lie within tolerance
+    low, high = F.greatest(F.col("s_bucket") + 1, F.col("first")), F.least(F.col("e_bucket") - 1, F.col("last"))
+    whole = spans.where(closed & upright).select(*keys, F.explode(_bucket_range(low, high)).alias("bucket"), rank.alias("full"), F.lit(None).cast(kinds["near"]).alias("odd"))
+    if tolerance is not None:
+        low = F.greatest(time_bucket(F.col("s") - tolerance, width), F.col("first"))
+        high = F.least(time_bucket(F.col("e") + tolerance, width), F.col("last"))
+        odd = spans.where(~upright).select(*keys, F.explode(_bucket_range(low, high)).alias("bucket"), F.lit(None).cast(kinds["full"]).alias("full"), item.alias("odd"))
+        whole = whole.unionByName(odd)
+    covered = whole.groupBy(*keys, "bucket").agg(F.count("full").alias("n_whole"), F.min("full").alias("best_whole"), F.collect_list("odd").alias("odd"))
+    return carried.join(covered, [*keys, "bucket"], "left").select(
+        *keys,
+        "bucket",
+        "cell",
+        F.concat("near", F.coalesce("odd", F.array().cast(f"array<{kinds['near']}>"))).alias("near"),
+        (F.col("n_cells") + F.coalesce("n_whole", F.lit(0))).alias("n_covering"),
+        F.least("best_cells", "best_whole").alias("best_covering"),
     )
 
 
@@ -207,39 +209,44 @@ def link_orders(
     confidence falling to 0 at 30 minutes. Otherwise no order and 0.0.
     """
     tolerance = tolerance_min * MINUTE
-    calendar = order_calendar(orders, cycle_buckets(cycles, width), width, tolerance)
-    rows = cycles.drop("production_order_id", "order_site_id", "link_confidence").withColumn(
-        "bucket", time_bucket(micros(F.col("time")), width)
-    )
-    order_id, confidence = _order_choice(micros(F.col("time")), tolerance)
-    linked = rows.join(calendar, [*SITE_MACHINE, "bucket"], "left").withColumns(
+    spans = _spans(orders, [], cycle_buckets(cycles, width))
+    dense = dense_buckets(spans, width)
+    time = micros(F.col("time"))
+    rows = with_cell(cycles.drop("production_order_id", "order_site_id", "link_confidence"), time, dense, width)
+    skeleton = rows.select(*SITE_MACHINE, "bucket", "cell").distinct()
+    calendar = covering_calendar(spans, skeleton, dense, width, SITE_MACHINE, tolerance)
+    order_id, confidence = _order_choice(time, tolerance)
+    linked = rows.join(calendar, [*SITE_MACHINE, "bucket", "cell"], "left").withColumns(
         {"production_order_id": order_id, "link_confidence": confidence}
     )
     return linked.withColumn(
         "order_site_id", F.when(F.col("production_order_id").isNotNull(), F.col("site_id"))
-    ).drop("bucket", "near", "n_covering", "best_covering")
+    ).drop("bucket", "cells", "cell", "near", "n_covering", "best_covering")
+
+
+def _latest_covering(time: Column) -> Column:
+    """Id of the covering interval with the latest start, from a calendar row."""
+    covering = F.filter("near", lambda x: (x.s <= time) & (x.e.isNull() | (x.e >= time)))
+    listed = F.array_min(F.transform(covering, lambda x: F.struct((-x.s).alias("neg_start"), x.id.alias("id"))))
+    return F.least(listed, F.col("best_covering"))["id"]
 
 
 def link_shifts(cycles: DataFrame, shifts: DataFrame, width: int = BUCKET) -> DataFrame:
     """Set `shift_id`: a covering shift, first that of the cycle's order, then the latest start."""
-    calendar = shift_calendar(shifts, cycle_buckets(cycles, width), width)
+    spans = _spans(shifts, [F.col("production_order_id").alias("production_order_id")], cycle_buckets(cycles, width))
+    dense = dense_buckets(spans, width)
     time = micros(F.col("time"))
-    rows = cycles.drop("shift_id").withColumn("bucket", time_bucket(time, width))
-    chosen = F.array_min(
-        F.transform(
-            F.filter(F.col("shifts"), lambda x: (x.s <= time) & (x.e.isNull() | (x.e >= time))),
-            lambda x: F.struct(
-                F.when(x.order_id == F.col("production_order_id"), 0).otherwise(1).alias("other"),
-                (-x.s).alias("neg_start"),
-                x.id.alias("id"),
-            ),
-        )
-    )
-    return (
-        rows.join(calendar, [*SITE_MACHINE, "bucket"], "left")
-        .withColumn("shift_id", chosen.id)
-        .drop("bucket", "shifts")
-    )
+    rows = with_cell(cycles.drop("shift_id"), time, dense, width)
+    chosen = []
+    own = shifts.where(F.col("production_order_id").isNotNull())
+    for keys, name in [([*SITE_MACHINE, "production_order_id"], "_own"), (SITE_MACHINE, "_any")]:
+        if name == "_own" and own.isEmpty():
+            continue
+        skeleton = rows.select(*keys, "bucket", "cell").distinct()
+        calendar = covering_calendar(spans.dropna(subset=keys), skeleton.dropna(subset=keys), dense, width, keys)
+        rows = rows.join(calendar, [*keys, "bucket", "cell"], "left").withColumn(name, _latest_covering(time)).drop("near", "n_covering", "best_covering")
+        chosen.append(name)
+    return rows.withColumn("shift_id", F.coalesce(*chosen)).drop("bucket", "cells", "cell", *chosen)
 
 
 def relink_missing(
@@ -295,17 +302,14 @@ def points_in_windows(
 ) -> DataFrame:
     """Inner join of points to the windows [start, end] holding them, by bucket equi-join.
 
-    A point lies in one bucket, so a pair appears once.
+    A point lies in one bucket, so a pair appears once. Windows are laid out only where their machine has points.
     """
-    spread = windows.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn(
-        "_bucket",
-        F.explode(
-            _bucket_range(
-                time_bucket(micros(F.col(start)), width), time_bucket(micros(F.col(end)), width)
-            )
-        ),
-    )
     placed = points.withColumn("_bucket", time_bucket(micros(F.col(time)), width))
+    limits = placed.groupBy(*keys).agg(F.min("_bucket").alias("_first"), F.max("_bucket").alias("_last"))
+    low = F.greatest(time_bucket(micros(F.col(start)), width), F.col("_first"))
+    high = F.least(time_bucket(micros(F.col(end)), width), F.col("_last"))
+    known = windows.where(F.col(start).isNotNull() & F.col(end).isNotNull()).join(limits, keys)
+    spread = known.withColumn("_bucket", F.explode(_bucket_range(low, high))).drop("_first", "_last")
     return (
         placed.join(spread, [*keys, "_bucket"])
         .where(F.col(time).between(F.col(start), F.col(end)))
@@ -313,43 +317,38 @@ def points_in_windows(
     )
 
 
-def flag_downtime(cycles: DataFrame, downtime: DataFrame, width: int = BUCKET) -> DataFrame:
-    """Add `in_downtime`: the cycle lies in a known stop [started_at, ended_at] of its machine."""
-    time = micros(F.col("time"))
-    spans = downtime.select(
-        *SITE_MACHINE, micros(F.col("started_at")).alias("s"), micros(F.col("ended_at")).alias("e")
-    ).where(F.col("e") >= F.col("s"))
-    per_bucket = (
-        spans.withColumn(
-            "bucket",
-            F.explode(_bucket_range(time_bucket(F.col("s"), width), time_bucket(F.col("e"), width))),
-        )
-        .groupBy(*SITE_MACHINE, "bucket")
-        .agg(F.collect_set(F.struct("s", "e")).alias("stops"))
-    )
-    return (
-        cycles.withColumn("bucket", time_bucket(time, width))
-        .join(per_bucket, [*SITE_MACHINE, "bucket"], "left")
-        .withColumn(
-            "in_downtime",
-            F.coalesce(F.exists("stops", lambda x: (x.s <= time) & (x.e >= time)), F.lit(False)),
-        )
-        .drop("bucket", "stops")
-    )
-
-
 def split_by_downtime(
     cycles: DataFrame, downtime: DataFrame, budget: Budget = DEFAULT_BUDGET
 ) -> DataFrame:
-    """Add `in_downtime` and `segment_no`: how many known stops of the machine began by then."""
-    flagged = flag_downtime(cycles, downtime)
-    marks = downtime.select(*SITE_MACHINE, F.col("started_at").alias("time"), F.lit(1).alias("_stop"))
-    timeline = flagged.withColumn("_stop", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    """Add `in_downtime` and `segment_no`: whether a known stop [started_at, ended_at] of the machine holds the cycle, and how
+    many of its stops began by then.
+
+    Starts and ends stand as marks in the ordered rows of the machine; a cycle lies in a stop where more of them have started than ended.
+    """
+    lasting = F.col("ended_at") >= F.col("started_at")
+    marks = downtime.select(*SITE_MACHINE, "started_at", F.when(lasting, F.col("ended_at")).alias("ended_at"), F.coalesce(lasting, F.lit(False)).alias("_lasts"))
+    starts = marks.where(F.col("started_at").isNotNull()).select(*SITE_MACHINE, F.col("started_at").alias("time"), F.lit(0).alias("_kind"), "_lasts")
+    ends = marks.where("_lasts").select(*SITE_MACHINE, F.col("ended_at").alias("time"), F.lit(2).alias("_kind"), "_lasts")
+    rows = cycles.withColumns({"_kind": F.lit(1), "_lasts": F.lit(False)})
+    timeline = rows.unionByName(starts, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
     counted = running_sums(
-        timeline.withColumn("_later", 1 - F.col("_stop")),
+        timeline,
         SITE_MACHINE,
-        ["time", "_later", "cycle_counter", "source_row_hash"],
-        {"segment_no": F.col("_stop").cast("long")},
+        ["time", "_kind", "cycle_counter", "source_row_hash"],  # at one instant starts come first and ends last
+        {
+            "segment_no": (F.col("_kind") == 0).cast("long"),
+            "_active": F.when(F.col("_lasts"), F.when(F.col("_kind") == 0, 1).otherwise(-1)).otherwise(0).cast("long"),
+        },
         budget,
     )
-    return counted.where(F.col("_stop") == 0).drop("_stop", "_later")
+    timed = F.col("time").isNotNull()
+    return (
+        counted.where(F.col("_kind") == 1)
+        .withColumn("in_downtime", timed & (F.col("_active") > 0))
+        .drop("_kind", "_lasts", "_active")
+    )
+
+
+def flag_downtime(cycles: DataFrame, downtime: DataFrame, budget: Budget = DEFAULT_BUDGET) -> DataFrame:
+    """Add `in_downtime`: the cycle lies in a known stop of its machine."""
+    return split_by_downtime(cycles, downtime, budget).drop("segment_no")

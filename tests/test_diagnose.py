@@ -139,3 +139,30 @@ def test_wear_trend(spark):
     assert abs(found["dimension_deviation_mm"]["slope_per_day"] - 0.1) < 1e-9
     assert abs(found["dimension_deviation_mm"]["delta"] - 0.6) < 1e-9
     assert found["measured_weight_g"]["n"] == 8
+
+
+def test_overlapping_incidents_make_no_pairs(spark):
+    """10,000 month-long incidents of one machine over its cycles and checks."""
+    from datetime import timedelta
+
+    n, step = 3_000, 30
+    rows = cycles(spark, [{"time": at(step * i), "scrap_flag": i % 7 == 0, "barrel_temp_zone2_c": None if i % 11 == 0 else 190 + i % 32 * 0.1} for i in range(n)])
+    seen = checks(spark, [(1, 7, at(step * i + 1), f"q{i}", None, 1, None, None, None, None) for i in range(0, n, 3)])
+    table = [(f"i{k:05}", 1, 7, None, at(k), at(k) + timedelta(days=30), None) for k in range(10_000)]
+    table += [("late", 1, 7, None, at(5), at(4), None), ("open", 1, 7, None, at(60), None, at(120)), ("none", 1, 9, None, at(0), at(9), None), ("ends", 1, 7, None, at(30), None, None)]
+    incidents = spark.createDataFrame(
+        table, "incident_id string, site_id bigint, machine_id bigint, production_order_id string, started_at timestamp, ended_at timestamp, data_cutoff timestamp"
+    )
+    made = diagnose.incident_context(incidents, rows, seen)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "Generate explode(sequence" not in plan
+    got = {r["incident_id"]: r for r in made.collect()}
+    assert len(got) == len(table)
+    for k in (0, 1, 29, 30, 31, 4_567, 9_999):
+        inside = [i for i in range(n) if k <= step * i <= k + 30 * 24 * 60]
+        row = got[f"i{k:05}"]
+        zone = [190 + i % 32 * 0.1 for i in inside if i % 11]
+        assert row["cycle_count"] == len(inside) and row["quality_check_count"] == sum(1 for i in range(0, n, 3) if k <= step * i + 1 <= k + 43_200)
+        assert abs(row["avg_zone2_temp_c"] - sum(zone) / len(zone)) < 1e-6 and abs(row["scrap_rate"] - sum(i % 7 == 0 for i in inside) / len(inside)) < 1e-12
+    assert got["late"]["cycle_count"] == 0 and got["none"]["cycle_count"] == 0 and got["ends"]["avg_zone2_temp_c"] is None
+    assert (got["open"]["cycle_count"], got["open"]["quality_check_count"]) == (3, 1)
