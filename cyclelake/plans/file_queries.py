@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from cyclelake.dictionary import label_dictionary
 from cyclelake.operators import models
 from cyclelake.plans.registry import query
+from cyclelake.plans.structure_sql import STRUCTURE_SQL, folded, quoted
 from cyclelake.plans.views import Views
 from cyclelake.schema import CYCLE_ORDER, SITE_MACHINE
 from cyclelake.session import shared_folder, stored
@@ -350,22 +351,38 @@ def delimiter(v: Views) -> DataFrame:
     return _profiles(v).select("path", "delimiter")
 
 
-@query("p4_orientation")
+@query(
+    "p4_orientation",
+    f", {STRUCTURE_SQL} SELECT path, is_transposed FROM turned",
+)
 def orientation(v: Views) -> DataFrame:
     return _profiles(v).select("path", "is_transposed")
 
 
-@query("p5_brand")
+@query(
+    "p5_brand",
+    f""", {STRUCTURE_SQL}
+       SELECT path, CASE WHEN greatest(n_arburg, n_engel, n_haitian) = 0 THEN 'generic' WHEN n_arburg >= greatest(n_engel, n_haitian) THEN 'arburg'
+                         WHEN n_engel >= n_haitian THEN 'engel' ELSE 'haitian' END AS brand,
+              round(CAST(least(greatest(n_arburg, n_engel, n_haitian) / 4, 1.0) AS DOUBLE), 2) AS brand_confidence FROM turned""",
+)
 def brand(v: Views) -> DataFrame:
     return _profiles(v).select("path", "brand", "brand_confidence")
 
 
-@query("p6_header_rows")
+@query(
+    "p6_header_rows",
+    f""", {STRUCTURE_SQL} SELECT path, CAST(header_row AS INTEGER) AS header_row, CAST(unit_row AS INTEGER) AS unit_row,
+       CAST(data_start AS INTEGER) AS data_start, CAST(len(headers) AS INTEGER) AS column_count FROM structured""",
+)
 def header_rows(v: Views) -> DataFrame:
     return _profiles(v).select("path", "header_row", "unit_row", "data_start", "column_count")
 
 
-@query("p7_metadata_keys")
+@query(
+    "p7_metadata_keys",
+    f""", {STRUCTURE_SQL} SELECT path, array_to_string(metadata_keys, ',') AS metadata_keys, regexp_split_to_array(dated[1][2], '\\s+')[1] AS reference_date FROM keyed""",
+)
 def metadata_keys(v: Views) -> DataFrame:
     return _profiles(v).select("path", F.array_join("metadata_keys", ",").alias("metadata_keys"), "reference_date")
 
@@ -375,7 +392,18 @@ def fingerprint(v: Views) -> DataFrame:
     return _profiles(v).select("path", "fingerprint")
 
 
-@query("p9_classification")
+@query(
+    "p9_classification",
+    f""", {STRUCTURE_SQL},
+       own AS (SELECT path, list_transform(headers, lambda x: {folded('x')}) AS h, metadata_keys FROM keyed),
+       hinted AS (SELECT *, CASE WHEN len(list_distinct(list_intersect(list_concat(h, metadata_keys), {quoted(profiling.BRAND_HINT_LABELS)}))) >= 2 THEN 'arburg'
+                WHEN len(list_filter(list_concat(h, metadata_keys), lambda x: contains(x, 'kistler'))) > 0 THEN 'kistler'
+                WHEN list_has_any(list_concat(h, metadata_keys), ['tcycle', 'activeplastificationtime', 'cc300']) THEN 'engel' ELSE 'generic' END AS brand_hint FROM own),
+       scored AS (SELECT path, brand_hint, round(0.4 * CAST(list_has_any(h, {quoted(profiling.TIME_LABELS)}) AS INTEGER)
+                  + 0.4 * CAST(list_has_any(h, {quoted(profiling.PROCESS_LABELS)}) AS INTEGER)
+                  + 0.2 * CAST(list_has_any(h, {quoted(profiling.MACHINE_LABELS)}) OR brand_hint <> 'generic' AS INTEGER), 2) AS score FROM hinted)
+       SELECT path, brand_hint, CAST(score AS DOUBLE) AS structure_score, CASE WHEN score >= 0.8 THEN 'machine_export' ELSE 'tabular_unknown' END AS structure_label FROM scored""",
+)
 def classification(v: Views) -> DataFrame:
     return _profiles(v).select("path", "brand_hint", "structure_score", "structure_label")
 
@@ -385,12 +413,55 @@ def fingerprint_groups(v: Views) -> DataFrame:
     return profiling.fingerprint_groups(_profiles(v))
 
 
-@query("p12_unbalanced_rows")
+@query(
+    "p10_class_sizes",
+    f""", {STRUCTURE_SQL},
+       shaped AS (SELECT path, (is_transposed, d, header_row, unit_row, data_start, list_transform(headers, lambda x: {folded('x')}),
+                    list_transform(list_resize(coalesce(units, []), len(headers)), lambda x: coalesce({folded('x')}, '')), metadata_keys) AS shape FROM keyed)
+       SELECT path, count(*) OVER (PARTITION BY shape) AS files FROM shaped""",
+)
+def class_sizes(v: Views) -> DataFrame:
+    """How many files share each file's structure: the classes of the fingerprints, without their digests."""
+    return profiling.fingerprint_groups(_profiles(v)).select("path", "files")
+
+
+@query(
+    "s6_cycle_corpus",
+    """SELECT CAST(cycle_counter AS VARCHAR) AS n_cycle, CAST(machine_id AS VARCHAR) AS "Machine", strftime(time, '%Y-%m-%d %H:%M:%S') AS "Timestamp" FROM cycles""",
+)
+def cycle_corpus(v: Views) -> DataFrame:
+    """All `machine_cycles_*.csv` of a folder with other files beside them."""
+    base = f"{shared_folder(v.spark)}/files/{uuid.uuid4().hex}"
+    made = v.cycles.select(
+        F.date_format("time", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), F.col("machine_id").cast("string").alias("Machine"), F.col("cycle_counter").cast("string").alias("n_cycle"),
+        F.floor(F.col("cycle_counter") / 100_000).alias("part"),
+    )
+    made.repartition("part").write.partitionBy("part").option("header", True).csv(f"{base}/made")
+    hadoop = v.spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(base).getFileSystem(v.spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(hadoop.Path(f"{base}/corpus"))
+    for i, status in enumerate(fs.globStatus(hadoop.Path(f"{base}/made/*/part-*"))):
+        if i == 0:
+            hadoop.FileUtil.copy(fs, status.getPath(), fs, hadoop.Path(f"{base}/corpus/cycles_of_another_name.csv"), False, v.spark._jsparkSession.sessionState().newHadoopConf())
+        fs.rename(status.getPath(), hadoop.Path(f"{base}/corpus/machine_cycles_{i}.csv"))
+    return files.read_cycle_corpus(v.spark, f"{base}/corpus").select("n_cycle", "Machine", "Timestamp")
+
+
+@query(
+    "p12_unbalanced_rows",
+    f", {STRUCTURE_SQL} SELECT path, coalesce(len(list_distinct(list_transform(full_lines[1:10], lambda x: len(string_split(x, d))))), 0) > 1 AS unbalanced FROM cut",
+)
 def unbalanced_rows(v: Views) -> DataFrame:
     return _profiles(v).select("path", "unbalanced")
 
 
-@query("p13_reading_guards")
+@query(
+    "p13_reading_guards",
+    f""", {STRUCTURE_SQL} SELECT path, length, CASE WHEN length = 0 THEN 'INGEST_EMPTY_FILE' WHEN length > {profiling.MAX_FILE_BYTES} THEN 'INGEST_FILE_TOO_LARGE'
+       WHEN list_max(list_transform(lines, lambda x: len(string_split(x, d)))) > {profiling.MAX_COLUMNS} THEN 'INGEST_TOO_MANY_COLUMNS'
+       WHEN list_max(list_transform(lines, lambda x: list_max(list_transform(string_split(x, d), lambda c: length(c))))) > {profiling.MAX_CELL_CHARS} THEN 'INGEST_CELL_TOO_LARGE'
+       END AS guard_code FROM cut""",
+)
 def reading_guards(v: Views) -> DataFrame:
     return _profiles(v).select("path", "length", "guard_code")
 
