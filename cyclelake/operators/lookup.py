@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cyclelake.functions.times import micros
 from cyclelake.operators.ordered import Budget, DEFAULT_BUDGET, running_sums
 from cyclelake.schema import SITE_MACHINE
-from cyclelake.session import stored
 
 
 def latest_key() -> Column:
@@ -92,15 +91,15 @@ def _seen(requests: DataFrame, cycles: DataFrame, budget: Budget) -> DataFrame:
     """Latest cycle at or before each instant, and count and scrap rate of the 24 hours before it.
 
     Cycles and marks (the instants, and the instants a day earlier) form one ordered row of events per
-    machine. Counts at a mark are running sums, so a day is the difference of two marks, and the running
-    count at the instant is the position of the latest cycle. Rows moved: cycles plus two per request.
+    machine. Counts at a mark are running sums, so a day is the difference of two marks; the latest cycle is the
+    running maximum of the cycles' own order. Only marks leave the window. Rows moved: cycles plus two per request.
     """
     asked = requests.select(*SITE_MACHINE, "as_of").distinct()
     scrap = F.col("scrap_flag").cast("int")
-    carried = F.struct("time", "production_order_id", "data_quality_status")
+    place = ["counted", "cycle_counter", "hashed", "source_row_hash"]
     own = cycles.where(F.col("time").isNotNull()).select(
-        *SITE_MACHINE, "time", F.lit(0).alias("mark"), F.col("cycle_counter"), F.col("source_row_hash"),
-        F.coalesce(scrap, F.lit(0)).alias("scrap"), scrap.isNotNull().cast("int").alias("known"), carried.alias("last"),
+        *SITE_MACHINE, "time", F.lit(0).alias("mark"), "cycle_counter", "source_row_hash", "production_order_id", "data_quality_status",
+        F.coalesce(scrap, F.lit(0)).alias("scrap"), scrap.isNotNull().cast("int").alias("known"),
         F.lit(None).cast("timestamp").alias("as_of"),
     )
     starts = F.struct((F.col("as_of") - F.expr("INTERVAL 24 HOURS")).alias("time"), F.lit(1).alias("mark"))
@@ -109,17 +108,16 @@ def _seen(requests: DataFrame, cycles: DataFrame, budget: Budget) -> DataFrame:
     events = own.unionByName(marks, allowMissingColumns=True).withColumns(
         {"counted": F.col("cycle_counter").isNotNull(), "hashed": F.col("source_row_hash").isNotNull()}
     )
-    order = ["time", "mark", "counted", "cycle_counter", "hashed", "source_row_hash"]
-    one = (F.col("mark") == 0).cast("long")
-    sums = {"n": one, "s": F.coalesce("scrap", F.lit(0)).cast("long"), "k": F.coalesce("known", F.lit(0)).cast("long")}
-    placed = stored(running_sums(events, SITE_MACHINE, order, sums, budget))
+    is_cycle = F.col("mark") == 0
+    sums = {"n": is_cycle.cast("long"), "s": F.coalesce("scrap", F.lit(0)).cast("long"), "k": F.coalesce("known", F.lit(0)).cast("long")}
+    last = F.when(is_cycle, F.struct("time", *place, "production_order_id", "data_quality_status"))
+    placed = running_sums(events, SITE_MACHINE, ["time", "mark", *place], sums, budget, {"last": last}).where("mark > 0")
     at = lambda name, mark: F.max(F.when(F.col("mark") == mark, F.col(name)))
-    days = placed.where(F.col("mark") > 0).groupBy(*SITE_MACHINE, "as_of").agg(
-        at("n", 2).alias("n"), (at("n", 2) - at("n", 1)).alias("cycle_count_24h"),
+    days = placed.groupBy(*SITE_MACHINE, "as_of").agg(
+        at("last", 2).alias("last"), (at("n", 2) - at("n", 1)).alias("cycle_count_24h"),
         (at("s", 2) - at("s", 1)).alias("_scrap"), (at("k", 2) - at("k", 1)).alias("_known"),
     )
-    latest = placed.where(F.col("mark") == 0).select(*SITE_MACHINE, "n", "last")
-    return days.join(latest, [*SITE_MACHINE, "n"]).select(
+    return days.where(F.col("last").isNotNull()).select(
         *SITE_MACHINE, "as_of", F.col("last.time").alias("last_cycle_at"), "last", "cycle_count_24h",
         F.when(F.col("_known") > 0, F.col("_scrap") / F.col("_known")).alias("scrap_rate_24h"),
     )

@@ -1,13 +1,14 @@
 """Ordered operators that stay exact and spread out when one group holds most rows.
 
 A window partitioned by machine sorts a whole machine in one task. That is right for
-ordinary groups and wrong for a machine holding a third of all rows. Groups are counted
+ordinary groups and wrong for a machine holding a third of all rows. Where the optimizer's estimate of the
+input leaves room for a group beyond its row budget, groups are counted
 exactly, by a map-side combined count of the key columns alone. Groups within their row
 budget take the plain window. Rows of groups beyond it are stored and range-partitioned
 by group and the whole order key, so even rows with one equal time are cut apart:
 
 * the number of ranges (buckets) is rows / budget, without an upper bound;
-* running sums add the totals of the earlier buckets (one small row per group and bucket);
+* running sums and maxima add the totals of the earlier buckets (one small row per group and bucket);
 * bounded frames are computed on blocks of consecutive positions, each with copies of the
   few neighbouring rows its frames reach into.
 
@@ -33,6 +34,7 @@ class Budget:
 
 
 DEFAULT_BUDGET = Budget()
+LEAST_ROW_BYTES = 16  # of a stored row, for the estimate
 WindowExpr = Callable[[WindowSpec], Column]
 
 
@@ -52,12 +54,25 @@ def _with_group(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("_group", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
 
 
+def is_small(df: DataFrame, budget: Budget) -> bool:
+    """Whether the whole input is estimated at less than a group's budget, so that counting its groups would cost more than it saves.
+
+    Plans with steps that make rows (explode, expand, Python) have no useful estimate. The answer only chooses the
+    plan; both plans give equal results."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(step in plan.toString() for step in ("Generate ", "Expand ", "MapIn", "FlatMap", "LogicalRDD")):
+        return False
+    return int(str(plan.stats().sizeInBytes())) <= budget.group_rows * LEAST_ROW_BYTES
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], budget: Budget) -> tuple[DataFrame, DataFrame | None]:
     """(ordinary rows, rows of groups above the row budget or None); both carry `_group`.
 
     Hot groups number at most rows / group_rows. Where there are any, the input is stored once.
     """
     grouped = _with_group(df, keys)
+    if is_small(df, budget):
+        return grouped, None
     hot = grouped.groupBy("_group").count().where(F.col("count") > budget.group_rows).select("_group")
     if hot.isEmpty():
         return grouped, None
@@ -74,15 +89,19 @@ def _bucketed(df: DataFrame, order: Sequence[str], budget: Budget) -> DataFrame:
 
 
 def _running_hot(
-    df: DataFrame, order: Sequence[str], sums: dict[str, Column], budget: Budget
+    df: DataFrame, order: Sequence[str], sums: dict[str, Column], budget: Budget, largest: dict[str, Column] | None = None
 ) -> DataFrame:
-    rows = _bucketed(df, order, budget).withColumns({f"_v_{n}": c for n, c in sums.items()})
-    totals = rows.groupBy("_group", "_bucket").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    largest = largest or {}
+    rows = _bucketed(df, order, budget).withColumns({f"_v_{n}": c for n, c in (sums | largest).items()})
+    totals = rows.groupBy("_group", "_bucket").agg(
+        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums], *[F.max(f"_v_{n}").alias(f"_t_{n}") for n in largest]
+    )
     earlier = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         "_group",
         "_bucket",
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in sums],
+        *[F.max(f"_t_{n}").over(earlier).alias(f"_s_{n}") for n in largest],
     )
     inside = (
         Window.partitionBy("_group", "_bucket")
@@ -92,8 +111,9 @@ def _running_hot(
     joined = rows.join(starts, ["_group", "_bucket"])
     done = joined.withColumns(
         {n: F.col(f"_s_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums}
+        | {n: F.greatest(F.col(f"_s_{n}"), F.max(f"_v_{n}").over(inside)) for n in largest}
     )
-    return done.drop("_bucket", *[f"_{p}_{n}" for n in sums for p in "vs"])
+    return done.drop("_bucket", *[f"_{p}_{n}" for n in [*sums, *largest] for p in "vs"])
 
 
 def running_sums(
@@ -102,15 +122,18 @@ def running_sums(
     order: Sequence[str],
     sums: dict[str, Column],
     budget: Budget = DEFAULT_BUDGET,
+    largest: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add per-group running sums (current row included) along a total order."""
+    """Add per-group running sums, and running maxima of `largest`, along a total order (current row included)."""
     plain, hot = split_hot(df, keys, budget)
     window = (
         Window.partitionBy("_group").orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, 0)
     )
-    result = plain.withColumns({n: F.coalesce(F.sum(c).over(window), F.lit(0)) for n, c in sums.items()})
+    result = plain.withColumns(
+        {n: F.coalesce(F.sum(c).over(window), F.lit(0)) for n, c in sums.items()} | {n: F.max(c).over(window) for n, c in (largest or {}).items()}
+    )
     if hot is not None:
-        result = result.unionByName(_running_hot(hot, order, sums, budget))
+        result = result.unionByName(_running_hot(hot, order, sums, budget, largest))
     return result.drop("_group")
 
 

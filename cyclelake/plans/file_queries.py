@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from cyclelake.dictionary import label_dictionary
-from cyclelake.operators import models
+from cyclelake.operators import features, models
+from cyclelake.plans.feature_queries import FUTURE_SQL, _split_sql
 from cyclelake.plans.registry import query
 from cyclelake.plans.structure_sql import STRUCTURE_SQL, folded, quoted
 from cyclelake.plans.views import Views
@@ -520,6 +521,58 @@ DRIFT_MACHINES_SQL = """placed AS (
        counts AS (SELECT count(DISTINCT (site_id, machine_id)) AS machines FROM normal)"""
 
 
+@query(
+    "l1_training_rows",
+    f""", {FUTURE_SQL}, {_split_sql('PARTITION BY site_id, machine_id')}
+       SELECT split, count(*) AS rows, CAST(sum(instability_next_20_cycles) AS BIGINT) AS events, round(avg(instability_next_20_cycles), 6) AS prevalence
+       FROM split GROUP BY split""".replace("FROM cycles", "FROM lineitem_cycles"),
+)
+def training_rows(v: Views) -> DataFrame:
+    """Rows, events and prevalence of the drift model's training and test rows."""
+    split = features.chronological_split(features.training_features(v.lineitem_cycles))
+    label = "instability_next_20_cycles"
+    return split.groupBy("split").agg(F.count("*").alias("rows"), F.sum(label).cast("bigint").alias("events"), F.avg(label).alias("prevalence"))
+
+
+NEAR = 1e-6  # scores are rounded to six digits
+
+
+@query(
+    "l3_score_rows",
+    "SELECT site_id, machine_id, time, cycle_counter, source_row_hash, TRUE AS score_is_share, TRUE AS alert_follows FROM lineitem_cycles",
+)
+def score_rows(v: Views) -> DataFrame:
+    """Every cycle has a score between 0 and 1 and an alert where it reaches the threshold."""
+    scored = models.predict_drift(v.lineitem_cycles, _drift_model(v))
+    score, limit, alert = F.col("anomaly_score"), F.col("threshold"), F.col("predicted_instability_next_20_cycles")
+    follows = (alert == (score >= limit)) | (F.abs(score - limit) < NEAR)
+    return scored.select(*KEYS, score.between(0, 1).alias("score_is_share"), follows.alias("alert_follows"))
+
+
+@query(
+    "l7_score_rows",
+    "SELECT site_id, machine_id, time, cycle_counter, source_row_hash, TRUE AS risk_is_share, TRUE AS flag_follows FROM cycles",
+)
+def risk_rows(v: Views) -> DataFrame:
+    """Every cycle has a risk between 0 and 1 and a flag where it reaches one half."""
+    rows = stored(models.scrap_features(v.cycles))
+    scored = models.predict_scrap(models.fit_scrap_risk(rows), rows)
+    risk, limit = F.col("risk_probability"), F.col("threshold")
+    follows = (F.col("predicted_scrap") == (risk >= limit)) | (F.abs(risk - limit) < NEAR)
+    return scored.select(*KEYS, risk.between(0, 1).alias("risk_is_share"), follows.alias("flag_follows"))
+
+
+@query(
+    "l8_reference_rows",
+    """, n AS (SELECT count(*) AS n, greatest(1, count(*) // 5000) AS step FROM lineitem_cycles WHERE NOT scrap_flag)
+       SELECT least(5000, (n + step - 1) // step) AS scores, TRUE AS all_shares FROM n""",
+)
+def reference_rows(v: Views) -> DataFrame:
+    """Size of the reference distribution; its scores lie between 0 and 1."""
+    found = models.reference_scores(v.lineitem_cycles, _drift_model(v))
+    return found.agg(F.count("*").alias("scores"), F.bool_and(F.col("score").between(0, 1)).alias("all_shares"))
+
+
 @query(
     "l2_model_checks",
     f""", {DRIFT_MACHINES_SQL}

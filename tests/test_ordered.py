@@ -184,3 +184,26 @@ def test_newest_rows_of_a_hot_group_come_from_few_candidates(spark):
         held = {r["model"]: r["count"] for r in found.groupBy("model").count().collect()}
         assert n <= held["hot"] <= 4 * n + 1 and held["same"] == 30_000
     assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == "1000"
+
+
+def test_running_maxima_of_hot_groups(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(50), i, rng.choice([None, rng.randrange(100)])) for i in range(800)]
+    df = spark.createDataFrame(rows, "g string, t int, i int, x int")
+    largest = {"top": F.when(F.col("x").isNotNull(), F.struct("x", "i"))}
+    made = [
+        sorted(map(tuple, running_sums(df, ["g"], ["t", "i"], {"n": F.lit(1)}, budget, largest).select("i", "n", "top.x", "top.i").collect()))
+        for budget in (Budget(), Budget(60))
+    ]
+    assert made[0] == made[1] and len(made[0]) == 800
+    held: dict = {}
+    for g, t, i, x in sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1], r[2])):
+        held[g] = max(held.get(g, (-1, -1)), (-1, -1) if x is None else (x, i))
+        assert (made[0][i][2], made[0][i][3]) == (held[g] if held[g][0] >= 0 else (None, None))
+
+
+def test_small_inputs_are_not_counted(spark):
+    from cyclelake.operators.ordered import is_small
+
+    df = spark.range(1000)
+    assert is_small(df, Budget()) and not is_small(df, Budget(100))
