@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -182,6 +183,23 @@ def term_counts(docs: DataFrame, terms: dict[str, int], keep: list[str], text: s
     return map_rows(kept, run, ", ".join([*schema, "terms array<int>, counts array<int>"]))
 
 
+def document_frequencies(counted: DataFrame, terms: int) -> np.ndarray:
+    """In how many rows of term counts each term occurs. A task adds its rows up and passes on one number per term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(terms, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("terms").flatten().to_numpy(), minlength=terms)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
+
+    found = np.zeros(terms)
+    if terms:
+        for r in counted.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # one row per term
+            found[r.term] = r.n
+    return found
+
+
 def fit(docs: DataFrame, labels: DataFrame, is_training: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", p: Neighbours = Neighbours()) -> tuple[Model, DataFrame]:  # noqa: B008
     """The model, and the stored term counts of all documents (key, terms, counts)."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & is_training).groupBy(key).agg(F.max(label).cast("int").alias("__label"))
@@ -189,9 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, label: str = "t
     sample = docs.select(key, text).join(F.broadcast(chosen), key)  # at most max_rows keys
     terms = associated_terms(sample, p, text)
     counted = stored(term_counts(docs, terms, [key], text))
-    frequency = np.zeros(len(terms))
-    for r in counted.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # one row per term
-        frequency[r.term] = r["count"]
+    frequency = document_frequencies(counted, len(terms))
     idf = np.log((1 + counted.count()) / (1 + frequency)) + 1
     examples = counted.join(F.broadcast(chosen), key).groupBy(key).agg(F.min(F.struct("terms", "counts")).alias("v"), F.max("__label").alias("y"))
     rows = sorted(examples.collect(), key=lambda r: r[0])

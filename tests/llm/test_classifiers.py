@@ -101,3 +101,10 @@ def test_without_labels(spark, tmp_path, query, score):
     documents(spark, awkward_texts(), tmp_path)
     write(spark, [(1, None, None, "x")], LABELS, tmp_path, "labels")
     assert {r.score for r in query(spark, str(tmp_path)).collect()} == {score}
+
+
+def test_document_frequencies(spark):
+    rows = [([0, 2],), ([2],), ([],), ([1, 2, 4],)] * 5
+    counted = spark.createDataFrame(rows, "terms array<int>").repartition(3)
+    assert toxicity.document_frequencies(counted, 6).tolist() == [5, 5, 15, 0, 5, 0]
+    assert toxicity.document_frequencies(counted.limit(0), 2).tolist() == [0, 0] and len(toxicity.document_frequencies(counted.limit(0), 0)) == 0
