@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from cyclelake.llm.common import map_rows, texts
+from cyclelake.llm.common import free_names, map_rows, texts
 
 NONE = np.int64(2**62)
 CACHE_WORDS = 250_000
@@ -203,11 +203,12 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray) -> str:
 def encode(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The kept columns, n_tokens, ids (little-endian unsigned 32-bit integers as bytes) and the decoded text of every row."""
     keep = ["doc_id"] if keep is None else keep
-    kept = docs.select(*keep, F.col(text).alias("__text"))
+    (hidden,) = free_names(docs, "__text")
+    kept = docs.select(*keep, F.col(text).alias(hidden))
     made = [StructField("n_tokens", LongType()), StructField("ids", BinaryType()), StructField("decoded", StringType())]
 
     def run(batch: pa.RecordBatch) -> dict:
-        ids, counts, decoded = zip(*encode_batch(vocabulary_at(path), texts(batch, "__text")), strict=True)
+        ids, counts, decoded = zip(*encode_batch(vocabulary_at(path), texts(batch, hidden)), strict=True)
         return {c: batch.column(c) for c in keep} | {"n_tokens": counts, "ids": ids, "decoded": decoded}
 
     return map_rows(kept, run, StructType([*kept.schema.fields[:-1], *made]))

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from cyclelake.session import stored
 
-__all__ = ["bit_filter", "fold", "forget", "has_bit", "map_rows", "sliced", "stored", "table", "texts", "utf8", "words"]
+__all__ = ["bit_filter", "fold", "forget", "free_names", "has_bit", "map_rows", "sliced", "stored", "table", "texts", "utf8", "words"]
 
 SLICE_ROWS = 500
 
@@ -54,6 +54,17 @@ def has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of docs has, whatever its case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cyclelake.llm.common import map_rows, sliced, stored, texts
+from cyclelake.llm.common import free_names, map_rows, sliced, stored, texts
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 SCALE = 40.0
@@ -114,13 +114,14 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, label: str = "q
 
 def score(docs: DataFrame, w: np.ndarray, keep: list[str], name: str = "score", text: str = "text", p: Ftrl = Ftrl()) -> DataFrame:  # noqa: B008
     """The kept columns and the score (probability of label 1) of every row."""
-    kept = docs.select(*keep, F.col(text).alias("__text"))
+    (hidden,) = free_names(docs, "__text")
+    kept = docs.select(*keep, F.col(text).alias(hidden))
     schema = StructType([*kept.schema.fields[:-1], StructField(name, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(w)  # 2^bits + 1 numbers
 
     def run(batch: pa.RecordBatch) -> dict:
         weights, margins = shared.value, []
-        for one in texts(batch, "__text"):
+        for one in texts(batch, hidden):
             at = features(one, p.bits)
             margins.append(weights[-1] + (SCALE * weights[at].mean() if len(at) else 0.0))
         scores = sigmoid(np.array(margins, float)) if weights.any() else np.full(len(margins), PRIOR)

@@ -6,8 +6,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 from tables import DOCUMENTS, awkward_texts, documents, prose, write
+from test_jaccard import plain_shingles
 from test_pii import plain_base, private
-from test_simhash import groups, plain_fingerprint
+from test_simhash import groups
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -51,9 +52,10 @@ def test_every_stage_against_brute_force(spark, folder, tmp_path):
     assert {i for i in range(120, 204)} <= {r.doc_id for r in after}
 
     before, after = made["near_duplicates"]
-    prints = {plain_fingerprint(r.text) for r in before}
-    root = groups(prints, [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3])
-    assert Counter(root[plain_fingerprint(r.text)] for r in after) == Counter(set(root.values()))
+    sets = sorted({plain_shingles(r.text) for r in before}, key=sorted)
+    number = {s: i for i, s in enumerate(sets)}
+    root = groups(range(len(sets)), [(i, j) for i, a in enumerate(sets) for j in range(i + 1, len(sets)) if 5 * len(a & sets[j]) >= 4 * len(a | sets[j])])
+    assert Counter(root[number[plain_shingles(r.text)]] for r in after) == Counter(set(root.values()))
 
     before, after = made["decontamination"]
     items = [decontaminate.plain(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
