@@ -29,8 +29,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from cyclelake.llm.common import free_names, map_rows, texts
 
 NONE = np.int64(2**62)
-CACHE_WORDS = 250_000
-BLOCK_SYMBOLS = 2_000_000  # symbols encoded side by side
+CACHE_WORDS = 150_000
+BLOCK_SYMBOLS = 1 << 18  # symbols encoded side by side
 
 # --- fixed values: the white space of the vocabulary's normaliser ----------------------------
 SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"

@@ -25,13 +25,13 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cyclelake.llm.common import bit_filter, has_bit, sliced, stored
+from cyclelake.llm.common import bit_filter, has_bit, in_arrow, sliced, stored
 
 LEAST = 10  # occurrences of a candidate
 COVERED = (50, 100)  # a candidate goes if a longer one around it has this share of its occurrences
 TILE = 1024
 DENSE = TILE * TILE // 16  # pairs of a chunk from which a tile is counted densely
-CHUNK = 1 << 21  # neighbouring words counted at a time
+CHUNK = 1 << 19  # neighbouring words counted at a time
 HELD_WORDS = 400_000
 FILTER_BITS = 25
 NUMBERED = 1 << 62  # numbers of unranked words start here
@@ -78,7 +78,7 @@ def count_words(docs: DataFrame, lang: str, text: str) -> DataFrame:
                     held = {}
         yield from rows(held)
 
-    counted = docs.select(lang, text).mapInArrow(run, "lang binary, word binary, n long")
+    counted = in_arrow(docs.select(lang, text), run, "lang binary, word binary, n long")
     summed = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     return stored(summed.select(F.col("lang").cast("string").alias("lang"), F.col("word").cast("string").alias("word"), "n"))
 
@@ -221,7 +221,7 @@ def count_pairs(docs: DataFrame, lang: str, text: str, shared: Broadcast, hot: i
             for columns, counts in tiled(_rank(a), _rank(b), [a, b], lambda x, y: [x, y], _across(hot)):
                 yield _batch(columns, counts)
 
-    counted = docs.select(lang, text).mapInArrow(run, "a long, b long, n long")
+    counted = in_arrow(docs.select(lang, text), run, "a long, b long, n long")
     return stored(counted.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
 
 
@@ -274,7 +274,7 @@ def count_triples(docs: DataFrame, lang: str, text: str, shared: Broadcast, pair
             for columns, counts in tiled(rank[at], _rank(c), [a, b, c], decode, _across(hot)):
                 yield _batch(columns, counts)
 
-    counted = docs.select(lang, text).mapInArrow(run, "a long, b long, c long, n long")
+    counted = in_arrow(docs.select(lang, text), run, "a long, b long, c long, n long")
     return stored(counted.groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cyclelake.llm.common import sliced, texts
+from cyclelake.llm.common import in_arrow, sliced, texts
 
 WORDS = re.compile(r"[^\W_]+")
 RATE = 0.08
@@ -173,7 +173,7 @@ def leaks(
                     columns = [batch.column(0).take(pa.array(at)), pa.array(item_ids, item_type), *(pa.array(n, pa.int32()) for n in numbers)]
                     yield pa.RecordBatch.from_arrays(columns, [key, "item_id", "distance", "budget", "end"])
 
-        return kept.mapInArrow(run, schema)
+        return in_arrow(kept, run, schema)
 
     found = None
     for block in item_blocks(benchmark, item, item_text, block_chars):
@@ -193,7 +193,7 @@ def without_leaks(
             for batch in sliced(batches):
                 yield batch.filter(pa.array([not matcher.find(plain(t)) for t in texts(batch, text)], pa.bool_()))
 
-        return kept.mapInArrow(run, kept.schema)
+        return in_arrow(kept, run, kept.schema)
 
     for block in item_blocks(benchmark, item, item_text, block_chars):
         docs = clean(docs, block)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cyclelake.llm.common import free_names, map_rows, sliced, stored, texts
+from cyclelake.llm.common import free_names, in_arrow, map_rows, sliced, stored, texts
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 SCALE = 40.0
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, label: str = "q
         at = np.nonzero(w)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["at", "weight"])
 
-    learned = ordered.mapInArrow(run, "at long, weight double").toArrow()
+    learned = in_arrow(ordered, run, "at long, weight double").toArrow()
     w = np.zeros(2**p.bits + 1)
     w[learned.column("at").to_numpy()] = learned.column("weight").to_numpy()
     return w
