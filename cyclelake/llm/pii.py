@@ -8,8 +8,8 @@ window of digit groups that could be a card, address or phone number, every mark
 Boosted trees score the candidates from format and context. They learn from the corpus itself: where a
 run of digits is one base span, that span is an example and its other windows are counterexamples;
 where a run holds no base span, its windows are counterexamples; mixed runs teach nothing and are only
-scored. All lessons are counted by kind, lesson and features; the trees see at most `max_rows` distinct
-ones, spread over kinds and lessons, with their counts as weights. On a fifth of the texts held back, each kind gets the lowest threshold (half or more, halfway to the next score) at which
+scored. All lessons are counted by kind, lesson and features, and the trees and thresholds are made of all of them, with
+their counts as weights: on the driver while there are few distinct ones, beyond `HELD_LESSONS` by jobs over them. On a fifth of the texts held back, each kind gets the lowest threshold (half or more, halfway to the next score) at which
 the chosen ones are right in at least `precision` of the cases (none: the kind adds nothing). Chosen spans do not overlap each other or a base
 span; base spans always stay.
 
@@ -21,14 +21,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from cyclelake.llm import boosting
-from cyclelake.llm.common import map_rows, stored, texts
+from cyclelake.llm.common import in_arrow, map_rows, stored, texts
 
 KINDS = ["email", "ip", "card", "phone"]
 # --- fixed values: the base patterns (possessive or guarded forms of the same matches) ---------
@@ -46,6 +47,7 @@ WRITTEN_AT = re.compile(r"\s?(?:\(at\)|\[at\])\s?", re.IGNORECASE)
 WRITTEN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]+)+", re.IGNORECASE)
 HINTS = re.compile(r"(?i)\b(?:tel|phone|call|fax|mail|e-mail|contact|card|visa|credit|ip|host|addr|address)\b")
 FEATURES = 22
+HELD_LESSONS = 100_000  # distinct lessons that the driver takes as arrays
 Span = tuple[str, int, int]
 
 
@@ -237,20 +239,24 @@ class Selector:
         return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def lessons(scanned: DataFrame) -> DataFrame:
+    """Distinct (kind, lesson, x) of all candidates that teach, with their number and the number held back."""
+    held = F.pmod("row", F.lit(5)) == 0  # whole texts, as the windows of one run overlap
+    one = scanned.select(F.xxhash64("candidates").alias("row"), F.explode("candidates").alias("c")).where("c.lesson >= 0")
+    return one.select("*", "c.kind", "c.lesson", "c.x").withColumn("held", held).groupBy("kind", "lesson", "x").agg(
+        F.count("*").alias("n"), F.count_if("held").alias("n_held")
+    )
+
+
 def sampled_lessons(scanned: DataFrame, max_rows: int) -> list[tuple]:
-    """Distinct (kind, lesson, x) with the weights of their candidates for training and held back.
+    """At most `max_rows` distinct (kind, lesson, x) with the weights of their candidates for training and held back, to look at; `fit` takes all.
 
     All candidates are counted. A kind and lesson with more than its part of `max_rows` distinct vectors keeps
     those of highest priority n / u, u a hash of the vector; a kept one weighs max(n, the first priority left
     out), so frequent vectors count as they are and sums over the others have no bias.
     """
     u = F.xxhash64("kind", "lesson", "x").bitwiseAND(F.lit((1 << 52) - 1)) + 1
-    held = F.pmod("row", F.lit(5)) == 0  # whole texts, as the windows of one run overlap
-    one = scanned.select(F.xxhash64("candidates").alias("row"), F.explode("candidates").alias("c")).where("c.lesson >= 0")
-    counted = one.select("*", "c.kind", "c.lesson", "c.x").withColumn("held", held).groupBy("kind", "lesson", "x").agg(
-        F.count("*").alias("n"), F.count_if("held").alias("n_held")
-    )
-    ranked = stored(counted.withColumn("priority", F.col("n") / (u / F.lit(float(1 << 52)))))
+    ranked = stored(lessons(scanned).withColumn("priority", F.col("n") / (u / F.lit(float(1 << 52)))))
     part, out = max(1, max_rows // (2 * len(KINDS))), []
     for kind in KINDS:
         for lesson in (0, 1):
@@ -263,19 +269,24 @@ def sampled_lessons(scanned: DataFrame, max_rows: int) -> list[tuple]:
     return out
 
 
-def fit(scanned: DataFrame, max_rows: int = 20_000, precision: float = 0.98) -> Selector:
-    """Trees and thresholds from the lessons of a stored scan (at most `max_rows` distinct vectors, weighted by their candidates)."""
-    rows = sampled_lessons(scanned, max_rows)
-    train = [r for r in rows if r[3] > 0]
-    if len({r[1] for r in train}) < 2:
+def fit(scanned: DataFrame, precision: float = 0.98, held_lessons: int = HELD_LESSONS) -> Selector:
+    """Trees and thresholds from all lessons of a stored scan, weighted by their candidates."""
+    counted = stored(lessons(scanned))
+    taught = counted.where("n > n_held").select("x", F.col("lesson").alias("y"), (F.col("n") - F.col("n_held")).alias("weight"))
+    if taught.select("y").distinct().count() < 2:
         return Selector()
-    trees = boosting.fit(*(np.array([r[at] for r in train], float) for at in (2, 1)), weight=np.array([r[3] for r in train]))
+    if counted.count() > held_lessons:
+        trees = boosting.fit_rows(stored(taught))
+        return Selector(trees, _thresholds_of_rows(counted, trees, precision))
+    rows = sorted((r.kind, r.lesson, list(r.x), r.n - r.n_held, r.n_held) for r in counted.collect())  # at most `held_lessons`
+    train = [r for r in rows if r[3] > 0]
+    trees = boosting.fit(*(np.array([r[at] for r in train], float) for at in (2, 1)), weight=np.array([r[3] for r in train], float))
     thresholds = {}
     held = [(*r[:3], r[4]) for r in rows if r[4] > 0] or [r[:4] for r in train]
     p = boosting.sigmoid(trees.margin(np.array([x for _, _, x, _ in held], float)))
     for kind in KINDS:
         own = sorted(((q, y, w) for q, (k, y, _, w) in zip(p, held, strict=True) if k == kind), reverse=True)
-        right = total = 0.0
+        right = total = 0
         for n, (q, lesson, weight) in enumerate(own, 1):
             right, total = right + lesson * weight, total + weight
             if right >= precision * total and (n == len(own) or own[n][0] < q):
@@ -283,6 +294,27 @@ def fit(scanned: DataFrame, max_rows: int = 20_000, precision: float = 0.98) ->
     return Selector(trees, thresholds)
 
 
+def _thresholds_of_rows(counted: DataFrame, trees: boosting.Boosted, precision: float) -> dict[str, float]:
+    """The thresholds `fit` takes of arrays, from running sums over the distinct scores of each kind."""
+    weighed = counted.where("n_held > 0").select("kind", "x", F.col("lesson").alias("y"), F.col("n_held").alias("weight"))
+    if weighed.isEmpty():
+        weighed = counted.select("kind", "x", F.col("lesson").alias("y"), F.col("n").alias("weight"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, weight = boosting.columns_of(batch, FEATURES)
+            q = boosting.sigmoid(trees.margin(x))
+            made = [batch.column("kind"), pa.array(q), pa.array((y * weight).astype(np.int64)), pa.array(weight.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(made, ["kind", "q", "right", "total"])
+
+    each = in_arrow(weighed, scored, "kind string, q double, right long, total long").groupBy("kind", "q").agg(F.sum("right").alias("right"), F.sum("total").alias("total"))
+    down = Window.partitionBy("kind").orderBy(F.desc("q"))  # a row per distinct score
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    swept = each.select("kind", "q", F.lead("q").over(down).alias("below"), F.sum("right").over(upto).alias("right"), F.sum("total").over(upto).alias("total"))
+    least = swept.where(F.col("right") >= F.lit(precision) * F.col("total")).groupBy("kind").agg(F.min_by(F.struct("q", "below"), "q").alias("at"))
+    return {r.kind: max(0.5, (r.at.q + r.at.below) / 2 if r.at.below is not None else 0.5) for r in least.collect()}  # a row per kind
+
+
 def _spans(rows: list[dict]) -> list[Span]:
     return [(r["kind"], r["start"], r["end"]) for r in rows]
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tables import awkward_texts, documents, prose, write
 
 from cyclelake.llm import boosting, pii, queries
@@ -145,3 +146,33 @@ def test_chosen_spans_do_not_overlap():
     found = [(("phone", s, e), [m]) for s, e, m in [(0, 10, 9.0), (24, 31, 8.0), (25, 30, 7.0), (26, 29, 6.0), (40, 50, 5.0), (45, 60, 4.0), (60, 61, 3.0)]]
     chosen = pii.Selector(Margins(), {"phone": 0.5}).chosen(base, found)
     assert [s for s in chosen if s[0] == "phone"] == [("phone", 0, 10), ("phone", 25, 30), ("phone", 40, 50), ("phone", 60, 61)]
+
+
+def test_fit_by_jobs_equals_fit_by_arrays(spark):
+    """Beyond `held_lessons` distinct ones the same trees and thresholds come from jobs over all of them."""
+    rng = np.random.default_rng(8)
+    x = np.hstack([np.tile([0.0, 0.0, 1.0, 0.0], (900, 1)), rng.normal(size=(900, pii.FEATURES - 4)).astype(np.float32)])
+    y = (x[:, 4] + 0.6 * x[:, 9] + 0.3 * rng.normal(size=900) > 0.4).astype(int)
+    repeats = rng.integers(1, 6, 900)
+    lessons = [("card", i, i + 9, int(y[i]), x[i].tolist()) for i in range(900) for _ in range(repeats[i])]
+    scanned = spark.createDataFrame([([], lessons[i::150]) for i in range(150)], pii.SCANNED).localCheckpoint()
+    held, spread = pii.fit(scanned), pii.fit(scanned, held_lessons=100)
+    assert held.trees.start == spread.trees.start and len(held.trees.trees) == len(spread.trees.trees) == 40
+    assert np.allclose(held.trees.margin(x), spread.trees.margin(x))
+    assert held.thresholds == pytest.approx(spread.thresholds) and held.thresholds
+
+
+def test_fit_takes_more_lessons_than_a_sample(spark):
+    wide = spark.range(45_000).select(
+        F.array().cast("array<struct<kind: string, start: int, end: int>>").alias("base"),
+        F.array(F.struct(F.lit("card").alias("kind"), F.lit(0).alias("start"), F.lit(9).alias("end"), (F.col("id") % 2).cast("int").alias("lesson"),
+                         F.array(*[F.col("id").cast("float")] * pii.FEATURES).alias("x"))).alias("candidates"),
+    )
+    seen = []
+    original = boosting.fit
+    boosting.fit = lambda x, *a, **k: seen.append(len(x)) or original(x, *a, rounds=1, **k)
+    try:
+        pii.fit(wide)
+    finally:
+        boosting.fit = original
+    assert seen[0] > 30_000
