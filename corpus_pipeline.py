@@ -25,7 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more."""
+    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more: candidates from SimHash
+    segments, then from prefix shingles, all verified."""
     return jaccard.one_per_component(docs)
 
 

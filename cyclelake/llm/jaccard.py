@@ -5,9 +5,13 @@ similarity of `LEAST` or more share one of the first n - ceil(LEAST * n) + 1 shi
 order, so texts that share such a prefix shingle are all candidates there are. Any order is right; to keep the
 lists short the shingles most frequent in a sample of the texts come last.
 
+The first candidates come from op4's SimHash segments over five-word fingerprints: texts of one fingerprint meet its
+smallest text, and the smallest texts of fingerprints that the grid range-join links meet each other. What they join after
+verification on the whole sets need not be compared again; the prefix index finds the pairs that differ in more bits.
+
 Least and greatest text of every prefix shingle are found by an aggregation that combines before it shuffles. Shingles of
 one text only go; a bit filter of the others tells a second reading which prefix shingles to list at all. Candidates in
-one list are first compared with the list's smallest text, which joins most copies; then, in lists whose texts are still
+one list are first compared with the list's smallest text, which joins most other copies; then, in lists whose texts are still
 in several components, all pairs across components. A parity sketch of about a bit per shingle bounds the number of shingles in
 only one of two sets from below and drops pairs without loss; the others are verified on the whole sets, which
 are read for texts of such pairs alone.
@@ -28,6 +32,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cyclelake.llm import simhash
 from cyclelake.llm.common import bit_filter, forget, free_names, has_bit, map_rows, stored, texts, words
 from cyclelake.llm.components import components
 
@@ -128,6 +133,16 @@ def verified(pairs: DataFrame, read_sets: Callable[[DataFrame], DataFrame]) -> D
     return found
 
 
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Candidates (a, b) of a stored table (id, fingerprint) of different texts: each text with the smallest of its fingerprint, and the
+    smallest texts of linked fingerprints."""
+    leads = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("lead")))
+    own = prints.join(leads, "fingerprint").where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    named = lambda side: leads.select(F.col("fingerprint").alias(side), F.col("lead").alias(f"lead_{side}"))
+    linked = simhash.links(leads.select("fingerprint")).join(named("a"), "a").join(named("b"), "b")
+    return own.union(linked.select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")))
+
+
 def links(docs: DataFrame, text: str = "text", shingle: int = 5, seed: int = SEED) -> DataFrame:
     """Pairs (a, b) of names that join all texts with a similarity of LEAST or more into their components."""
     spark = docs.sparkSession
@@ -184,10 +199,18 @@ def links(docs: DataFrame, text: str = "text", shingle: int = 5, seed: int = SEE
 
         return map_rows(kept, whole, "id long, own array<long>").join(asked, "id", "left_semi").dropDuplicates(["id"])
 
+    def printed(batch: pa.RecordBatch) -> dict:
+        found = {_signed(name_of(words(t), seed)): t for t in texts(batch, "__text")}
+        return {"id": list(found), "fingerprint": [simhash.fingerprint(t, shingle) for t in found.values()]}
+
+    prints = stored(map_rows(kept, printed, "id long, fingerprint long").dropDuplicates(["id"]))
+    alike = verified(fingerprint_pairs(prints), read_sets)
+    forget(prints)
     leads = small.withColumnRenamed("id", "least").alias("l")
     near = shared.where("id != least").select("id", "least").distinct().join(small, "id").alias("d")
     stars = near.join(leads, F.col("d.least") == F.col("l.least")).where(_possible("d", "l"))
-    joined = verified(stars.select(F.col("l.least").alias("a"), F.col("d.id").alias("b")), read_sets)
+    stars = stars.select(F.col("l.least").alias("a"), F.col("d.id").alias("b")).join(alike, ["a", "b"], "left_anti")
+    joined = stored(alike.union(verified(stars, read_sets)))
     roots = components(joined, "a", "b").withColumnRenamed("node", "id")
     rooted = stored(shared.select("gram", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")

@@ -63,3 +63,24 @@ def test_lists_of_several_components_are_compared(spark):
     pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     root = groups(range(len(sets)), pairs)
     assert kept == {min(i for i in root if root[i] == r) for r in set(root.values())} and len(pairs) > 3
+
+
+def test_simhash_segments_give_the_first_candidates(spark):
+    """Pairs within three bits come from op4's grid, and what it gives is verified like all others."""
+    from cyclelake.llm import jaccard, simhash
+
+    texts = [changed(prose(i // 4, 400), i % 4, i) for i in range(40)]
+    calls, original = [], simhash.links
+    simhash.links = lambda distinct, distance=3: calls.append(distinct.count()) or original(distinct, distance)
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    finally:
+        simhash.links = original
+    assert kept == set(range(0, 40, 4)) and len(calls) == 1 and calls[0] > 10
+    rows = [(i, simhash.fingerprint(t, 5)) for i, t in enumerate(texts)]
+    prints = spark.createDataFrame(rows, "id long, fingerprint long")
+    found = {(r.a, r.b) for r in jaccard.fingerprint_pairs(prints).collect()}
+    lead = {f: min(i for i, g in rows if g == f) for _, f in rows}
+    near = {tuple(sorted((lead[f], lead[g]))) for f in lead for g in lead if f != g and ((f ^ g) & (1 << 64) - 1).bit_count() <= 3}
+    assert found == near | {(lead[f], i) for i, f in rows if lead[f] != i} and near
