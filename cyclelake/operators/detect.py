@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import WindowSpec
 
 from cyclelake.functions.hashing import key_hash
 from cyclelake.functions.values import is_detector_scrap, is_valid_data
@@ -32,21 +33,28 @@ def scrap_bursts(
     scrap = is_detector_scrap(F.col("scrap_flag"), F.col("part_quality_status")).cast("int")
     rows = cycles.select(*GROUP, *CYCLE_ORDER, "defect_type", scrap.alias("_scrap"))
     key = F.struct(*CYCLE_ORDER)
-    ahead = (0, minimum - 1)
+
+    def between(w: WindowSpec, name: str) -> tuple[Column, Column]:
+        """Differences of a running sum over the `minimum` rows before a row and the `minimum` from it on."""
+        past = lambda n: F.coalesce(F.lag(name, n).over(w), F.lit(0))
+        return past(1) - past(minimum + 1), F.lead(name, minimum - 1).over(w) - past(1)
+
+    known = lambda w, i: F.when(between(w, "_flags")[i] > 0, between(w, "_scraps")[i])
     swept = framed(
         rows,
         GROUP,
         CYCLE_ORDER,
         {
-            "_n_before": lambda w: F.count("*").over(w.rowsBetween(-minimum, -1)),
-            "_before": lambda w: F.sum("_scrap").over(w.rowsBetween(-minimum, -1)),
-            "_n_event": lambda w: F.count("*").over(w.rowsBetween(*ahead)),
-            "_event": lambda w: F.sum("_scrap").over(w.rowsBetween(*ahead)),
-            "_end": lambda w: F.last(key).over(w.rowsBetween(*ahead)),
+            "_n_before": lambda w: between(w, "_rows")[0],
+            "_before": lambda w: known(w, 0),
+            "_n_event": lambda w: between(w, "_rows")[1],
+            "_event": lambda w: known(w, 1),
+            "_end": lambda w: F.lead(key, minimum - 1).over(w),
         },
         minimum,
         minimum - 1,
         budget,
+        {"_rows": F.lit(1).cast("long"), "_flags": F.col("_scrap").isNotNull().cast("long"), "_scraps": F.col("_scrap").cast("long")},
     )
     rise = F.col("_event") - F.col("_before")
     strong = (

@@ -207,3 +207,17 @@ def test_small_inputs_are_not_counted(spark):
 
     df = spark.range(1000)
     assert is_small(df, Budget()) and not is_small(df, Budget(100))
+
+
+def test_differences_of_running_sums_equal_sliding_sums(spark):
+    """The same in ordinary groups and in blocks of a group beyond its budget."""
+    from pyspark.sql import functions as F
+
+    from cyclelake.operators.ordered import Budget, framed
+
+    rows = spark.createDataFrame([(i % 2, i, (i * 7919) % 13) for i in range(200)], "g long, t long, v long")
+    past = lambda w, n: F.coalesce(F.lag("_sum", n).over(w), F.lit(0))
+    columns = {"new": lambda w: past(w, 1) - past(w, 6), "old": lambda w: F.coalesce(F.sum("v").over(w.rowsBetween(-5, -1)), F.lit(0))}
+    for budget in (Budget(1000), Budget(16)):
+        found = framed(rows, ["g"], ["t"], columns, 5, 0, budget, {"_sum": F.col("v")})
+        assert found.columns == ["g", "t", "v", "new", "old"] and found.count() == 200 and found.where("new != old").isEmpty()
