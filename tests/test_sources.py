@@ -282,3 +282,23 @@ def test_the_most_specific_version_set_counts(spark):
     assert got == {"0": "1-7", "1": "1-None", "2": "None-7", "3": "None-None", "4": "None-None", "5": "None-7", "6": None, "7": None, "8": None}
     other = every.withColumn("mapping_brand", F.when(F.col("canonical") == "1-7", "engel").otherwise("arburg"))
     assert mapping.apply_versions(mapped, owner, other).where("path = '0'").first()["canonical"] is None
+
+
+def test_texts_of_one_row_group_are_profiled_by_many_tasks(spark, tmp_path):
+    from cyclelake.plans import file_queries
+    from cyclelake.plans.views import Views
+
+    spark.createDataFrame([(i, f"a;b;c\n{i};2;3\n") for i in range(400)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = file_queries._profiles(Views(spark, str(tmp_path)))
+    assert found.count() == 400 and len(found.inputFiles()) >= spark.sparkContext.defaultParallelism
+    assert found.select("delimiter", "header_row", "column_count").distinct().collect() == [(";", 0, 3)]
+
+
+def test_a_value_is_computed_once(spark):
+    """An expression bound by `let` stands once in the plan, however often it is used."""
+    from pyspark.sql import functions as F
+
+    from cyclelake.sources.profiling import looks_like_header
+
+    plan = spark.createDataFrame([("a;b;c", ";")], "line string, d string").select(looks_like_header(F.col("line"), F.col("d")).alias("h"))
+    assert plan.first().h and plan._jdf.queryExecution().analyzed().toString().count("split(") == 1
