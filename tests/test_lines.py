@@ -1,6 +1,7 @@
 """Files read line by line against the same files taken as one row."""
 
 import random
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -98,3 +99,25 @@ def test_one_file_is_read_by_several_tasks(spark, tmp_path, small_splits):
 def test_utf16_files_are_left_to_whole_file_reading(spark, tmp_path):
     folder = write(tmp_path, {"u.txt": protocol(1, 5).encode("utf-16"), "v.txt": protocol(1, 5)})
     assert {plain(r["path"]) for r in lines.read_lines(spark, folder).collect()} == {"v.txt"}
+
+
+def test_files_are_opened_once(spark, tmp_path):
+    """What reads the lines reads a table; the text files may be gone."""
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own" / "a.csv").write_text("a;b;c\n1;2;3\n")
+    read = lines.read_lines(spark, f"{tmp_path}/own")
+    (tmp_path / "own" / "a.csv").write_text("")
+    assert sorted((r.line_no, r.line) for r in read.collect()) == [(0, "a;b;c"), (1, "1;2;3")]
+
+
+def test_protocol_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from cyclelake.plans import file_queries
+    from cyclelake.plans.views import Views
+
+    rows = [(i, i % 5, datetime(2026, 1, 1, i % 24, i % 60), "error" if i % 9 == 0 else "click", float(i), f'{{"k": {i % 40}}}') for i in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    seen, original = [], file_queries.spread
+    monkeypatch.setattr(file_queries, "spread", lambda df, *keys: seen.append(original(df, *keys)) or seen[-1])
+    path = file_queries._protocols(Views(spark, str(tmp_path)))
+    assert seen[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert len(list(Path(path).rglob("part-*.txt"))) == 5
