@@ -19,6 +19,7 @@ from cyclelake.operators.intervals import points_in_windows
 from cyclelake.operators.ordered import (
     Budget,
     DEFAULT_BUDGET,
+    exact_medians,
     exact_quantiles,
     row_positions,
     running_sums,
@@ -90,6 +91,10 @@ EVENT_COLUMNS = [
     *METRICS,
 ]
 
+# what a baseline is found by, and what its statistics need
+BASELINE_KEYS = [*SITE_MACHINE, *CYCLE_ORDER, "production_order_id", "order_site_id", "data_quality_status"]
+BASELINE_COLUMNS = [*BASELINE_KEYS, "scrap_flag", "part_quality_status", *METRICS]
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -182,7 +187,7 @@ def comparable_baseline(
     Contexts: same product, tool and material; same tool and material; same product; any.
     Cycles are numbered within each context, so an incident's baseline is a range of numbers
     and is fetched by an equi-join on blocks of `limit` numbers. No incident is paired with
-    its whole history.
+    its whole history. The columns of `cycles` are stored on the way, so give those needed only.
     """
     context = orders.select(
         F.col("site_id").alias("_site"),
@@ -223,20 +228,22 @@ def comparable_baseline(
             usable = usable & F.col(k).isNotNull()
         contexts.append(F.when(usable, F.struct(F.lit(level).alias("_tier"), key.alias("_context"))))
     spread = F.inline(F.array_compact(F.array(*contexts)))
-    marks = asked.select("incident_id", *SITE_MACHINE, "time", spread)
+    marks = stored(asked.select("incident_id", *SITE_MACHINE, "time", spread))
     rows = history.select(*cycles.columns, spread)
     group = ["_tier", "_context", *SITE_MACHINE]
-    # only the contexts some incident asks for are numbered
+    # only the contexts some incident asks for are numbered; most rows of the at most four tiers go before the shuffle
+    rows = rows.join(F.broadcast(marks.select("_tier").distinct()), "_tier", "left_semi")
     rows = rows.join(marks.select(*group).distinct(), group, "left_semi")
-    numbered = rows.unionByName(marks, allowMissingColumns=True)
+    # rows to number are counted, and numbered ones read twice
+    numbered = stored(rows.unionByName(marks, allowMissingColumns=True))
     # a mark stands before the cycles of its own instant
-    counted = running_sums(
+    counted = stored(running_sums(
         numbered.withColumn("_is_cycle", F.col("incident_id").isNull().cast("long")),
         group,
         ["time", "_is_cycle", *CYCLE_ORDER[1:], "incident_id"],
         {"_number": F.col("_is_cycle")},
         budget,
-    )
+    ))
     chosen = (
         counted.where(F.col("incident_id").isNotNull() & (F.col("_number") >= minimum))
         .groupBy("incident_id", *SITE_MACHINE)
@@ -263,39 +270,27 @@ def side_statistics(event: DataFrame, baseline: DataFrame, budget: Budget = DEFA
 
     Columns are prefixed `ev_` and `bl_`; a population spread needs two values.
     """
-    keep = ["incident_id", *METRICS]
+    ev, bl = _one_side(event, "ev", budget), _one_side(baseline, "bl", budget)
+    counts = [f"{s}_{n}" for s in ("ev", "bl") for n in ("cycles", "scrap", *[f"n_{m}" for m in METRICS])]
+    both = ev.join(bl.withColumnRenamed("incident_id", "_other"), F.col("incident_id").eqNullSafe(F.col("_other")), "full")
+    both = both.withColumn("incident_id", F.coalesce("incident_id", "_other")).drop("_other")
+    rates = {f"{s}_rate": F.when(F.col(f"{s}_cycles") > 0, F.col(f"{s}_scrap") / F.col(f"{s}_cycles")) for s in ("ev", "bl")}
+    return both.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts}).withColumns(rates)
+
+
+def _one_side(rows: DataFrame, side: str, budget: Budget) -> DataFrame:
+    """The statistics of one side; its rows are stored, as sums and medians are taken in passes of their own."""
     scrap = is_scrap(F.col("scrap_flag"), F.col("part_quality_status")).cast("int").alias("_scrap")
-    both = event.select(F.lit("ev").alias("side"), *keep, scrap).unionByName(
-        baseline.select(F.lit("bl").alias("side"), *keep, scrap)
-    )
-    both = both.withColumns({m: finite(F.col(m)) for m in METRICS})
-    measures = []
-    for side in ("ev", "bl"):
-        on = F.col("side") == side
-        value = lambda name, on=on: F.when(on, F.col(name))
-        measures += [
-            F.count_if(on).alias(f"{side}_cycles"),
-            F.coalesce(F.sum(value("_scrap")), F.lit(0)).cast("bigint").alias(f"{side}_scrap"),
-        ]
-        measures += [F.count(value(m)).alias(f"{side}_n_{m}") for m in METRICS]
-        measures += [F.avg(value(m)).alias(f"{side}_mean_{m}") for m in MEANS]
-        measures += [
-            F.when(F.count(value(m)) >= 2, F.stddev_pop(value(m))).alias(f"{side}_sd_{m}") for m in SPREADS
-        ]
-    sums = both.groupBy("incident_id").agg(*measures)
-    long = both.select("incident_id", "side", *MEDIANS).unpivot(
-        ["incident_id", "side"], MEDIANS, "metric", "value"
+    kept = stored(rows.select("incident_id", *[finite(F.col(m)).alias(m) for m in METRICS], scrap))
+    sums = kept.groupBy("incident_id").agg(
+        F.count("*").alias(f"{side}_cycles"),
+        F.coalesce(F.sum("_scrap"), F.lit(0)).cast("bigint").alias(f"{side}_scrap"),
+        *[F.count(m).alias(f"{side}_n_{m}") for m in METRICS],
+        *[F.avg(m).alias(f"{side}_mean_{m}") for m in MEANS],
+        *[F.when(F.count(m) >= 2, F.stddev_pop(m)).alias(f"{side}_sd_{m}") for m in SPREADS],
     )
-    medians = exact_quantiles(long, ["incident_id", "side", "metric"], "value", {"median": 0.5}, budget)
-    wide = medians.groupBy("incident_id").agg(
-        *[
-            F.max(F.when((F.col("side") == s) & (F.col("metric") == m), F.col("median"))).alias(f"{s}_median_{m}")
-            for s in ("ev", "bl")
-            for m in MEDIANS
-        ]
-    )
-    rates = {f"{s}_rate": F.when(F.col(f"{s}_cycles") > 0, F.col(f"{s}_scrap") / F.col(f"{s}_cycles")) for s in ("ev", "bl")}
-    return sums.join(wide, "incident_id", "left").withColumns(rates)
+    medians = exact_medians(kept, "incident_id", MEDIANS, budget).withColumnsRenamed({m: f"{side}_median_{m}" for m in MEDIANS})
+    return sums.join(medians, "incident_id", "left")
 
 
 def early_late_rates(event: DataFrame, budget: Budget = DEFAULT_BUDGET) -> DataFrame:
@@ -446,15 +441,15 @@ def collect_facts(
     budget: Budget = DEFAULT_BUDGET,
 ) -> DataFrame:
     """One stored wide row per incident with everything the cause rules look at, signals included."""
-    windows = incident_windows(incidents, policy, as_of)
+    # read by every part; the incidents may be views over large tables
+    windows = stored(incident_windows(incidents, policy, as_of))
     usable = windows.where(F.col("window_status") == "ok")
     # each side feeds several aggregations
     event = stored(event_cycles(usable, cycles).select(*EVENT_COLUMNS))
     if orders is None:
         baseline = window_baseline(usable, cycles)
     else:
-        baseline = comparable_baseline(usable, cycles, orders, policy.minimum_baseline, budget=budget)
-    baseline = stored(baseline.select("incident_id", "scrap_flag", "part_quality_status", *METRICS))
+        baseline = comparable_baseline(usable, cycles.select(*BASELINE_COLUMNS), orders, policy.minimum_baseline, budget=budget)
     quality = stored(event_checks(usable, checks))
     words = defect_counts(event, quality)
     observed = words.groupBy("incident_id").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cyclelake.operators import diagnose
 from cyclelake.plans.registry import query
 from cyclelake.plans.views import Views
+from cyclelake.session import stored
 
 AS_OF = "2024-01-28 00:00:00"
 POLICY = diagnose.Policy(minimum_event=2, minimum_baseline=5, minimum_quality=1)
@@ -308,7 +309,7 @@ J11_SQL = f""", asked AS (
 @query("j11_comparable_baseline", J11_SQL)
 def comparable_baseline(v: Views) -> DataFrame:
     windows = diagnose.incident_windows(_ordered_incidents(v), POLICY, AS_OF).where(F.col("window_status") == "ok")
-    return diagnose.comparable_baseline(windows, v.linked_table, v.orders, minimum=3, limit=25).select(
+    return diagnose.comparable_baseline(windows, v.linked_table.select(*diagnose.BASELINE_KEYS), v.orders, minimum=3, limit=25).select(
         "incident_id", "baseline_tier", "source_row_hash"
     )
 
@@ -317,7 +318,7 @@ def comparable_baseline(v: Views) -> DataFrame:
 @query("j11_service_baseline", J11_SQL.replace(">= 3 ", ">= 30 ").replace("r <= 25", "r <= 2000"))
 def service_baseline(v: Views) -> DataFrame:
     windows = diagnose.incident_windows(_ordered_incidents(v), POLICY, AS_OF).where(F.col("window_status") == "ok")
-    return diagnose.comparable_baseline(windows, v.linked_table, v.orders, minimum=30, limit=2000).select(
+    return diagnose.comparable_baseline(windows, v.linked_table.select(*diagnose.BASELINE_KEYS), v.orders, minimum=30, limit=2000).select(
         "incident_id", "baseline_tier", "source_row_hash"
     )
 
@@ -347,10 +348,10 @@ def _a16_columns() -> list[str]:
        {', '.join(f'round({c}, 6) AS {c}' for c in _a16_columns())} FROM facts WHERE nev > 0 OR nbl > 0""",
 )
 def side_statistics(v: Views) -> DataFrame:
-    windows = _windows(v)
+    windows = stored(_windows(v))
     return diagnose.side_statistics(
         diagnose.event_cycles(windows, v.linked_table),
-        diagnose.comparable_baseline(windows, v.linked_table, v.orders, POLICY.minimum_baseline),
+        diagnose.comparable_baseline(windows, v.linked_table.select(*diagnose.BASELINE_COLUMNS), v.orders, POLICY.minimum_baseline),
     ).select("incident_id", "ev_cycles", "bl_cycles", *_a16_columns())
 
 

@@ -4,6 +4,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from cyclelake.operators.ordered import Budget
 from cyclelake.operators import detect, diagnose
 from helpers import at, checks, cycles, notes, orders, stops
 
@@ -166,3 +167,32 @@ def test_overlapping_incidents_make_no_pairs(spark):
         assert abs(row["avg_zone2_temp_c"] - sum(zone) / len(zone)) < 1e-6 and abs(row["scrap_rate"] - sum(i % 7 == 0 for i in inside) / len(inside)) < 1e-12
     assert got["late"]["cycle_count"] == 0 and got["none"]["cycle_count"] == 0 and got["ends"]["avg_zone2_temp_c"] is None
     assert (got["open"]["cycle_count"], got["open"]["quality_check_count"]) == (3, 1)
+
+
+def test_medians_of_both_sides_make_no_row_per_metric(spark):
+    schema = "incident_id string, scrap_flag boolean, part_quality_status string, " + ", ".join(f"{m} double" for m in diagnose.METRICS)
+    place = diagnose.METRICS.index("barrel_temp_zone2_c")
+
+    def rows(incident, values):
+        made = []
+        for i, x in enumerate(values):
+            metrics = [float(i)] * len(diagnose.METRICS)
+            metrics[place] = x
+            made.append((incident, i % 3 == 0, None, *metrics))
+        return made
+
+    nan, inf = float("nan"), float("inf")
+    event = spark.createDataFrame(rows("A", [5.0, None, 1.0, nan, 2.0, inf, 9.0]) + rows("B", [None, None]), schema)
+    baseline = spark.createDataFrame(rows("A", [3.0, 1.0, 2.0]) + rows("C", [-4.0, 4.0, 1.0, 1.5]), schema)
+    near = lambda x: round(x, 9) if isinstance(x, float) else x
+    one = lambda df: {r["incident_id"]: {k: near(x) for k, x in r.asDict().items()} for r in df.collect()}
+    found = diagnose.side_statistics(event, baseline)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "percentile" not in plan
+    got = one(found)
+    assert sorted(got) == ["A", "B", "C"]
+    medians = {i: (r["ev_median_barrel_temp_zone2_c"], r["bl_median_barrel_temp_zone2_c"]) for i, r in got.items()}
+    assert medians == {"A": (3.5, 2.0), "B": (None, None), "C": (None, 1.25)}
+    assert {i: (r["ev_cycles"], r["bl_cycles"], r["ev_n_barrel_temp_zone2_c"]) for i, r in got.items()} == {"A": (7, 3, 4), "B": (2, 0, 0), "C": (0, 4, 0)}
+    assert got["A"]["ev_rate"] == near(3 / 7) and got["C"]["ev_rate"] is None and got["C"]["ev_scrap"] == 0
+    assert one(diagnose.side_statistics(event, baseline, Budget(2))) == got  # incidents beyond the budget
