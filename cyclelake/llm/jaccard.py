@@ -12,7 +12,8 @@ verification on the whole sets need not be compared again; the prefix index find
 Least and greatest text of every prefix shingle are found by an aggregation that combines before it shuffles. Shingles of
 one text only go; a bit filter of the others tells a second reading which prefix shingles to list at all. Candidates in
 one list are first compared with the list's smallest text, which joins most other copies; then, in lists whose texts are still
-in several components, all pairs across components. A parity sketch of about a bit per shingle bounds the number of shingles in
+in several components, with another of its texts, chosen by a hash, as long as that joins many; then all pairs across components,
+each made once, however many lists it shares. A parity sketch of about a bit per shingle bounds the number of shingles in
 only one of two sets from below and drops pairs without loss; the others are verified on the whole sets, which
 are read for texts of such pairs alone.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,8 @@ SEED = 42
 LEAST = (4, 5)  # the similarity 0.8 as a fraction
 SAMPLE, HOT = 16, 65_536  # one text in SAMPLE is counted; at most HOT shingles are sent to the tasks
 MOST_BITS = 27
+STRAYS = 16  # lists are compared with one of their texts again while that joins one in STRAYS texts
+FIRST = 16  # lists by which a text tells whether a pair was made before
 
 
 def name_of(found: list[bytes], seed: int = SEED) -> int:
@@ -143,6 +147,45 @@ def fingerprint_pairs(prints: DataFrame) -> DataFrame:
     return own.union(linked.select(F.least("lead_a", "lead_b").alias("a"), F.greatest("lead_a", "lead_b").alias("b")))
 
 
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows (gram, id, root) of lists whose texts are in several components."""
+    ends = rows.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return rows.join(ends.where("low < high").select("gram"), "gram", "left_semi")
+
+
+def star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Each text with one text of each of its lists, another one every turn, where they are in different components."""
+    centres = rows.groupBy("gram").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "gram", "id"), "id", "root")).alias("centre"))
+    other = rows.join(centres, "gram").where("root != centre.root")
+    return other.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")).distinct()
+
+
+def possible(pairs: DataFrame, small: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow."""
+    met = pairs.join(small.alias("p"), F.col("a") == F.col("p.id")).join(small.alias("q"), F.col("b") == F.col("q.id"))
+    return met.where(_possible("p", "q")).select("a", "b")
+
+
+def merged(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (gram, id, root) with the components that the links (a, b) join as one."""
+    own = stored(rows.select("id", "root").distinct())
+    named = lambda side: own.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}"))
+    joined = found.join(named("a"), "a").join(named("b"), "b").select("root_a", "root_b")
+    after = components(joined, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("now"))
+    return rows.join(after, "root", "left").select("gram", "id", F.coalesce("now", "root").alias("root"))
+
+
+def cross_pairs(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """All pairs (a, b) across components that sizes and sketches allow; a pair is made in the first of its lists, as far as the
+    FIRST first lists of both texts tell."""
+    first = rows.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("gram")), 1, FIRST).alias("first"))
+    rows = stored(rows.join(first.join(small, "id"), "id"))
+    earliest = F.array_min(F.array_intersect("p.first", "q.first"))
+    apart = (F.col("p.gram") == F.col("q.gram")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root"))
+    met = apart & F.coalesce(earliest >= F.col("p.gram"), F.lit(True)) & _possible("p", "q")
+    return rows.alias("p").join(rows.alias("q"), met).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
+
+
 def links(docs: DataFrame, text: str = "text", shingle: int = 5, seed: int = SEED) -> DataFrame:
     """Pairs (a, b) of names that join all texts with a similarity of LEAST or more into their components."""
     spark = docs.sparkSession
@@ -213,12 +256,16 @@ def links(docs: DataFrame, text: str = "text", shingle: int = 5, seed: int = SEE
     joined = stored(alike.union(verified(stars, read_sets)))
     roots = components(joined, "a", "b").withColumnRenamed("node", "id")
     rooted = stored(shared.select("gram", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
-    open_ = stored(rooted.join(mixed, "gram").join(small, "id"))
+    rows = stored(mixed(rooted))
     forget(shared, rooted)
-    met = (F.col("p.gram") == F.col("q.gram")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q")
-    pairs = open_.alias("p").join(open_.alias("q"), met).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-    return joined.union(verified(pairs, read_sets))
+    found, productive = [joined], not rows.isEmpty()
+    while productive:
+        new = verified(possible(star_pairs(rows, len(found)), small), read_sets)
+        found.append(new)
+        productive = new.count() * STRAYS >= rows.select("id").distinct().count()
+        before, rows = rows, stored(mixed(merged(rows, new)))
+        forget(before)
+    return reduce(DataFrame.union, [*found, verified(cross_pairs(rows, small), read_sets)])
 
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:

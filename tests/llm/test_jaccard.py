@@ -84,3 +84,21 @@ def test_simhash_segments_give_the_first_candidates(spark):
     lead = {f: min(i for i, g in rows if g == f) for _, f in rows}
     near = {tuple(sorted((lead[f], lead[g]))) for f in lead for g in lead if f != g and ((f ^ g) & (1 << 64) - 1).bit_count() <= 3}
     assert found == near | {(lead[f], i) for i, f in rows if lead[f] != i} and near
+
+
+def test_pairs_across_components_are_made_once(spark, monkeypatch):
+    """Near copies of one text that few links join at first: another star leaves few pairs, each made once for all shared lists."""
+    from cyclelake.llm import jaccard
+
+    r = random.Random(5)
+    texts = [changed(prose(5, 200), r.randrange(2, 5), i) for i in range(150)]
+    made, original = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "fingerprint_pairs", lambda prints: prints.select(prints.id.alias("a"), prints.id.alias("b")).limit(0))
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, read: made.append((pairs.count(), pairs.distinct().count())) or original(pairs, read))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    sets = [plain_shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = groups(range(len(sets)), pairs)
+    assert kept == {min(i for i in root if root[i] == r) for r in set(root.values())} and len(pairs) > 500
+    assert all(n == m for n, m in made) and made[-1][0] < len(pairs) and len(made) > 3
