@@ -2,9 +2,11 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tables import awkward_texts, crc, documents, prose, write
 
 from cyclelake.llm import queries, suffix_tree
+from cyclelake.llm.common import fold
 
 
 def tokens(text):
@@ -77,3 +79,18 @@ def test_without_training_texts_all_bytes_are_equal(spark, tmp_path):
     row = queries.op1_suffix_tree(spark, str(tmp_path)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
     assert row.score == pytest.approx(5 * math.log10(1 / 256))
+
+
+def test_rarer_contexts_count_too(spark, tmp_path):
+    """Contexts below the share that is sent to the tasks: the tree and its scores stay whole."""
+    texts = [prose(i, 60) for i in range(60)] + awkward_texts()
+    rows = documents(spark, texts, tmp_path)
+    train = [r[1] for r in rows if crc(r[0]) % 10]
+    plain, kept = plain_tree(train, suffix_tree.Limits(least_share=0.0))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for share in (0.0005, 0.02, 1.0):
+        model = suffix_tree.fit(docs, fold(F.col("doc_id"), 10) != 0, limits=suffix_tree.Limits(least_share=share))
+        sent = len(model.kept.where("hot").select("length", "context").distinct().collect())
+        assert sent < len(kept) == len(model.kept.select("length", "context").distinct().collect()) and model.rare is not None
+        found = suffix_tree.score(docs, model, ["doc_id"]).collect()
+        assert Counter((r.doc_id, round(r.score, 4)) for r in found) == Counter((r[0], round(plain(r[1]), 4)) for r in rows)
