@@ -121,3 +121,25 @@ def test_protocol_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     path = file_queries._protocols(Views(spark, str(tmp_path)))
     assert seen[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert len(list(Path(path).rglob("part-*.txt"))) == 5
+
+
+def test_protocol_files_share_folders(spark, tmp_path):
+    """No folder per machine; heads come first, rows in time order, each blank line behind its row."""
+    from cyclelake.plans import file_queries
+    from cyclelake.plans.views import Views
+
+    rows = [(i, i % 2, None if i == 8 else datetime(2026, 1, 1, 23 - i, 0), "click", float(i), f'{{"k": {i + 1}}}') for i in range(12)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    path = Path(file_queries._protocols(Views(spark, str(tmp_path))))
+    texts = sorted((p.read_text() for p in path.glob("part=0/part-*.txt")), key=lambda t: "Machine: 1" in t)
+    assert len(list(path.rglob("*.txt"))) == len(texts) == 2
+    for machine, text in enumerate(texts):
+        assert text.endswith("\n")
+        found = text[:-1].split("\n")
+        head = ["Protocole Arburg", f"Machine: {machine}", "Date; 11.02.2025 06:00:00", "f1403;t007;t4012;t4015;t4018", "-;h:min;s;s;s"]
+        assert [x for x in found if x in head] == head
+        ids = [i for i in range(11, -1, -1) if i % 2 == machine]
+        ids = [8, *(i for i in ids if i != 8)] if 8 in ids else ids  # without a time: with the heads
+        body = [x for x in found if x not in head]
+        wanted = [x for i in ids for x in ([i, ""] if (i + 1) % 7 == 0 else [i])]
+        assert [x and int(x.split(";")[0]) for x in body] == wanted
