@@ -74,7 +74,10 @@ def grow(
             g, h = (v.reshape(nodes, features, bins).cumsum(2) for v in added(trees, tree, level))
             all_g, all_h = g[:, :, -1:], h[:, :, -1:]
             gain = g**2 / (h + l2) + (all_g - g) ** 2 / (all_h - h + l2) - all_g**2 / (all_h + l2)
-            best = gain.reshape(nodes, -1).argmax(1)
+            flat, whole = gain.reshape(nodes, -1), (all_g**2 / (all_h + l2)).max((1, 2))
+            most = flat.max(1)
+            # the first of equal gains, which differ in their last digits by the order in which rows were summed
+            best = (flat >= (most - 1e-9 * (np.abs(most) + whole))[:, None]).argmax(1)
             for i, at in enumerate(best):
                 f, b = divmod(int(at), bins)
                 if gain[i, f, b] > 1e-6 and b < len(edges[f]):
